@@ -30,18 +30,19 @@ def top_tags(tags: DataFrame, df: DataFrame, on_date=None, src: str | None = Non
     on (video, day), at least ``min_count``, most frequent first.
 
     The count is that of the inner join tags x rows on (video, day), which is
-    many-to-many: a key with k tag rows of a tag and k' matching rows counts
-    k x k'. Instead of emitting those pairs, each side is first reduced to
-    one row per key (per tag and key on the tag side) and the join multiplies
-    the two counts. So the join is many-to-one, nothing is repeated, and a
-    key that holds a third of all rows is a single row on each side.
+    many-to-many: a key with k rows of a tag and k' matching rows counts
+    k x k'. The pairs are never emitted: the row side is first reduced to one
+    row per key carrying k' (a partial + final aggregate), so the join is
+    many-to-one and each tag row just carries its key's k' into a sum per tag
+    (map-side partial sums, then a shuffle of one row per tag and task). A
+    key holding a third of all tag rows is one row on the other side; AQE's
+    skew-join handling splits its partition if the join is shuffled.
     """
     rows = flt.where(df, flt.day_filter(on_date, day=day), flt.equals_ci(src_col, src),
                      flt.flow_mode(mode, src_col, dst_col))
     matches = rows.groupBy(video, day).agg(F.count(F.lit(1)).alias("_rows"))
     usable = tags.where(F.col("tag").isNotNull() & (F.length(F.trim(F.col("tag"))) > 0))
-    per_key = usable.groupBy("tag", video, day).agg(F.count(F.lit(1)).alias("_tags"))
-    counted = (per_key.join(matches, [video, day])
-               .groupBy("tag").agg(F.sum(F.col("_tags") * F.col("_rows")).alias("tag_count")))
+    counted = (usable.select("tag", video, day).join(matches, [video, day])
+               .groupBy("tag").agg(F.sum("_rows").alias("tag_count")))
     return (counted.where(F.col("tag_count") >= int(min_count))
             .orderBy(F.desc("tag_count"), F.asc("tag")).limit(int(limit)))

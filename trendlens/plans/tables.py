@@ -1,11 +1,80 @@
-"""The clean table the queries read."""
+"""The clean table and tag table the queries read.
+
+The original application builds its clean table and tag table once (create
+table as select) and every query reads them. Here the same: the stand-in
+clean table -- a five-way join of the base tables -- is written once per
+session and input folder as Parquet below the shared folder
+(``spark.checkpoint.dir``), and read back by every query. Writing it also
+cuts the lineage, so a lost executor re-reads files instead of re-running
+the joins.
+
+Layout: ``REBALANCE`` by trending day (AQE sizes the files to the advisory
+partition size and splits a day that is too big, so a hot day cannot make
+one huge task), then sorted by day and video inside each file, so a day or
+range predicate pushed to the scan skips row groups. No directory per day:
+at small scale 2,400 tiny files per scan cost far more than they save
+(measured: 5x slower at sf0.1); at large scale the row-group statistics do
+the same pruning.
+"""
 
 from __future__ import annotations
 
+import threading
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
+from trendlens.operators.tags import explode_tags
 from trendlens.plans import standins as st
+from trendlens.session import shared_path
+
+DAY = "video_trending_date"
+
+_LOCK = threading.RLock()
+_MEMO: dict[tuple[str, str, str], tuple[str, object]] = {}
+
+
+def _write(spark: SparkSession, df: DataFrame, name: str, cluster_by: tuple[str, ...],
+           sort_by: tuple[str, ...]) -> str:
+    path = shared_path(spark, "trendlens-tables", f"{name}-{uuid.uuid4().hex}")
+    out = df.hint("rebalance", *cluster_by) if cluster_by else df.hint("rebalance")
+    if sort_by:
+        out = out.sortWithinPartitions(*sort_by)
+    out.write.mode("errorifexists").parquet(path)
+    return path
+
+
+def write_table(spark: SparkSession, df: DataFrame, name: str, cluster_by: tuple[str, ...] = (),
+                sort_by: tuple[str, ...] = ()) -> DataFrame:
+    """Write ``df`` as a new Parquet table below the shared folder and return
+    it read back (with the writer's schema, so nothing is inferred).
+
+    A fresh path per call: nothing being read is ever overwritten.
+    """
+    return spark.read.schema(df.schema).parquet(_write(spark, df, name, cluster_by, sort_by))
+
+
+def _memo_table(spark: SparkSession, sf_dir: str, name: str, build) -> DataFrame:
+    key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"), name)
+    with _LOCK:
+        hit = _MEMO.get(key)
+        if hit is None:
+            df = build()
+            hit = (_write(spark, df, name, (DAY,), (DAY, "video_id")), df.schema)
+            _MEMO[key] = hit
+    path, schema = hit
+    return spark.read.schema(schema).parquet(path)
+
+
+def trending_table(spark: SparkSession, sf_dir: str, materialized: bool = True) -> DataFrame:
+    """The clean table for ``sf_dir``: written once per session, then read."""
+    if not materialized:
+        return st.trending(spark, sf_dir)
+    return _memo_table(spark, sf_dir, "trending", lambda: st.trending(spark, sf_dir))
 
 
-def trending_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return st.trending(spark, sf_dir)
+def tags_table(spark: SparkSession, sf_dir: str, materialized: bool = True) -> DataFrame:
+    """The tag table (one row per usable tag of each clean row), likewise."""
+    if not materialized:
+        return explode_tags(st.trending(spark, sf_dir))
+    return _memo_table(spark, sf_dir, "video_tags", lambda: explode_tags(trending_table(spark, sf_dir)))
