@@ -18,6 +18,9 @@ COUNT_COLUMNS = (
 )
 # The raw export spells the trending day with two underscores.
 RAW_TRENDING_DAY = "video_trending__date"
+# The 24 raw columns the cleaning step reads, in the order of the export.
+RAW_COLUMNS = (*TEXT_COLUMNS, "video_licensed_content", *COUNT_COLUMNS, "video_published_at",
+               "channel_published_at", RAW_TRENDING_DAY, "video_duration")
 
 
 def clean_trending(raw: DataFrame, exact_duration: bool = False) -> DataFrame:
