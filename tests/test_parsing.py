@@ -46,7 +46,8 @@ def test_digits_fast_path_matches_text_path(spark):
 
 DURATIONS = ["PT1H2M3S", "PT45S", "PT5S", "PT1H45S", "PT123S", "PT", "P1DT2H", "2:30", "24:00:00", "25:00:00",
              "1:02:03", "24:00:01", "23:59:60", "12:34:56.789", " 1:02:03 ", "\t1:02:03", "1:2:3", "1:02:03Z",
-             "1:02:03+01:30", "12:60:00", "none", "", "PT1M30S", "PT10M", "PT2H"]
+             "1:02:03+01:30", "12:60:00", "none", "", "PT1M30S", "PT10M", "PT2H", "24:00:00.5", "24:00:00.000",
+             "24:00", "7:5:9.25", "1:02:03 Z"]
 
 
 def test_duration_literals(spark):

@@ -94,3 +94,14 @@ def test_streaming_ingest_equals_batch(spark, tmp_dir):
     _write_text(os.path.join(src, "day3.csv"), header + "\n" + row("c", "Jeudi 7 août 2024", "PT2H") + "\n")
     stream_clean_snapshots(spark, src, out, ckpt).awaitTermination()
     assert spark.read.parquet(out).count() == 3
+
+
+def test_fallback_to_raw_table(spark):
+    from trendlens.operators import counts_or_raw, flows_or_raw
+    raw = spark.createDataFrame([("v", "FR", "ES", "1,5"), ("v", "FR", "ES", "7"), ("w", "FR", "ES", None)],
+                                "video_id string, channel_country string, video_trending_country string, "
+                                "video_view_count string")
+    raw.write.mode("overwrite").saveAsTable("raw_only_src")
+    got = flows_or_raw(spark, clean="no_such_clean", raw="raw_only_src", mode="international").collect()
+    assert [(r.src, r.dst, r.cnt, r.views) for r in got] == [("FR", "ES", 2, 22)]
+    assert {r.country: r.cnt for r in counts_or_raw(spark, "no_such_clean", "raw_only_src").collect()} == {"ES": 2}

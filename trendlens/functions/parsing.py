@@ -81,9 +81,15 @@ def to_ts(x: ColumnOrName) -> Column:
     accepted. The parse happens in the session zone and is cast to
     TIMESTAMP_NTZ in the same zone, so the wall-clock value is kept whatever
     the zone is.
+
+    Only one layout can parse a given text -- the first needs a ``/``, the
+    second a ``:`` and no ``/``, the third neither -- so the text is routed
+    to that one parse instead of failing through the others (a failed parse
+    is the expensive case).
     """
     text = F.trim(_c(x).cast("string"))
-    parsed = F.coalesce(*[F.try_to_timestamp(text, F.lit(f)) for f in TIMESTAMP_FORMATS])
+    dmy, iso_time, iso_day = (F.try_to_timestamp(text, F.lit(f)) for f in TIMESTAMP_FORMATS)
+    parsed = F.when(text.contains("/"), dmy).when(text.contains(":"), iso_time).otherwise(iso_day)
     return parsed.cast(T.TimestampNTZType())
 
 
@@ -121,14 +127,14 @@ def french_date(x: ColumnOrName) -> Column:
     are matched case-blind. An impossible day (31 février) gives NULL.
     """
     text = _c(x).cast("string")
-    day = F.regexp_extract(text, FRENCH_DATE_PATTERN, 1)
-    month_name = F.lower(F.regexp_extract(text, FRENCH_DATE_PATTERN, 2))
-    year = F.regexp_extract(text, FRENCH_DATE_PATTERN, 3)
+    # One regex pass rewrites a matching text to "year/month/day" (the month
+    # word cannot contain '/'); the parts are then split off.
+    parts = F.split(F.regexp_replace(text, FRENCH_DATE_PATTERN, "$3/$2/$1"), "/", 3)
     months = F.create_map(*[v for k, n in FRENCH_MONTHS.items() for v in (F.lit(k), F.lit(n))])
-    month = F.try_element_at(months, month_name)
+    month = F.try_element_at(months, F.lower(parts.getItem(1)))
     # concat yields NULL when the month is unknown; a strict parse rejects
     # impossible calendar days.
-    iso = F.concat(year, F.lit("-"), month.cast("string"), F.lit("-"), day)
+    iso = F.concat(parts.getItem(0), F.lit("-"), month.cast("string"), F.lit("-"), parts.getItem(2))
     return F.when(text.rlike(FRENCH_DATE_PATTERN),
                   F.try_to_timestamp(iso, F.lit("y-M-d")).cast(T.DateType()))
 
@@ -158,7 +164,7 @@ _ISO_SECONDS_EXACT = r"PT(?:[0-9]+H)?(?:[0-9]+M)?([0-9]+)S"
 # zone suffix after the seconds is accepted and ignored, other trailing text
 # is refused.
 _CLOCK = (rf"^{_WS}*([0-9]{{1,2}}):([0-9]{{1,2}})"
-          rf"(?::([0-9]{{1,2}})(?:\.[0-9]+)?(?:{_WS}*(?:Z|[+-][0-9]{{1,2}}(?::?[0-9]{{2}})?))?)?{_WS}*$")
+          rf"(?::([0-9]{{1,2}})(?:\.([0-9]+))?(?:{_WS}*(?:Z|[+-][0-9]{{1,2}}(?::?[0-9]{{2}})?))?)?{_WS}*$")
 
 
 def _part(text: Column, pattern: str) -> Column:
@@ -170,13 +176,14 @@ def duration_seconds(x: ColumnOrName, exact: bool = False) -> Column:
     text = _c(x).cast("string")
     iso = (_part(text, _ISO_HOURS) * 3600 + _part(text, _ISO_MINUTES) * 60
            + _part(text, _ISO_SECONDS_EXACT if exact else _ISO_SECONDS_QUIRK))
-    h = F.regexp_extract(text, _CLOCK, 1).try_cast(T.LongType())
-    m = F.regexp_extract(text, _CLOCK, 2).try_cast(T.LongType())
-    s = F.coalesce(F.regexp_extract(text, _CLOCK, 3).try_cast(T.LongType()), F.lit(0))
-    frac_zero = ~text.rlike(r"\.[0-9]*[1-9]")
-    valid_clock = (text.rlike(_CLOCK) & (m <= 59) & (s <= 59)
-                   & ((h <= 23) | ((h == 24) & (m == 0) & (s == 0) & frac_zero)))
-    clock = h * 3600 + m * 60 + s
+    # A clock text is rewritten in one regex pass to "h:m:s:fraction" and
+    # split; the fraction only matters for 24:00:00 (nothing may follow).
+    hms = F.split(F.regexp_replace(text, _CLOCK, "$1:$2:$3:$4"), ":", 4)
+    h, m = hms.getItem(0).try_cast(T.LongType()), hms.getItem(1).try_cast(T.LongType())
+    s = F.coalesce(hms.getItem(2).try_cast(T.LongType()), F.lit(0).cast(T.LongType()))
+    frac_zero = ~hms.getItem(3).rlike("[1-9]")
+    in_range = (m <= 59) & (s <= 59) & ((h <= 23) | ((h == 24) & (m == 0) & (s == 0) & frac_zero))
+    clock = F.when(in_range, h * 3600 + m * 60 + s)
     return (F.when(text.startswith("PT"), iso)
-            .when(valid_clock, clock)
+            .when(text.rlike(_CLOCK), clock)
             .otherwise(F.lit(None).cast(T.LongType())))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from trendlens.functions.parsing import french_display
 from trendlens.operators import filters as flt
 
 
@@ -13,11 +14,13 @@ def date_range(df: DataFrame, *, day: str = flt.DAY) -> DataFrame:
     return df.agg(F.min(day).cast("string").alias("min_date"), F.max(day).cast("string").alias("max_date"))
 
 
-def trending_dates(df: DataFrame, *, day: str = flt.DAY) -> DataFrame:
+def trending_dates(df: DataFrame, *, day: str = flt.DAY, display: bool = False) -> DataFrame:
     """``d``: the distinct non-NULL days as ISO text, ascending. De-duplicated
-    on the DATE value (4 bytes) before it is formatted."""
+    on the DATE value (4 bytes) before it is formatted. ``display`` adds
+    ``d_display``, the same day as dd/MM/yyyy (as shown beside the map)."""
     days = df.where(F.col(day).isNotNull()).select(day).distinct()
-    return days.select(F.col(day).cast("string").alias("d")).orderBy("d")
+    extra = [french_display(F.col(day)).alias("d_display")] if display else []
+    return days.select(F.col(day).cast("string").alias("d"), *extra).orderBy("d")
 
 
 def channel_countries(df: DataFrame, *, src: str = flt.SRC) -> DataFrame:
