@@ -31,9 +31,10 @@ def test_to_bigint_literals(spark):
 
 
 def test_first_nondigit_removed(spark):
-    vals = ["1,234,567", "-5", "123", "", "a1b2", "12.5"]
-    assert one_col(spark, vals, first_nondigit_removed) == ["1234,567", "5", "123", "", "1b2", "125"]
-    got = one_col(spark, vals, lambda c: first_nondigit_removed(c).try_cast("bigint"))
+    vals = ["1,234,567", "-5", "123", "", "a1b2", "12.5", "0a.", "1,2.5", " 7"]
+    assert one_col(spark, vals, first_nondigit_removed) == ["1234,567", "5", "123", "", "1b2", "125", "0.",
+                                                            "12.5", "7"]
+    got = one_col(spark, vals, digits_bigint)
     assert got == duck("try_cast(regexp_replace(CAST(? AS VARCHAR), '[^0-9]', '') AS BIGINT)", vals)
 
 
@@ -47,7 +48,7 @@ def test_digits_fast_path_matches_text_path(spark):
 DURATIONS = ["PT1H2M3S", "PT45S", "PT5S", "PT1H45S", "PT123S", "PT", "P1DT2H", "2:30", "24:00:00", "25:00:00",
              "1:02:03", "24:00:01", "23:59:60", "12:34:56.789", " 1:02:03 ", "\t1:02:03", "1:2:3", "1:02:03Z",
              "1:02:03+01:30", "12:60:00", "none", "", "PT1M30S", "PT10M", "PT2H", "24:00:00.5", "24:00:00.000",
-             "24:00", "7:5:9.25", "1:02:03 Z"]
+             "24:00", "7:5:9.25", "1:02:03 Z", " 0:00 ", "1:02 ", "1:02:03\t", "1:02Z"]
 
 
 def test_duration_literals(spark):

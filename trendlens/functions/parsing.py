@@ -62,7 +62,9 @@ def digits_bigint(x: ColumnOrName, data_type: T.DataType | None = None) -> Colum
     if isinstance(data_type, (T.LongType, T.IntegerType, T.ShortType, T.ByteType)):
         wide = col.cast(T.LongType())
         return F.when(wide == F.lit(-(2 ** 63)), F.lit(None).cast(T.LongType())).otherwise(F.abs(wide))
-    return first_nondigit_removed(col).try_cast(T.LongType())
+    # What is left may still read as a number with a fraction or exponent
+    # (``1,2.5`` -> ``12.5`` -> 13), so the lenient SQL-style cast applies.
+    return to_bigint(first_nondigit_removed(col))
 
 
 # --------------------------------------------------------------------------
@@ -161,10 +163,10 @@ _ISO_MINUTES = r"PT(?:[0-9]+H)?([0-9]+)M"
 _ISO_SECONDS_QUIRK = r"PT(?:[0-9]+H)?(?:[0-9]+)M?([0-9]+)S"
 _ISO_SECONDS_EXACT = r"PT(?:[0-9]+H)?(?:[0-9]+M)?([0-9]+)S"
 # Clock text h:m[:s[.fraction][zone]], hour 0-24 (24 only as 24:00:00); a
-# zone suffix after the seconds is accepted and ignored, other trailing text
-# is refused.
+# zone suffix and trailing blanks are accepted only after seconds (as the SQL
+# TIME cast does), other trailing text is refused.
 _CLOCK = (rf"^{_WS}*([0-9]{{1,2}}):([0-9]{{1,2}})"
-          rf"(?::([0-9]{{1,2}})(?:\.([0-9]+))?(?:{_WS}*(?:Z|[+-][0-9]{{1,2}}(?::?[0-9]{{2}})?))?)?{_WS}*$")
+          rf"(?::([0-9]{{1,2}})(?:\.([0-9]+))?(?:{_WS}*(?:Z|[+-][0-9]{{1,2}}(?::?[0-9]{{2}})?))?{_WS}*)?$")
 
 
 def _part(text: Column, pattern: str) -> Column:
