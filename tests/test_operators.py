@@ -105,6 +105,13 @@ def test_views_timeline_engagement(df):
     assert [(r.d, r.views) for r in every] == [("2024-01-01", 7), ("2024-01-03", 70)]
 
 
+def test_explode_tags_positions(spark):
+    df = spark.createDataFrame([("v", D1, " A,b, cc ,,dd?,ee")], "video_id string, video_trending_date date, "
+                                                               "video_tags string")
+    got = [(r.tag, r.tag_position) for r in ops.explode_tags(df, with_position=True).collect()]
+    assert got == [("cc", 3), ("ee", 6)]
+
+
 def test_explode_tags_rules(df):
     got = sorted((r.tag, r.video_id) for r in ops.explode_tags(df).collect())
     assert ("q?", "c") not in got and ("w", "c") not in got  # '?' and 1-character tags dropped
@@ -124,6 +131,8 @@ def test_top_tags_equals_many_to_many_brute_force(spark):
     want = Counter(t for (t, v, d) in trows for (mv, md) in mrows if v == mv and d == md and d is not None)
     assert got == dict(want)
     assert got["alpha"] == 3 * 2 + 1  # key (v, D1): 3 tag rows x 2 matching rows, plus w
+    derived = {r.tag: r.tag_count for r in ops.top_tags(None, df, mode="international", min_count=1).collect()}
+    assert derived == got
 
 
 def test_top_channels(df):

@@ -9,23 +9,30 @@ from trendlens.functions.text import split_tags
 from trendlens.operators import filters as flt
 
 
-def explode_tags(df: DataFrame, tags: str = flt.TAGS, keys: tuple[str, ...] = (flt.VIDEO, flt.DAY)) -> DataFrame:
+def explode_tags(df: DataFrame, tags: str = flt.TAGS, keys: tuple[str, ...] = (flt.VIDEO, flt.DAY),
+                 with_position: bool = False) -> DataFrame:
     """``tag, <keys...>``: one row per usable tag of each row.
 
     The whole tag text is lower-cased, trimmed and split at every comma; each
     part is trimmed and kept when it has more than one character and no
     ``?``. Rows whose tag text is NULL or empty give nothing. Map-only: no
-    shuffle.
+    shuffle. ``with_position`` adds ``tag_position``, the 1-based place of
+    the part in the text (counting dropped parts), from ``posexplode``.
     """
     rows = df.where(F.col(tags).isNotNull() & (F.col(tags) != ""))
-    parts = rows.select(F.explode(split_tags(tags)).alias("_part"), *keys)
+    if with_position:
+        parts = rows.select(F.posexplode(split_tags(tags)).alias("_pos", "_part"), *keys)
+        extra = [(F.col("_pos") + 1).alias("tag_position")]
+    else:
+        parts = rows.select(F.explode(split_tags(tags)).alias("_part"), *keys)
+        extra = []
     tag = F.trim(F.col("_part"))
-    return parts.where((F.length(tag) > 1) & ~tag.contains("?")).select(tag.alias("tag"), *keys)
+    return parts.where((F.length(tag) > 1) & ~tag.contains("?")).select(tag.alias("tag"), *keys, *extra)
 
 
-def top_tags(tags: DataFrame, df: DataFrame, on_date=None, src: str | None = None, mode: str | None = "",
+def top_tags(tags: DataFrame | None, df: DataFrame, on_date=None, src: str | None = None, mode: str | None = "",
              min_count: int = 2, limit: int = 100, *, video: str = flt.VIDEO, day: str = flt.DAY,
-             src_col: str = flt.SRC, dst_col: str = flt.DST) -> DataFrame:
+             src_col: str = flt.SRC, dst_col: str = flt.DST, tags_col: str = flt.TAGS) -> DataFrame:
     """``tag, tag_count``: how often each tag meets a matching row of ``df``
     on (video, day), at least ``min_count``, most frequent first.
 
@@ -37,12 +44,21 @@ def top_tags(tags: DataFrame, df: DataFrame, on_date=None, src: str | None = Non
     (map-side partial sums, then a shuffle of one row per tag and task). A
     key holding a third of all tag rows is one row on the other side; AQE's
     skew-join handling splits its partition if the join is shuffled.
+
+    ``tags=None`` means the tag table is ``explode_tags(df)`` itself. Then the
+    per-key counts are joined to the rows holding tag text -- one row per
+    source row instead of one per tag -- and the text is exploded after the
+    join: the same sums from a join several times smaller.
     """
     rows = flt.where(df, flt.day_filter(on_date, day=day), flt.equals_ci(src_col, src),
                      flt.flow_mode(mode, src_col, dst_col))
     matches = rows.groupBy(video, day).agg(F.count(F.lit(1)).alias("_rows"))
-    usable = tags.where(F.col("tag").isNotNull() & (F.length(F.trim(F.col("tag"))) > 0))
-    counted = (usable.select("tag", video, day).join(matches, [video, day])
-               .groupBy("tag").agg(F.sum("_rows").alias("tag_count")))
+    if tags is None:
+        texts = df.where(F.col(tags_col).isNotNull() & (F.col(tags_col) != "")).select(video, day, tags_col)
+        weighted = explode_tags(texts.join(matches, [video, day]), tags=tags_col, keys=("_rows",))
+    else:
+        usable = tags.where(F.col("tag").isNotNull() & (F.length(F.trim(F.col("tag"))) > 0))
+        weighted = usable.select("tag", video, day).join(matches, [video, day])
+    counted = weighted.groupBy("tag").agg(F.sum("_rows").alias("tag_count"))
     return (counted.where(F.col("tag_count") >= int(min_count))
             .orderBy(F.desc("tag_count"), F.asc("tag")).limit(int(limit)))
