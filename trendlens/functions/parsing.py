@@ -115,8 +115,9 @@ FRENCH_MONTHS = {
     "decembre": 12,
 }
 
-# "<weekday> <day> <month> <year>", letters A-Z, a-z and U+00C0..U+00FF.
-# Blank is spelled out as [\t\n\f\r ] so Java matches what RE2's \s matches.
+# The French long-date shape "<weekday> <day> <month> <year>",
+# words of letters A-Z, a-z and U+00C0..U+00FF. Blank is spelled out as
+# [\t\n\f\r ] so Java matches what RE2's \s matches.
 _WS = r"[\t\n\f\r ]"
 _WORD = "[A-Za-zÀ-ÿ]+"
 FRENCH_DATE_PATTERN = rf"^{_WORD}{_WS}+([0-9]{{1,2}}){_WS}+({_WORD}){_WS}+([0-9]{{4}}){_WS}*$"
@@ -155,9 +156,10 @@ def french_display(x: ColumnOrName) -> Column:
 # durations
 # --------------------------------------------------------------------------
 
-# ISO-8601 parts. The seconds pattern is the one of the original cleaning
-# step: it wants a digit run before the seconds, so ``PT45S`` gives 5 and
-# ``PT5S`` gives 0. ``exact=True`` swaps in the correct pattern.
+# The ISO-8601 duration part patterns. The seconds pattern is
+# kept as the original cleaning step has it: it wants a digit run before the
+# seconds, so ``PT45S`` gives 5 and ``PT5S`` gives 0. ``exact=True`` swaps in
+# the correct pattern.
 _ISO_HOURS = r"PT([0-9]+)H"
 _ISO_MINUTES = r"PT(?:[0-9]+H)?([0-9]+)M"
 _ISO_SECONDS_QUIRK = r"PT(?:[0-9]+H)?(?:[0-9]+)M?([0-9]+)S"

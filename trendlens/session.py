@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -65,12 +64,3 @@ def shared_path(spark: SparkSession, *parts: str) -> str:
     """A path below the shared folder (URI-safe join)."""
     base = shared_dir(spark).rstrip("/")
     return "/".join([base, *[p.strip("/") for p in parts]])
-
-
-def local_path(path: str) -> str:
-    """Strip a ``file:`` scheme, for helpers that test existence locally."""
-    return path[len("file:"):] if path.startswith("file:") else path
-
-
-def exists(path: str) -> bool:
-    return os.path.exists(local_path(path))
