@@ -46,7 +46,11 @@ def canon(v):
     return ("s", str(v))
 
 
-def rows_equal(a, b, tol=1e-9):
+TOL = float(os.environ.get("ORACLE_TOL", "0"))
+
+
+def rows_equal(a, b, tol=None):
+    tol = TOL if tol is None else tol
     if len(a) != len(b):
         return False
     for ra, rb in zip(a, b):
