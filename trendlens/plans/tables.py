@@ -34,13 +34,17 @@ _LOCK = threading.RLock()
 _MEMO: dict[tuple[str, str, str], tuple[str, object]] = {}
 
 
+def layout(df: DataFrame, cluster_by: tuple[str, ...] = (), sort_by: tuple[str, ...] = ()) -> DataFrame:
+    """The rows as they are written: rebalanced (by ``cluster_by`` if given,
+    else evenly) and sorted inside each file by ``sort_by``."""
+    out = df.hint("rebalance", *cluster_by) if cluster_by else df.hint("rebalance")
+    return out.sortWithinPartitions(*sort_by) if sort_by else out
+
+
 def _write(spark: SparkSession, df: DataFrame, name: str, cluster_by: tuple[str, ...],
            sort_by: tuple[str, ...]) -> str:
     path = shared_path(spark, "trendlens-tables", f"{name}-{uuid.uuid4().hex}")
-    out = df.hint("rebalance", *cluster_by) if cluster_by else df.hint("rebalance")
-    if sort_by:
-        out = out.sortWithinPartitions(*sort_by)
-    out.write.mode("errorifexists").parquet(path)
+    layout(df, cluster_by, sort_by).write.mode("errorifexists").parquet(path)
     return path
 
 
