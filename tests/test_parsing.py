@@ -109,12 +109,14 @@ def test_split_tags_keeps_empty_parts(spark):
 
 
 def test_country_key(spark):
-    vals = [" USA ", "Côte d'Ivoire", "Ivory Coast", "RUSSIA", "", None, "Burma", "São Tomé"]
+    vals = [" USA ", "Côte d'Ivoire", "Ivory Coast", "RUSSIA", "", None, "Burma", "São Tomé", "\tUK\u00a0",
+            "Việt Nam", "Ελλάδα"]
     assert one_col(spark, vals, country_key) == ["united states of america", "cote d'ivoire", "cote d'ivoire",
-                                                  "russian federation", "", None, "myanmar", "sao tome"]
+                                                  "russian federation", "", None, "myanmar", "sao tome",
+                                                  "united kingdom", "viet nam", "ελλαδα"]
 
 
-@pytest.mark.parametrize("text", ["Été", "ÀÉÎÕÜ çñ", "Ångström", "ø æ ß đ"])
+@pytest.mark.parametrize("text", ["Été", "ÀÉÎÕÜ çñ", "Ångström", "ø æ ß đ", "Việt Nam", "Ελλάδα", "Йемен"])
 def test_accent_strip_matches_nfd_rule(spark, text):
     import unicodedata
     from trendlens.functions.text import strip_accents

@@ -17,16 +17,19 @@ def split_tags(x: ColumnOrName) -> Column:
 
 
 def _accent_table() -> tuple[str, str]:
-    """Letters of U+00C0..U+024F whose canonical decomposition is a base letter
-    plus combining marks (U+0300..U+036F), paired with that base letter.
+    """Characters of the Basic Multilingual Plane whose canonical
+    decomposition is one base character plus combining marks
+    (U+0300..U+036F), paired with that base character.
 
     Built from the Unicode database rather than typed in, so it equals "NFD,
-    then drop combining marks" for every precomposed Latin letter; letters
-    without a decomposition (ø, æ, ß, đ) stay as they are, as they do under
-    that rule.
+    then drop combining marks" for every such precomposed letter (Latin,
+    Greek, Cyrillic, Vietnamese ...); letters without a decomposition
+    (ø, æ, ß, đ) stay as they are, as they do under that rule.
     """
     src, dst = [], []
-    for cp in range(0x00C0, 0x0250):
+    for cp in range(0x00C0, 0x10000):
+        if 0xD800 <= cp <= 0xDFFF:
+            continue
         ch = chr(cp)
         nfd = unicodedata.normalize("NFD", ch)
         base = "".join(c for c in nfd if not 0x0300 <= ord(c) <= 0x036F)
@@ -61,16 +64,24 @@ COUNTRY_SYNONYMS = {
 
 
 def strip_accents(x: ColumnOrName) -> Column:
-    """Replace precomposed accented Latin letters by their base letter."""
+    """Replace precomposed letters with combining marks by their base letter."""
     return F.translate(_c(x), _ACCENTED, _PLAIN)
 
 
+def strip_blanks(x: ColumnOrName) -> Column:
+    """Remove leading and trailing Unicode whitespace (tabs, no-break spaces
+    ... not only the ASCII space that ``trim`` removes)."""
+    return F.regexp_replace(_c(x), r"(?U)^\s+|\s+$", "")
+
+
 def country_key(x: ColumnOrName) -> Column:
-    """Matching key of a country name: trim, lower, strip accents, synonyms.
+    """Matching key of a country name: strip whitespace, lower, strip
+    accents, synonyms -- the normalisation the map page applies to both the
+    data names and the shape names.
 
     NULL stays NULL; a blank name gives ``''`` (callers drop it: an empty key
     matches nothing).
     """
-    base = strip_accents(F.lower(F.trim(_c(x))))
+    base = strip_accents(F.lower(strip_blanks(x)))
     synonyms = F.create_map(*[v for k, s in COUNTRY_SYNONYMS.items() for v in (F.lit(k), F.lit(s))])
     return F.coalesce(F.try_element_at(synonyms, base), base)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from trendlens.functions.text import country_key
+from trendlens.functions.text import country_key, strip_blanks
 from trendlens.operators._common import zero_if_null
 
 _GEOMETRIES = ("objects", "countries", "geometries")
@@ -35,7 +35,7 @@ def country_names(atlas: DataFrame) -> DataFrame:
         return atlas.sparkSession.createDataFrame([], "name string")
     geo = atlas.select(F.explode(F.col(".".join(_GEOMETRIES))).alias("g"))
     name = F.col("g.properties.name").cast("string")
-    stripped = F.regexp_replace(name, r"(?U)^\s+|\s+$", "")
+    stripped = strip_blanks(name)
     return (geo.where(name.isNotNull() & (name != "")).select(stripped.alias("name"))
             .distinct().orderBy("name"))
 
