@@ -16,9 +16,11 @@ def views_timeline(df: DataFrame, video_id: str | None = None, mode: str | None
     matching rows and ``engagement_rate = round((likes+comments)*100/views, 4)``
     (0 when views is 0). Days that are NULL are left out.
 
-    With ``video_id`` the series of that video (id matched case-blind);
-    without it, the series of every video at once, keyed by ``video_id`` --
-    one grouped pass instead of one query per video.
+    With ``video_id`` the series of that video (id matched case-blind),
+    ordered by day; without it, the series of every video at once, keyed by
+    ``video_id`` -- one grouped pass instead of one query per video, left
+    unordered (a global sort of every video-day row would be the costliest
+    step at scale and nothing needs it; sort per video when reading).
     """
     preds = (flt.equals_ci(video, video_id) if video_id is not None else None,
              F.col(day).isNotNull(), flt.flow_mode(mode))
@@ -35,4 +37,4 @@ def views_timeline(df: DataFrame, video_id: str | None = None, mode: str | None
     lead = [] if video_id is not None else ["video_id"]
     out = daily.select(*lead, F.col(day).cast("string").alias("d"), "views", "likes", "comments",
                        rate.alias("engagement_rate"))
-    return out.orderBy(*lead, "d")
+    return out.orderBy("d") if video_id is not None else out
