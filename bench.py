@@ -33,7 +33,7 @@ def _sf(path: str):
 
 def main() -> None:
     from trendlens.plans import registry
-    from trendlens.plans.tables import raw_snapshots_table, raw_table, tags_table, trending_table
+    from trendlens.plans.tables import csv_export, raw_snapshots_table, raw_table, tags_table, trending_table
     from trendlens.session import get_spark
 
     spark = get_spark(f"local[{CPUS}]", app="trendlens-bench", shuffle_partitions=CPUS * 2,
@@ -49,6 +49,9 @@ def main() -> None:
     raw_table(spark, SF_DIR)
     raw_snapshots_table(spark, SF_DIR)
     etl["raw_tables"] = round(time.perf_counter() - t0, 3)
+    t0 = time.perf_counter()
+    csv_export(spark, SF_DIR)
+    etl["csv_export"] = round(time.perf_counter() - t0, 3)
 
     times = {}
     for name, build in registry.queries().items():

@@ -96,3 +96,17 @@ def raw_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 def raw_snapshots_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The four raw text columns with their keys, stored once."""
     return _memo_table(spark, sf_dir, "raw_snapshots", lambda: st.raw_snapshots(spark, sf_dir), (), ())
+
+
+def csv_export(spark: SparkSession, sf_dir: str) -> str:
+    """The raw table exported once per session as CSV files (the input of
+    the CSV and streaming ingest runs); returns the folder."""
+    from trendlens.sources.csv import write_csv
+    key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"), "youtube.csv")
+    with _LOCK:
+        hit = _MEMO.get(key)
+        if hit is None:
+            path = shared_path(spark, "trendlens-tables", f"youtube-csv-{uuid.uuid4().hex}")
+            hit = (write_csv(raw_table(spark, sf_dir), path), None)
+            _MEMO[key] = hit
+    return hit[0]
