@@ -40,7 +40,8 @@ def main() -> None:
     from trendlens.plans.tables import csv_export, raw_snapshots_table, raw_table, tags_table, trending_table
     from trendlens.session import get_spark
 
-    spark = get_spark(f"local[{CPUS}]", app="trendlens-bench", shuffle_partitions=CPUS * 2,
+    spark = get_spark(f"local[{CPUS}]", app="trendlens-bench",
+                      shuffle_partitions=int(os.environ.get("BENCH_SHUFFLE_PARTITIONS", CPUS)),
                       extra={"spark.driver.memory": "16g"})
     etl = {}
     t0 = time.perf_counter()
@@ -58,7 +59,10 @@ def main() -> None:
     etl["csv_export"] = round(time.perf_counter() - t0, 3)
 
     times, errors = {}, {}
+    only = {n for n in os.environ.get("BENCH_ONLY", "").split(",") if n}
     for name, build in registry.queries().items():
+        if only and name not in only:
+            continue
         runs = []
         try:
             for i in range(RUNS + 1):
@@ -80,6 +84,8 @@ def main() -> None:
         for t in TABLES:
             con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SF_DIR}/{t}.parquet')")
         for name, sql in registry.oracle_sql().items():
+            if only and name not in only:
+                continue
             runs = []
             for i in range(RUNS + 1):
                 t0 = time.perf_counter()

@@ -13,8 +13,8 @@ SCHEMA = ("video_id string, video_title string, channel_title string, channel_co
 
 
 def test_facade_round_trip(spark):
-    spark.createDataFrame(ROWS, SCHEMA).write.mode("overwrite").saveAsTable("yt_clean_api")
-    data = TrendingData(spark, "yt_clean_api")
+    spark.createDataFrame(ROWS, SCHEMA).write.mode("overwrite").saveAsTable("trending_clean_api")
+    data = TrendingData(spark, "trending_clean_api")
     counts, totals = data.country_counts()
     assert {r.country: r.cnt for r in counts.collect()} == {"Spain": 2}
     assert totals.first().asDict() == {"total": 2, "max_count": 2}
@@ -26,7 +26,7 @@ def test_facade_round_trip(spark):
     assert data.update({"video_title": "New"}, "video_id = 'b'") == 1
     assert data.delete("video_id = 'a' AND video_trending_date = DATE'2024-01-01'") == 1
     assert data.insert([{"video_id": "c", "video_trending_date": "2024-01-03"}]) == 1
-    final = {(r.video_id, r.video_title) for r in spark.table("yt_clean_api").collect()}
+    final = {(r.video_id, r.video_title) for r in spark.table("trending_clean_api").collect()}
     assert final == {("a", "A"), ("b", "New"), ("c", None)}
-    res = data.query("select video_id from yt_clean_api order by video_id", max_rows=2)
+    res = data.query("select video_id from trending_clean_api order by video_id", max_rows=2)
     assert res.rows == [("a",), ("b",)] and res.truncated

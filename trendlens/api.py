@@ -48,7 +48,7 @@ class TrendingData:
     tag questions derive the tags from the clean table.
     """
 
-    def __init__(self, spark: SparkSession, clean: DataFrame | str = "yt_clean",
+    def __init__(self, spark: SparkSession, clean: DataFrame | str = "trending_clean",
                  tags: DataFrame | str | None = None, raw: DataFrame | str | None = None):
         self.spark = spark
         self._clean, self._tags, self._raw = clean, tags, raw

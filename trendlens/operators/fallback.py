@@ -22,14 +22,14 @@ def _usable(spark: SparkSession, table: str) -> DataFrame | None:
     return df if flt.DAY in df.columns else None
 
 
-def flows_or_raw(spark: SparkSession, clean: str = "yt_clean", raw: str = "youtube", **kwargs) -> DataFrame:
+def flows_or_raw(spark: SparkSession, clean: str = "trending_clean", raw: str = "trending_raw", **kwargs) -> DataFrame:
     """``country_flows`` on the clean table, else ``country_flows_raw`` on
     the raw one (where day, mode and source arguments do not apply)."""
     df = _usable(spark, clean)
     return country_flows(df, **kwargs) if df is not None else country_flows_raw(spark.table(raw))
 
 
-def counts_or_raw(spark: SparkSession, clean: str = "yt_clean", raw: str = "youtube", **kwargs) -> DataFrame:
+def counts_or_raw(spark: SparkSession, clean: str = "trending_clean", raw: str = "trending_raw", **kwargs) -> DataFrame:
     """``country_counts`` on the clean table, else unfiltered on the raw one."""
     df = _usable(spark, clean)
     return country_counts(df, **kwargs) if df is not None else country_counts(spark.table(raw))

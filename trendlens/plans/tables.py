@@ -90,7 +90,7 @@ def raw_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     stored once. Parsing reads stored columns, as it does after an ingest:
     parsing a computed column would make Catalyst inline its computation
     into each of the many references a regex parser makes."""
-    return _memo_table(spark, sf_dir, "youtube", lambda: st.raw_trending(spark, sf_dir), (), ())
+    return _memo_table(spark, sf_dir, "raw_trending", lambda: st.raw_trending(spark, sf_dir), (), ())
 
 
 def raw_snapshots_table(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -102,11 +102,11 @@ def csv_export(spark: SparkSession, sf_dir: str) -> str:
     """The raw table exported once per session as CSV files (the input of
     the CSV and streaming ingest runs); returns the folder."""
     from trendlens.sources.csv import write_csv
-    key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"), "youtube.csv")
+    key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"), "raw_trending.csv")
     with _LOCK:
         hit = _MEMO.get(key)
         if hit is None:
-            path = shared_path(spark, "trendlens-tables", f"youtube-csv-{uuid.uuid4().hex}")
+            path = shared_path(spark, "trendlens-tables", f"raw-trending-csv-{uuid.uuid4().hex}")
             hit = (write_csv(raw_table(spark, sf_dir), path), None)
             _MEMO[key] = hit
     return hit[0]
