@@ -53,6 +53,8 @@ def test_bad_day_and_mode_refused(df):
         ops.country_counts(df, on_date="2024-13-45")
     with pytest.raises(ValueError):
         ops.country_counts(df, on_date="01/02/2024")
+    with pytest.raises(ValueError):
+        ops.country_counts(df, on_date="2024-01-02", start="2024-02-30")
     with pytest.raises(ValueError):
         ops.country_flows(df, mode="sideways")
     with pytest.raises(ValueError):

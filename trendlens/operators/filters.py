@@ -70,11 +70,11 @@ def where(df, *preds: Column | None):
 
 
 def day_filter(on_date=None, start=None, end=None, day: str = DAY) -> Column | None:
-    """One day (wins over a range), else an inclusive open or closed range."""
-    d = parse_day(on_date)
+    """One day (wins over a range), else an inclusive open or closed range.
+    All three values are checked, even those a given day makes unused."""
+    d, lo, hi = parse_day(on_date), parse_day(start), parse_day(end)
     if d is not None:
         return F.col(day) == F.lit(d)
-    lo, hi = parse_day(start), parse_day(end)
     return all_of(F.col(day) >= F.lit(lo) if lo else None, F.col(day) <= F.lit(hi) if hi else None)
 
 
