@@ -42,7 +42,9 @@ def main() -> None:
 
     spark = get_spark(f"local[{CPUS}]", app="trendlens-bench",
                       shuffle_partitions=int(os.environ.get("BENCH_SHUFFLE_PARTITIONS", CPUS)),
-                      extra={"spark.driver.memory": "16g"})
+                      extra={"spark.driver.memory": "16g",
+                             **({"spark.sql.sources.fileCompressionFactor": os.environ["BENCH_FCF"]}
+                                if os.environ.get("BENCH_FCF") else {})})
     etl = {}
     t0 = time.perf_counter()
     trending_table(spark, SF_DIR)
