@@ -105,3 +105,15 @@ def test_fallback_to_raw_table(spark):
     got = flows_or_raw(spark, clean="no_such_clean", raw="raw_only_src", mode="international").collect()
     assert [(r.src, r.dst, r.cnt, r.views) for r in got] == [("FR", "ES", 2, 22)]
     assert {r.country: r.cnt for r in counts_or_raw(spark, "no_such_clean", "raw_only_src").collect()} == {"ES": 2}
+
+
+def test_streaming_refuses_reordered_header(spark, tmp_dir):
+    import pytest
+    src = os.path.join(tmp_dir, "incoming")
+    os.makedirs(src)
+    cols = list(RAW_COLUMNS)
+    cols[0], cols[1] = cols[1], cols[0]
+    _write_text(os.path.join(src, "bad.csv"), ",".join(cols) + "\n" + ",".join(["x"] * len(cols)) + "\n")
+    q = stream_clean_snapshots(spark, src, os.path.join(tmp_dir, "out"), os.path.join(tmp_dir, "ck"))
+    with pytest.raises(Exception):
+        q.awaitTermination()

@@ -21,7 +21,9 @@ def read_csv(spark: SparkSession, path: str | list[str], sep: str = ",", infer:
     reader = (spark.read.option("header", True).option("sep", sep).option("multiLine", multiline)
               .option("quote", '"').option("escape", '"').option("encoding", encoding))
     if schema is not None:
-        reader = reader.schema(schema)
+        # Check each file's header against the schema instead of applying it
+        # by position.
+        reader = reader.schema(schema).option("enforceSchema", False)
     elif infer:
         reader = reader.option("inferSchema", True).option("samplingRatio", 1.0)
     return reader.csv(path)

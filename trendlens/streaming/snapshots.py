@@ -26,8 +26,11 @@ def stream_clean_snapshots(spark: SparkSession, source_dir: str, target_dir: str
                            max_files_per_trigger: int | None = None) -> StreamingQuery:
     """Start the incremental cleaning of CSV snapshots in ``source_dir``
     into Parquet at ``target_dir``. Returns the running query."""
-    reader = (spark.readStream.schema(RAW_SCHEMA).option("header", True).option("sep", sep)
-              .option("multiLine", True).option("quote", '"').option("escape", '"'))
+    # enforceSchema=false: the header of every file is checked against the
+    # schema, so a file with columns in another order fails loudly instead
+    # of being read by position into the wrong columns.
+    reader = (spark.readStream.schema(RAW_SCHEMA).option("header", True).option("enforceSchema", False)
+              .option("sep", sep).option("multiLine", True).option("quote", '"').option("escape", '"'))
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", int(max_files_per_trigger))
     clean = clean_trending(reader.csv(source_dir))
