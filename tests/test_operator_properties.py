@@ -9,7 +9,7 @@ from hypothesis import strategies as st
 
 from trendlens import operators as ops
 
-SETTINGS = settings(max_examples=4, deadline=None, suppress_health_check=list(HealthCheck))
+SETTINGS = settings(max_examples=4, deadline=None, derandomize=True, suppress_health_check=list(HealthCheck))
 SCHEMA = ("video_id string, video_title string, channel_country string, video_trending_country string, "
           "video_trending_date date, video_view_count bigint, video_like_count bigint, "
           "video_comment_count bigint, video_tags string")
