@@ -117,3 +117,25 @@ def test_streaming_refuses_reordered_header(spark, tmp_dir):
     q = stream_clean_snapshots(spark, src, os.path.join(tmp_dir, "out"), os.path.join(tmp_dir, "ck"))
     with pytest.raises(Exception):
         q.awaitTermination()
+
+
+def test_build_tables_end_to_end(spark, tmp_dir):
+    from trendlens import operators as ops
+    from trendlens.plans.etl import build_tables
+    header = ",".join(RAW_COLUMNS)
+
+    def row(vid, src, dst, day, views, tags):
+        vals = {c: "" for c in RAW_COLUMNS}
+        vals.update(video_id=vid, channel_country=src, video_trending_country=dst, video_trending__date=day,
+                    video_view_count=views, video_tags=tags, video_duration="PT1M30S")
+        return ",".join(f'"{vals[c]}"' for c in RAW_COLUMNS)
+    path = os.path.join(tmp_dir, "export.csv")
+    _write_text(path, "\n".join([header, row("a", "FR", "ES", "Mardi 5 août 2024", "1,234", "Foot, Sport"),
+                                 row("a", "FR", "ES", "Mercredi 6 août 2024", "2000", "foot"),
+                                 row("b", "ES", "ES", "Mardi 5 août 2024", "7", "sport,x")]) + "\n")
+    clean, tags = build_tables(spark, path, os.path.join(tmp_dir, "clean"), os.path.join(tmp_dir, "tags"))
+    assert clean.count() == 3 and tags.count() == 4  # "x" is one character: dropped
+    flows = ops.country_flows(clean, mode="international").collect()
+    assert [(r.src, r.dst, r.cnt, r.views) for r in flows] == [("FR", "ES", 1, 2000)]
+    assert {r.tag: r.tag_count for r in ops.top_tags(tags, clean, mode="all", min_count=1).collect()} == \
+        {"foot": 2, "sport": 2}

@@ -19,3 +19,13 @@ def replace_table(spark: SparkSession, df: DataFrame, table: str, reads_itself:
     data = df.checkpoint(eager=True) if reads_itself else df
     data.write.mode("overwrite").format("parquet").saveAsTable(table)
     return spark.table(table)
+
+
+def save_table(df: DataFrame, path: str, cluster_by: tuple[str, ...] = (), sort_by: tuple[str, ...] = (),
+               mode: str = "errorifexists") -> str:
+    """Write ``df`` as Parquet at ``path``: rebalanced (by ``cluster_by`` if
+    given; AQE sizes the files and splits an oversized key) and sorted by
+    ``sort_by`` inside each file so range predicates skip row groups."""
+    from trendlens.plans.tables import layout
+    layout(df, cluster_by, sort_by).write.mode(mode).parquet(path)
+    return path
