@@ -1,23 +1,30 @@
-"""Saving an edited table."""
+"""Saving tables: a new table, or new contents for an existing one."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
 
-def replace_table(spark: SparkSession, df: DataFrame, table: str, reads_itself: bool = True) -> DataFrame:
-    """Save ``df`` as catalog table ``table``, replacing it.
+def replace_table(spark: SparkSession, df: DataFrame, table: str, root: str | None = None) -> DataFrame:
+    """Save ``df`` as catalog table ``table``, replacing its contents.
 
-    An edit of a table reads that same table, and Spark refuses to overwrite
-    what it is reading. So the new rows are first checkpointed (written to
-    the shared checkpoint folder, lineage cut), then the table is
-    overwritten from the checkpoint. Never a local checkpoint: executors may
-    be lost while the table is rewritten.
+    The rows are written to a new folder (below ``root``, by default the
+    shared folder of ``spark.checkpoint.dir``) and only then is the table
+    pointed at it. An edit reads the table it replaces, so nothing being read
+    is overwritten; lost executors only retry tasks of the write, and a job
+    that fails leaves the old table as it was. Old folders are not deleted.
     """
-    from trendlens.session import shared_dir
-    shared_dir(spark)
-    data = df.checkpoint(eager=True) if reads_itself else df
-    data.write.mode("overwrite").format("parquet").saveAsTable(table)
+    import uuid
+
+    from trendlens.session import shared_path
+    name = f"{table.replace('.', '_')}-{uuid.uuid4().hex}"
+    path = f"{root.rstrip('/')}/{name}" if root else shared_path(spark, "trendlens-tables", name)
+    df.write.mode("errorifexists").parquet(path)
+    if spark.catalog.tableExists(table):
+        spark.sql(f"ALTER TABLE {table} SET LOCATION '{path.replace(chr(39), chr(39) * 2)}'")
+        spark.catalog.refreshTable(table)
+    else:
+        spark.catalog.createTable(table, path=path, source="parquet")
     return spark.table(table)
 
 
