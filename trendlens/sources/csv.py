@@ -34,17 +34,16 @@ def ingest_csv(spark: SparkSession, path: str | list[str], table: str, replace:
     """Load CSV into the catalog table ``table`` and return the table.
 
     ``replace=True`` rebuilds the table; otherwise an existing table is left
-    untouched and returned as is. ``location`` makes it an external table at
-    that path (e.g. below the shared folder) instead of the warehouse.
+    untouched and returned as is. The rows go to a new Parquet folder below
+    ``location`` (by default the shared folder) and the table is then
+    created on it or switched to it, so a failed load never leaves a
+    half-written table.
     """
+    from trendlens.sources.tables import replace_table
     if not replace and spark.catalog.tableExists(table):
         return spark.table(table)
     df = read_csv(spark, path, sep=sep, infer=infer, multiline=multiline)
-    writer = df.write.mode("overwrite").format("parquet")
-    if location:
-        writer = writer.option("path", location)
-    writer.saveAsTable(table)
-    return spark.table(table)
+    return replace_table(spark, df, table, root=location)
 
 
 def write_csv(df: DataFrame, path: str, sep: str = ",") -> str:
