@@ -123,16 +123,16 @@ _WORD = "[A-Za-zÀ-ÿ]+"
 FRENCH_DATE_PATTERN = rf"^{_WORD}{_WS}+([0-9]{{1,2}}){_WS}+({_WORD}){_WS}+([0-9]{{4}}){_WS}*$"
 
 
-def french_date(x: ColumnOrName) -> Column:
-    """French long date text (``Mardi 5 août 2024``) -> DATE, else NULL.
+def french_parts(x: ColumnOrName) -> Column:
+    """The one regex pass of ``french_date``: a matching text rewritten to
+    ``[year, month word, day]`` (the month word cannot contain '/')."""
+    return F.split(F.regexp_replace(_c(x).cast("string"), FRENCH_DATE_PATTERN, "$3/$2/$1"), "/", 3)
 
-    The weekday word is required but not checked against the day. Month names
-    are matched case-blind. An impossible day (31 février) gives NULL.
-    """
-    text = _c(x).cast("string")
-    # One regex pass rewrites a matching text to "year/month/day" (the month
-    # word cannot contain '/'); the parts are then split off.
-    parts = F.split(F.regexp_replace(text, FRENCH_DATE_PATTERN, "$3/$2/$1"), "/", 3)
+
+def french_date_from(x: ColumnOrName, parts: ColumnOrName) -> Column:
+    """``french_date`` given ``french_parts`` of the same text (so a caller
+    can compute the parts once, in an earlier projection)."""
+    text, parts = _c(x).cast("string"), _c(parts)
     months = F.create_map(*[v for k, n in FRENCH_MONTHS.items() for v in (F.lit(k), F.lit(n))])
     month = F.try_element_at(months, F.lower(parts.getItem(1)))
     # concat yields NULL when the month is unknown; a strict parse rejects
@@ -142,6 +142,15 @@ def french_date(x: ColumnOrName) -> Column:
                   F.try_to_timestamp(iso, F.lit("y-M-d")).cast(T.DateType()))
 
 
+def french_date(x: ColumnOrName) -> Column:
+    """French long date text (``Mardi 5 août 2024``) -> DATE, else NULL.
+
+    The weekday word is required but not checked against the day. Month names
+    are matched case-blind. An impossible day (31 février) gives NULL.
+    """
+    return french_date_from(x, french_parts(x))
+
+
 def iso_text(x: ColumnOrName) -> Column:
     """DATE -> ``yyyy-MM-dd`` text."""
     return _c(x).cast("string")
@@ -175,19 +184,30 @@ def _part(text: Column, pattern: str) -> Column:
     return F.coalesce(F.regexp_extract(text, pattern, 1).try_cast(T.LongType()), F.lit(0))
 
 
-def duration_seconds(x: ColumnOrName, exact: bool = False) -> Column:
-    """``PT1H2M3S`` or ``01:02:03`` -> seconds (BIGINT); anything else NULL."""
-    text = _c(x).cast("string")
+def clock_parts(x: ColumnOrName) -> Column:
+    """The one regex pass of the clock branch: a clock text rewritten to
+    ``[h, m, s, fraction]`` (missing parts empty)."""
+    return F.split(F.regexp_replace(_c(x).cast("string"), _CLOCK, "$1:$2:$3:$4"), ":", 4)
+
+
+def duration_seconds_from(x: ColumnOrName, hms: ColumnOrName, exact: bool = False) -> Column:
+    """``duration_seconds`` given ``clock_parts`` of the same text (so a
+    caller can compute the parts once, in an earlier projection: they are
+    read nine times below)."""
+    text, hms = _c(x).cast("string"), _c(hms)
     iso = (_part(text, _ISO_HOURS) * 3600 + _part(text, _ISO_MINUTES) * 60
            + _part(text, _ISO_SECONDS_EXACT if exact else _ISO_SECONDS_QUIRK))
-    # A clock text is rewritten in one regex pass to "h:m:s:fraction" and
-    # split; the fraction only matters for 24:00:00 (nothing may follow).
-    hms = F.split(F.regexp_replace(text, _CLOCK, "$1:$2:$3:$4"), ":", 4)
     h, m = hms.getItem(0).try_cast(T.LongType()), hms.getItem(1).try_cast(T.LongType())
     s = F.coalesce(hms.getItem(2).try_cast(T.LongType()), F.lit(0).cast(T.LongType()))
+    # the fraction only matters for 24:00:00 (nothing may follow)
     frac_zero = ~hms.getItem(3).rlike("[1-9]")
     in_range = (m <= 59) & (s <= 59) & ((h <= 23) | ((h == 24) & (m == 0) & (s == 0) & frac_zero))
     clock = F.when(in_range, h * 3600 + m * 60 + s)
     return (F.when(text.startswith("PT"), iso)
             .when(text.rlike(_CLOCK), clock)
             .otherwise(F.lit(None).cast(T.LongType())))
+
+
+def duration_seconds(x: ColumnOrName, exact: bool = False) -> Column:
+    """``PT1H2M3S`` or ``01:02:03`` -> seconds (BIGINT); anything else NULL."""
+    return duration_seconds_from(x, clock_parts(x), exact)

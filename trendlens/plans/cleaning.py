@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trendlens.functions.parsing import duration_seconds, french_date, to_bigint, to_boolean, to_ts
+from trendlens.functions.parsing import (clock_parts, duration_seconds_from, french_date_from, french_parts,
+                                         to_bigint, to_boolean, to_ts)
 
 TEXT_COLUMNS = (
     "video_id", "channel_id", "channel_title", "video_title", "video_description", "channel_description",
@@ -31,11 +32,17 @@ def clean_trending(raw: DataFrame, exact_duration: bool = False) -> DataFrame:
     One projection of built-in expressions: map-only, codegen'd, no shuffle;
     unparseable cells become NULL.
     """
+    # The two regex rewrites that the day and duration parsers read several
+    # times are computed once, in a projection of their own (Catalyst keeps
+    # it separate: an expensive expression read many times is not inlined).
+    staged = raw.select("*", french_parts(RAW_TRENDING_DAY).alias("_day_parts"),
+                        clock_parts("video_duration").alias("_clock_parts"))
     cols = [F.col(c).cast("string").alias(c) for c in TEXT_COLUMNS]
     cols.append(to_boolean("video_licensed_content").alias("video_licensed_content"))
     cols += [to_bigint(c).alias(c) for c in COUNT_COLUMNS]
     cols += [to_ts(c).alias(c) for c in ("video_published_at", "channel_published_at")]
-    cols.append(french_date(RAW_TRENDING_DAY).alias("video_trending_date"))
+    cols.append(french_date_from(RAW_TRENDING_DAY, "_day_parts").alias("video_trending_date"))
     cols.append(F.col("video_duration"))
-    cols.append(duration_seconds("video_duration", exact=exact_duration).alias("video_duration_seconds"))
-    return raw.select(*cols)
+    cols.append(duration_seconds_from("video_duration", "_clock_parts", exact=exact_duration)
+                .alias("video_duration_seconds"))
+    return staged.select(*cols)
