@@ -13,6 +13,10 @@ SESSION_DEFAULTS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # Fall back from whole-stage codegen for a subtree whose generated method
+    # exceeds what the JIT compiles (8000 bytecodes) instead of running it
+    # interpreted; measured equal or faster on every registered query.
+    "spark.sql.codegen.hugeMethodLimit": "8000",
     # Size estimates of Parquet scans start from the compressed file size;
     # text columns decode to several times that, and an underestimate makes
     # the planner broadcast a side that is not small (measured: the tag join
