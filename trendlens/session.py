@@ -22,6 +22,9 @@ SESSION_DEFAULTS = {
     # the planner broadcast a side that is not small (measured: the tag join
     # broadcast 600k rows and ran 1.7x slower than shuffled).
     "spark.sql.sources.fileCompressionFactor": "4",
+    # Many distinct queries against the same tables (a dashboard): keep
+    # their generated code cached instead of recompiling (default 100).
+    "spark.sql.codegen.cache.maxEntries": "1000",
     "spark.ui.enabled": "false",
 }
 
