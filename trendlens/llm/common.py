@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import os
+import shutil
+import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -25,17 +28,33 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def written(df: DataFrame, name: str, sort: tuple[str, ...] = ()) -> DataFrame:
+def written(df: DataFrame, name: str) -> DataFrame:
     """The frame as a new Parquet table in the shared folder, read back.
 
     Cuts the lineage: a lost executor costs a re-read, not a recomputation,
     and values made from task numbers stay as they were first written.
     """
     path = shared_path(df.sparkSession, "llm", f"{name}-{uuid.uuid4().hex}")
-    (df.sortWithinPartitions(*sort) if sort else df).write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def map_arrow(df: DataFrame, function: Callable, schema) -> DataFrame:
+    """``df.mapInArrow``, with this package sent to the executors once per application."""
+    context = df.sparkSession.sparkContext
+    if not getattr(context, "_package_sent", False):
+        root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+        package = __name__.split(".")[0]
+        if os.path.isdir(os.path.join(root, package)):  # else it came as a zip or is installed
+            folder = tempfile.mkdtemp(prefix="run-")
+            os.makedirs(f"{folder}/tree")
+            shutil.copytree(os.path.join(root, package), f"{folder}/tree/{package}",
+                            ignore=shutil.ignore_patterns("__pycache__"))
+            context.addPyFile(shutil.make_archive(f"{folder}/{package}", "zip", f"{folder}/tree"))
+        context._package_sent = True
+    return df.mapInArrow(function, schema)
+
+
 def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of an Arrow string column and its offsets; null counts as empty."""
     if isinstance(column, pa.ChunkedArray):

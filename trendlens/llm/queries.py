@@ -6,21 +6,50 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import quality_rules
+import public_tokenizers
+
+from . import bpe, dedup_index, packing, pii, quality_rules, sharding
 from .common import documents
 
 
+def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranks = bpe.read_file(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+    return bpe.encode_documents(documents(spark, sf_dir), ranks, public_tokenizers.PATTERN)
+
+
+def op3_jump_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.assign_shards(documents(spark, sf_dir), 16)
+
+
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(documents(spark, sf_dir), bpe.read_file(public_tokenizers.path("byte_bpe_50k.json")))
+
+
+def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup_index.index_duplicates(documents(spark, sf_dir))
+
+
+def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find_personal_data(documents(spark, sf_dir))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_report(documents(spark, sf_dir))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_byte_bpe": op1_byte_bpe,
+        "op3_jump_sharding": op3_jump_sharding,
+        "op5_packing": op5_packing,
+        "op8_exact_dedup": op8_exact_dedup,
+        "op9_personal_data": op9_personal_data,
         "op10_quality_rules": op10_quality_rules,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op8_exact_dedup": dedup_index.SQL,
         "op10_quality_rules": quality_rules.SQL,
     }
