@@ -159,9 +159,10 @@ _SPELLED_RUN = re.compile(rf"(?<!\w)(?:plus[\x20-]+)?(?:{_WORD})(?:[\x20,-]{{1,2
                           rf"{{{MIN_SPELLED - 1},40}}(?!\w)", re.IGNORECASE)
 _SPELLED_WORD = re.compile(rf"plus[\x20-]+|{_WORD}|,\x20?|\x20{{2}}", re.IGNORECASE)
 # Disguised signs: in brackets anywhere; bare words between blanks only as a whole address.
-_BRACKETED = re.compile(r"[\x20]?(?:\[[\x20]?(at|dot)[\x20]?\]|\([\x20]?(at|dot)[\x20]?\)|\{[\x20]?(at|dot)[\x20]?\}"
-                        r"|<[\x20]?(at|dot)[\x20]?>)[\x20]?", re.IGNORECASE)
-_SIGN = {"at": "@", "dot": "."}
+_BRACKETED = re.compile(r"\x20?(?:\[\x20?(at|dot|@|\.)\x20?\]|\(\x20?(at|dot|@|\.)\x20?\)|\{\x20?(at|dot|@|\.)\x20?\}"
+                        r"|<\x20?(at|dot|@|\.)\x20?>)\x20?", re.IGNORECASE)
+_DIGIT_DOT = re.compile(r"(?<=[0-9])\x20dot\x20(?=[0-9])", re.IGNORECASE)
+_SIGN = {"at": "@", "dot": ".", "@": "@", ".": "."}
 _BARE = re.compile(
     rf"(?<![A-Za-z0-9])[A-Za-z0-9_+-]{{1,64}}(?:(?:\.|\x20dot\x20)[A-Za-z0-9_+-]{{1,64}}){{0,3}}(?:\x20at\x20|\x20?@\x20?)"
     rf"[A-Za-z0-9-]{{1,63}}(?:(?:\.|\x20dot\x20)[A-Za-z0-9-]{{1,63}}){{0,3}}\x20dot\x20(?:{_TLDS})(?![A-Za-z0-9])",
@@ -172,7 +173,7 @@ _BARE_SIGN = re.compile(r"\x20at\x20|\x20?@\x20?|\x20dot\x20", re.IGNORECASE)
 def spell_out(traced: Traced) -> Traced:
     """Bracketed signs, then bare ones, then runs of spelled digits."""
     lower = traced.text.lower()
-    if any(sign + close in lower for sign in ("at", "dot") for close in ("]", ")", "}", ">", " ]", " )", " }", " >")):
+    if any(sign + close in lower for sign in _SIGN for close in ("]", ")", "}", ">", " ]", " )", " }", " >")):
         edits = [(m.start(), m.end(), _SIGN[next(g for g in m.groups() if g).lower()])
                  for m in _BRACKETED.finditer(traced.text)]
         traced = traced.rewrite(edits)
@@ -180,6 +181,7 @@ def spell_out(traced: Traced) -> Traced:
         traced = traced.rewrite([
             (m.start() + s.start(), m.start() + s.end(), "." if "dot" in s.group().lower() else "@")
             for m in _BARE.finditer(traced.text) for s in _BARE_SIGN.finditer(m.group())])
+        traced = traced.rewrite([(*m.span(), ".") for m in _DIGIT_DOT.finditer(traced.text)])
     if sum(map(lower.count, _SPELLED)) >= MIN_SPELLED:
         edits = []
         for m in _SPELLED_RUN.finditer(traced.text):

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import public_tokenizers
 
-from . import bpe, dedup_index, packing, pii, quality_rules, sharding
+from . import bpe, dedup_index, licenses, packing, pii, quality_rules, sharding
 from .common import documents
 
 
@@ -25,6 +25,10 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(documents(spark, sf_dir), bpe.read_file(public_tokenizers.path("byte_bpe_50k.json")))
 
 
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(documents(spark, sf_dir))
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_index.index_duplicates(documents(spark, sf_dir))
 
@@ -42,6 +46,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_byte_bpe": op1_byte_bpe,
         "op3_jump_sharding": op3_jump_sharding,
         "op5_packing": op5_packing,
+        "op6_license_scan": op6_license_scan,
         "op8_exact_dedup": op8_exact_dedup,
         "op9_personal_data": op9_personal_data,
         "op10_quality_rules": op10_quality_rules,
