@@ -83,7 +83,7 @@ def grow_directory(prefixes: list[tuple[int, int]], capacity: int, depth: int =
     capacity by the next bit, down to ``depth`` bits.
     """
     prefixes = sorted(prefixes)
-    places = [p for p, _ in prefixes]
+    places = np.array([p for p, _ in prefixes], np.int64)
     total = np.concatenate([[0], np.cumsum([n for _, n in prefixes], dtype=np.int64)])
     done, todo = [], [(0, 0)]  # (first prefix, local depth)
     while todo:

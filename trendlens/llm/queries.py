@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import public_tokenizers
 
-from . import bpe, dedup_index, licenses, packing, pii, quality_rules, sharding
+from . import bpe, dedup_index, licenses, neardup, packing, pii, quality_rules, sharding
 from .common import documents
 
 
@@ -21,6 +21,11 @@ def op3_jump_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign_shards(documents(spark, sf_dir), 16)
 
 
+def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    linked = neardup.link_documents(documents(spark, sf_dir))
+    return linked.select("doc_id", "n_shingles", "component_id", "kept", "n_links")
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(documents(spark, sf_dir), bpe.read_file(public_tokenizers.path("byte_bpe_50k.json")))
 
@@ -45,6 +50,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_byte_bpe": op1_byte_bpe,
         "op3_jump_sharding": op3_jump_sharding,
+        "op4_near_duplicates": op4_near_duplicates,
         "op5_packing": op5_packing,
         "op6_license_scan": op6_license_scan,
         "op8_exact_dedup": op8_exact_dedup,
