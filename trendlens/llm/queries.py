@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import public_tokenizers
 
-from . import bpe, dedup_index, licenses, neardup, packing, pii, quality_rules, sharding
+from . import bpe, dedup_index, langid, licenses, neardup, packing, pii, quality_crf, quality_rules, sharding
 from .common import documents
 
 
@@ -17,6 +17,10 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(documents(spark, sf_dir), ranks, public_tokenizers.PATTERN)
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 def op3_jump_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign_shards(documents(spark, sf_dir), 16)
 
@@ -34,6 +38,11 @@ def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(documents(spark, sf_dir))
 
 
+def op7_quality_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return quality_crf.score_documents(docs, quality_crf.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_index.index_duplicates(documents(spark, sf_dir))
 
@@ -49,10 +58,12 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_byte_bpe": op1_byte_bpe,
+        "op2_language_id": op2_language_id,
         "op3_jump_sharding": op3_jump_sharding,
         "op4_near_duplicates": op4_near_duplicates,
         "op5_packing": op5_packing,
         "op6_license_scan": op6_license_scan,
+        "op7_quality_crf": op7_quality_crf,
         "op8_exact_dedup": op8_exact_dedup,
         "op9_personal_data": op9_personal_data,
         "op10_quality_rules": op10_quality_rules,
