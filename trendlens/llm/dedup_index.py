@@ -36,6 +36,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import map_arrow, written
 
@@ -135,10 +136,9 @@ def index_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text"
         F.col(text).cast("string").alias("text"),
         F.struct(F.col(id_col).alias("doc_id"), F.col(text).isNull().alias("was_null"),
                  *([F.struct(*others).alias("others")] if others else [])).alias("row"))
-    kind = source.schema["row"].dataType.simpleString()
-    entries = written(map_arrow(
-        source, _entries(key_bits, held_bytes), f"number long, rep long, key long, sha string, text binary, row {kind}"),
-        "dedup-entries")
+    kind = (T.StructType().add("number", T.LongType()).add("rep", T.LongType()).add("key", T.LongType())
+            .add("sha", T.StringType()).add("text", T.BinaryType()).add(source.schema["row"]))
+    entries = written(map_arrow(source, _entries(key_bits, held_bytes), kind), "dedup-entries")
 
     reps = entries.filter("number = rep")
     sizes = (reps.groupBy("key").agg(F.max(F.octet_length("text")).alias("n"))

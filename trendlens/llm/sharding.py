@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import map_arrow, mix64, written
 
@@ -104,5 +105,5 @@ def write_shards(docs: DataFrame, path: str, shards: int = 16, id_col: str = "do
             yield pa.RecordBatch.from_arrays([pa.array(jump_hash(keys, shards), pa.int32()), batch.column(1)],
                                              names=["shard", "row"])
 
-    out = map_arrow(keyed, add, f"shard int, row {keyed.schema['row'].dataType.simpleString()}")
+    out = map_arrow(keyed, add, T.StructType().add("shard", T.IntegerType()).add(keyed.schema["row"]))
     out.select("row.*", "shard").write.partitionBy("shard").parquet(path)
