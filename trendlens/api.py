@@ -2,8 +2,8 @@
 answered.
 
 Methods return lazy DataFrames (and the totals as one-row DataFrames);
-``fetch`` brings a bounded number of rows to the driver, with the row caps
-the endpoints used, and says whether the result was cut.
+``fetch`` brings a bounded number of rows to the driver and says whether the
+result was cut.
 """
 
 from __future__ import annotations
@@ -13,19 +13,9 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 
 from trendlens import operators as ops
-from trendlens.sources.tables import replace_table
-
-# The row caps of the original endpoints (rows fetched at most).
-CAPS = {
-    "country_counts": 100_000,
-    "country_flows": 200_000,
-    "flows_of_video": 10_000,
-    "dates": 100_000,
-    "channels": 100_000,
-    "timeline": 100_000,
-    "query": 1_000,
-}
-
+from trendlens.operators import filters as flt
+from trendlens.operators.fallback import check_unfiltered
+from trendlens.sources.tables import append_rows, replace_table
 
 @dataclass
 class Fetched:
@@ -45,7 +35,13 @@ class TrendingData:
     """The clean table (and optionally the tag and raw tables) of one dataset.
 
     Tables are given as DataFrames or catalog names. Without a tag table,
-    tag questions derive the tags from the clean table.
+    tag questions derive the tags from the clean table. Where the clean table
+    is a name the catalog does not know, country counts and flows are
+    answered from the raw table; filters that it cannot serve are refused.
+
+    Edits of a catalog table are saved: new rows are appended, an update or
+    delete with hits rewrites the table in its layout. A given tag table is
+    not changed by edits; rebuild it with ``explode_tags``.
     """
 
     def __init__(self, spark: SparkSession, clean: DataFrame | str = "trending_clean",
@@ -60,13 +56,24 @@ class TrendingData:
     def clean(self) -> DataFrame:
         return self._df(self._clean)
 
+    def _fallback(self, on_date=None, start=None, end=None, mode="", sources=None) -> DataFrame | None:
+        """The raw table where the clean one is missing, its filters checked."""
+        missing = isinstance(self._clean, str) and not self.spark.catalog.tableExists(self._clean)
+        if not missing or self._raw is None:
+            return None
+        check_unfiltered(False, on_date, start, end, mode, sources)
+        return self._df(self._raw)
+
     # -- maps ---------------------------------------------------------------
     def country_counts(self, on_date=None, start=None, end=None) -> tuple[DataFrame, DataFrame]:
-        counts = ops.country_counts(self.clean, on_date, start, end)
+        raw = self._fallback(on_date, start, end)
+        counts = ops.country_counts(self.clean, on_date, start, end) if raw is None else ops.country_counts(raw)
         return counts, ops.country_counts_totals(counts)
 
     def country_flows(self, on_date=None, start=None, end=None, mode="", sources=None) -> tuple[DataFrame, DataFrame]:
-        flows = ops.country_flows(self.clean, on_date, start, end, mode, sources)
+        raw = self._fallback(on_date, start, end, mode, sources)
+        flows = (ops.country_flows(self.clean, on_date, start, end, mode, sources) if raw is None
+                 else ops.country_flows_raw(raw))
         return flows, ops.flow_totals(flows)
 
     def raw_flows(self) -> tuple[DataFrame, DataFrame]:
@@ -87,47 +94,52 @@ class TrendingData:
     def channels(self) -> DataFrame:
         return ops.channel_countries(self.clean)
 
-    # -- listings -----------------------------------------------------------
-    def videos(self, src=None, mode="") -> DataFrame:
-        return ops.top_videos(self.clean, src, mode)
+    # -- listings (limit=None: all rows) --------------------------------------
+    def videos(self, src=None, mode="", limit: int | None = 2000) -> DataFrame:
+        return ops.top_videos(self.clean, src, mode, limit)
 
-    def videos_on(self, on_date, src=None, mode="") -> DataFrame:
-        return ops.top_videos_on(self.clean, on_date, src, mode)
+    def videos_on(self, on_date, src=None, mode="", limit: int | None = 1000) -> DataFrame:
+        return ops.top_videos_on(self.clean, on_date, src, mode, limit)
 
-    def videos_by_flow(self, on_date, src=None, dst=None, mode="") -> DataFrame:
-        return ops.videos_by_flow(self.clean, on_date, src, dst, mode)
+    def videos_by_flow(self, on_date, src=None, dst=None, mode="", limit: int | None = 2000) -> DataFrame:
+        return ops.videos_by_flow(self.clean, on_date, src, dst, mode, limit)
 
     def views_timeline(self, video_id, mode="") -> DataFrame:
         return ops.views_timeline(self.clean, video_id, mode)
 
-    def tags(self, on_date=None, src=None, mode="") -> DataFrame:
+    def tags(self, on_date=None, src=None, mode="", min_count: int = 2, limit: int | None = 100) -> DataFrame:
         tags = self._df(self._tags) if self._tags is not None else None
-        return ops.top_tags(tags, self.clean, on_date, src, mode)
+        return ops.top_tags(tags, self.clean, on_date, src, mode, min_count, limit)
 
-    def top_channels(self, column: str = "channel_title", limit: int = 20) -> DataFrame:
+    def top_channels(self, column: str = "channel_title", limit: int | None = 20) -> DataFrame:
         return ops.top_channels(self.clean, column, limit)
 
     # -- SQL page -----------------------------------------------------------
-    def query(self, sql: str, max_rows: int = CAPS["query"], views: dict[str, DataFrame] | None = None):
+    def query(self, sql: str, max_rows: int = 1000, views: dict[str, DataFrame] | None = None):
         return ops.bounded_select(self.spark, sql, max_rows, views)
 
-    def _save(self, new: DataFrame) -> DataFrame:
-        if isinstance(self._clean, str):
-            return replace_table(self.spark, new, self._clean)
-        self._clean = new
-        return new
+    def _edit(self, where: Column | str, edited) -> int:
+        """Save the edited table if any row is hit."""
+        hits = ops.rows_affected(self.clean, where)
+        if hits and isinstance(self._clean, str):
+            keys = tuple(c for c in (flt.DAY, flt.VIDEO) if c in self.clean.columns)
+            replace_table(self.spark, edited(self.clean), self._clean, sort_by=keys)
+        elif hits:
+            self._clean = edited(self.clean)
+        return hits
 
     def update(self, assignments: dict, where: Column | str) -> int:
-        n = ops.rows_affected(self.clean, where)
-        self._save(ops.update_rows(self.clean, assignments, where))
-        return n
-
-    def insert(self, rows) -> int:
-        rows = list(rows)
-        self._save(ops.insert_rows(self.clean, rows))
-        return len(rows)
+        return self._edit(where, lambda df: ops.update_rows(df, assignments, where))
 
     def delete(self, where: Column | str) -> int:
-        n = ops.rows_affected(self.clean, where)
-        self._save(ops.delete_rows(self.clean, where))
-        return n
+        return self._edit(where, lambda df: ops.delete_rows(df, where))
+
+    def insert(self, rows) -> int:
+        """Add rows given as mappings or as a DataFrame (INSERT ... SELECT); how many."""
+        new = ops.inserted_rows(self.clean, rows)
+        count = new.count()
+        if isinstance(self._clean, str):
+            append_rows(self.spark, new, self._clean)
+        else:
+            self._clean = self.clean.unionByName(new)
+        return count

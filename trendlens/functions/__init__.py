@@ -3,7 +3,6 @@
 from trendlens.functions.output import json_safe
 from trendlens.functions.parsing import (
     FRENCH_MONTHS,
-    TIMESTAMP_FORMATS,
     clock_parts,
     digits_bigint,
     duration_seconds,
@@ -21,7 +20,7 @@ from trendlens.functions.parsing import (
 from trendlens.functions.text import COUNTRY_SYNONYMS, country_key, split_tags, strip_accents
 
 __all__ = [
-    "COUNTRY_SYNONYMS", "FRENCH_MONTHS", "TIMESTAMP_FORMATS", "clock_parts", "country_key", "digits_bigint",
+    "COUNTRY_SYNONYMS", "FRENCH_MONTHS", "clock_parts", "country_key", "digits_bigint",
     "duration_seconds", "duration_seconds_from", "first_nondigit_removed", "french_date", "french_date_from",
     "french_display", "french_parts", "iso_text",
     "json_safe", "split_tags", "strip_accents", "to_bigint", "to_boolean", "to_ts",

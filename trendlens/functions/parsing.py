@@ -35,8 +35,10 @@ def to_bigint(x: ColumnOrName) -> Column:
 
 
 def to_boolean(x: ColumnOrName) -> Column:
-    """Text -> BOOLEAN (true/false, t/f, yes/no, y/n, 1/0; else NULL)."""
-    return F.trim(_c(x).cast("string")).try_cast(T.BooleanType())
+    """Text -> BOOLEAN (true/false, t/f, yes/no, y/n, 1/0; else NULL, also for padded text)."""
+    text = _c(x).cast("string")
+    # Spark's cast ignores surrounding white space; the SQL cast meant here does not.
+    return F.when(text.rlike("^[A-Za-z01]+$"), text.try_cast(T.BooleanType()))
 
 
 def first_nondigit_removed(x: ColumnOrName) -> Column:
@@ -71,28 +73,30 @@ def digits_bigint(x: ColumnOrName, data_type: T.DataType | None = None) -> Colum
 # timestamps and dates
 # --------------------------------------------------------------------------
 
-# The three accepted timestamp layouts, tried in this order
-# (day/month/year hour:minute, ISO date-time, ISO date).
-TIMESTAMP_FORMATS = ("d/M/yyyy H:m", "y-M-d H:m:s", "y-M-d")
+# The three accepted timestamp layouts: day/month/year hour:minute, ISO
+# date-time, ISO date; blanks between day and time may be any number.
+_GAP = r"[\t\n\f\r\x0B ]+"
+_DMY_TIME = rf"^([0-9]{{1,2}})/([0-9]{{1,2}})/([0-9]{{1,4}}){_GAP}([0-9]{{1,2}}):([0-9]{{1,2}})$"
+_ISO_TIME = rf"^([0-9]{{1,4}})-([0-9]{{1,2}})-([0-9]{{1,2}})(?:{_GAP}([0-9]{{1,2}}):([0-9]{{1,2}}):([0-9]{{1,2}}))?$"
 
 
 def to_ts(x: ColumnOrName) -> Column:
-    """Text -> TIMESTAMP (no zone): the first of three layouts that parses.
+    """Text -> TIMESTAMP (no zone): one of three layouts, else NULL.
 
     Surrounding blanks are ignored; a zone suffix or a ``T`` separator is not
-    accepted. The parse happens in the session zone and is cast to
-    TIMESTAMP_NTZ in the same zone, so the wall-clock value is kept whatever
-    the zone is.
-
-    Only one layout can parse a given text -- the first needs a ``/``, the
-    second a ``:`` and no ``/``, the third neither -- so the text is routed
-    to that one parse instead of failing through the others (a failed parse
-    is the expensive case).
+    accepted. The fields are taken by a regex and made into a TIMESTAMP_NTZ
+    directly, so the session zone (and its clock changes) plays no part. An
+    impossible day or time gives NULL.
     """
     text = F.trim(_c(x).cast("string"))
-    dmy, iso_time, iso_day = (F.try_to_timestamp(text, F.lit(f)) for f in TIMESTAMP_FORMATS)
-    parsed = F.when(text.contains("/"), dmy).when(text.contains(":"), iso_time).otherwise(iso_day)
-    return parsed.cast(T.TimestampNTZType())
+    # One rewrite per text: year/month/day/hour/minute/second.
+    parts = F.when(text.contains("/"), F.regexp_replace(text, _DMY_TIME, "$3/$2/$1/$4/$5/0")).otherwise(
+        F.regexp_replace(text, _ISO_TIME, "$1/$2/$3/$4/$5/$6"))
+    fields = F.split(parts, "/")
+    number = [F.get(fields, F.lit(i)).try_cast(T.IntegerType()) for i in range(6)]
+    time = [F.when(F.get(fields, F.lit(i)) == "", 0).otherwise(number[i]) for i in range(3, 6)]
+    valid = (F.size(fields) == 6) & (time[2] <= 59)  # a 60th second would roll over
+    return F.when(valid, F.try_make_timestamp_ntz(*number[:3], time[0], time[1], time[2].cast("decimal(16,6)")))
 
 
 # French month names (with the unaccented spellings accepted
@@ -195,8 +199,10 @@ def duration_seconds_from(x: ColumnOrName, hms: ColumnOrName, exact: bool = Fals
     caller can compute the parts once, in an earlier projection: they are
     read nine times below)."""
     text, hms = _c(x).cast("string"), _c(hms)
-    iso = (_part(text, _ISO_HOURS) * 3600 + _part(text, _ISO_MINUTES) * 60
-           + _part(text, _ISO_SECONDS_EXACT if exact else _ISO_SECONDS_QUIRK))
+    # try_ arithmetic: a count of hours beyond BIGINT gives NULL.
+    iso = F.try_add(F.try_add(F.try_multiply(_part(text, _ISO_HOURS), F.lit(3600)),
+                              F.try_multiply(_part(text, _ISO_MINUTES), F.lit(60))),
+                    _part(text, _ISO_SECONDS_EXACT if exact else _ISO_SECONDS_QUIRK))
     h, m = hms.getItem(0).try_cast(T.LongType()), hms.getItem(1).try_cast(T.LongType())
     s = F.coalesce(hms.getItem(2).try_cast(T.LongType()), F.lit(0).cast(T.LongType()))
     # the fraction only matters for 24:00:00 (nothing may follow)

@@ -1,8 +1,8 @@
 """Query operators: each takes DataFrames and returns a lazy DataFrame."""
 
-from trendlens.operators.adhoc import BoundedResult, bounded_frame, bounded_select, is_select
+from trendlens.operators.adhoc import BoundedResult, bounded_frame, bounded_select
 from trendlens.operators.counts import country_counts, country_counts_totals
-from trendlens.operators.edits import affected, delete_rows, insert_rows, rows_affected, update_rows
+from trendlens.operators.edits import affected, delete_rows, insert_rows, inserted_rows, rows_affected, update_rows
 from trendlens.operators.fallback import counts_or_raw, flows_or_raw
 from trendlens.operators.flows import country_flows, country_flows_raw, flow_totals, flows_of_video
 from trendlens.operators.maps import country_names, map_counts
@@ -14,7 +14,8 @@ from trendlens.operators.timeline import views_timeline
 __all__ = [
     "BoundedResult", "affected", "best_row_per", "bounded_frame", "bounded_select", "channel_countries",
     "counts_or_raw", "country_counts", "country_counts_totals", "country_flows", "country_flows_raw", "country_names",
-    "date_range", "delete_rows", "explode_tags", "flow_totals", "flows_of_video", "flows_or_raw", "insert_rows", "is_select",
+    "date_range", "delete_rows", "explode_tags", "flow_totals", "flows_of_video", "flows_or_raw", "insert_rows",
+    "inserted_rows",
     "map_counts", "rows_affected", "top_channels", "top_tags", "top_videos", "top_videos_on", "trending_dates",
     "update_rows", "videos_by_flow", "views_timeline",
 ]

@@ -19,6 +19,22 @@ def zero_if_null(c: Column) -> Column:
     return F.coalesce(c, F.lit(0).cast("bigint"))
 
 
+def cut(df: DataFrame, limit: int | None) -> DataFrame:
+    """The first ``limit`` rows; all with None."""
+    return df if limit is None else df.limit(int(limit))
+
+
+def total(c: Column | str) -> Column:
+    """Sum of counts (never negative) as BIGINT, 0 without any.
+
+    A sum beyond BIGINT is reported as the largest BIGINT: one dirty cell
+    must not abort the query.
+    """
+    c = F.col(c) if isinstance(c, str) else c
+    return F.when(F.count(c) == 0, F.lit(0).cast("bigint")).otherwise(
+        F.coalesce(F.try_sum(c), F.lit(2 ** 63 - 1).cast("bigint")))
+
+
 def require(value, name: str):
     if value is None or (isinstance(value, str) and not value.strip()):
         raise ValueError(f"{name} is required")

@@ -4,33 +4,15 @@ from __future__ import annotations
 
 import re
 import time
+import uuid
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 
 from trendlens.functions.output import json_safe
 
-_LEAD = re.compile(r"^\s*(?:--[^\n]*\n\s*|/\*.*?\*/\s*)*\(*\s*(select|with)\b", re.I | re.S)
-_STRINGS = re.compile(r"'(?:[^']|'')*'|\"(?:[^\"]|\"\")*\"|`[^`]*`")
-_WRITES = re.compile(r"\b(insert|update|delete|merge|create|drop|alter|truncate|replace|cache|uncache|"
-                     r"refresh|msck|load|set|reset|use|add)\b", re.I)
-
-
-def is_select(sql: str) -> bool:
-    """True for a single SELECT or WITH ... SELECT statement.
-
-    Checked before Spark sees the text because ``spark.sql`` runs commands
-    eagerly. A WITH query is refused if a write keyword appears outside
-    quotes (``WITH x AS (...) INSERT ...``); one trailing ``;`` is allowed.
-    """
-    if not sql or not _LEAD.match(sql):
-        return False
-    body = _STRINGS.sub("''", sql.strip().rstrip(";"))
-    if ";" in body:
-        return False
-    if _LEAD.match(sql).group(1).lower() == "with" and _WRITES.search(body):
-        return False
-    return True
+# One closing semicolon, with only comments behind it.
+_END = re.compile(r";\s*(?:--[^\n]*\s*)*$")
 
 
 @dataclass
@@ -49,15 +31,24 @@ def bounded_frame(spark: SparkSession, sql: str, max_rows: int = 1000,
                   views: dict[str, DataFrame] | None = None) -> DataFrame:
     """The query as a lazy, JSON-safe DataFrame cut to ``max_rows`` rows.
 
-    ``views`` registers DataFrames as temporary views first. Without an ORDER
-    BY in the query, which rows survive the cut is up to Spark (as it is up
-    to any engine).
+    The text is placed as a subquery, where Spark's parser accepts nothing
+    but a query (commands and edits are syntax errors before anything runs).
+    ``views`` names DataFrames for this query only. Without an ORDER BY in
+    the query, which rows survive the cut is up to Spark (as it is up to any
+    engine).
     """
-    if not is_select(sql):
-        raise ValueError("only a single SELECT / WITH query is allowed")
-    for name, df in (views or {}).items():
-        df.createOrReplaceTempView(name)
-    return json_safe(spark.sql(sql.strip().rstrip(";"))).limit(int(max_rows))
+    if not (sql or "").strip():
+        raise ValueError("no query")
+    query = f"SELECT * FROM (\n{_END.sub('', sql.strip())}\n)"
+    given = {name: f"adhoc_{uuid.uuid4().hex}" for name in views or {}}
+    try:
+        for name, view in given.items():
+            views[name].createOrReplaceTempView(view)
+        named = ", ".join(f"`{name}` AS (SELECT * FROM {view})" for name, view in given.items())
+        return json_safe(spark.sql(f"WITH {named} {query}" if named else query)).limit(int(max_rows))
+    finally:  # the query is analysed: its views are no longer looked up
+        for view in given.values():
+            spark.catalog.dropTempView(view)
 
 
 def bounded_select(spark: SparkSession, sql: str, max_rows: int = 1000,

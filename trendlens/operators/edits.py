@@ -36,26 +36,31 @@ def update_rows(df: DataFrame, assignments: Mapping[str, object], where: Column
     return df.select(*cols)
 
 
-def insert_rows(df: DataFrame, rows: Sequence[Mapping[str, object]] | DataFrame) -> DataFrame:
-    """``INSERT INTO t (cols) VALUES ...``: columns not named are NULL; values
-    are cast to the table's types. ``rows`` may also be a DataFrame (INSERT
-    ... SELECT), aligned by column name."""
+def inserted_rows(df: DataFrame, rows: Sequence[Mapping[str, object]] | DataFrame) -> DataFrame:
+    """The rows of ``INSERT INTO t (cols) VALUES ...`` in the table's columns:
+    columns not named are NULL; values are cast to the table's types. ``rows``
+    may also be a DataFrame (INSERT ... SELECT), aligned by column name."""
+    types = {f.name: f.dataType for f in df.schema.fields}
     if isinstance(rows, DataFrame):
         new = rows
     else:
         rows = list(rows)
-        names = [f.name for f in df.schema.fields if any(f.name in r for r in rows)]
-        unknown = {k for r in rows for k in r} - set(df.columns)
-        if unknown:
-            raise ValueError(f"unknown columns: {sorted(unknown)}")
         # Values enter as text and are cast by Spark, so the caller may write
         # '2024-05-01' for a DATE column as in SQL.
+        names = list(dict.fromkeys(k for r in rows for k in r))
         text = T.StructType([T.StructField(n, T.StringType(), True) for n in names])
         data = [tuple(None if r.get(n) is None else str(r.get(n)) for n in names) for r in rows]
         new = df.sparkSession.createDataFrame(data, text)
-    types = {f.name: f.dataType for f in df.schema.fields}
-    new = new.select(*[F.col(c).cast(types[c]).alias(c) for c in new.columns])
-    return df.unionByName(new, allowMissingColumns=True)
+    unknown = set(new.columns) - set(types)
+    if unknown:
+        raise ValueError(f"unknown columns: {sorted(unknown)}")
+    return new.select(*((F.col(f"`{c}`") if c in new.columns else F.lit(None)).cast(t).alias(c)
+                        for c, t in types.items()))
+
+
+def insert_rows(df: DataFrame, rows: Sequence[Mapping[str, object]] | DataFrame) -> DataFrame:
+    """The table with the new rows (see ``inserted_rows``)."""
+    return df.unionByName(inserted_rows(df, rows))
 
 
 def delete_rows(df: DataFrame, where: Column | str) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trendlens.operators import filters as flt
-from trendlens.operators._common import digits, require, zero_if_null
+from trendlens.operators._common import digits, require, total
 
 
 def country_flows(df: DataFrame, on_date=None, start=None, end=None, mode: str | None = "",
@@ -25,7 +25,7 @@ def country_flows(df: DataFrame, on_date=None, start=None, end=None, mode: str |
     per_video = (rows.groupBy(F.col(src).alias("src"), F.col(dst).alias("dst"), F.col(video))
                  .agg(F.max(digits(rows, views)).alias("views")))
     return per_video.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("cnt"),
-                                               zero_if_null(F.sum("views")).alias("views"))
+                                               total("views").alias("views"))
 
 
 def country_flows_raw(df: DataFrame, *, src: str = flt.SRC, dst: str = flt.DST, video: str = flt.VIDEO,
@@ -40,15 +40,14 @@ def country_flows_raw(df: DataFrame, *, src: str = flt.SRC, dst: str = flt.DST,
     """
     rows = flt.where(df, flt.nonblank(src), flt.nonblank(dst))
     per_video = (rows.groupBy(F.col(src).alias("src"), F.col(dst).alias("dst"), F.col(video).alias("_video"))
-                 .agg(F.sum(digits(rows, views)).alias("_views")))
+                 .agg(F.when(F.count(digits(rows, views)) > 0, total(digits(rows, views))).alias("_views")))
     return per_video.groupBy("src", "dst").agg(F.count("_video").alias("cnt"),
-                                               zero_if_null(F.sum("_views")).alias("views"))
+                                               total("_views").alias("views"))
 
 
 def flow_totals(flows: DataFrame) -> DataFrame:
     """One row ``total, total_views`` over a flow result (0 when empty)."""
-    return flows.agg(zero_if_null(F.sum("cnt")).alias("total"),
-                     zero_if_null(F.sum("views")).alias("total_views"))
+    return flows.agg(total("cnt").alias("total"), total("views").alias("total_views"))
 
 
 def flows_of_video(df: DataFrame, video_id: str, on_date=None, mode: str | None = "", *,
@@ -61,4 +60,4 @@ def flows_of_video(df: DataFrame, video_id: str, on_date=None, mode: str | None
     rows = flt.where(df, flt.equals_ci(video, video_id), flt.day_filter(on_date, day=day),
                      flt.flow_mode(mode, src, dst))
     return (rows.groupBy(F.col(src).alias("src"), F.col(dst).alias("dst"))
-            .agg(F.count(F.lit(1)).alias("cnt"), zero_if_null(F.sum(digits(rows, views))).alias("views")))
+            .agg(F.count(F.lit(1)).alias("cnt"), total(digits(rows, views)).alias("views")))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from trendlens.operators import filters as flt
-from trendlens.operators._common import digits, require, zero_if_null
+from trendlens.operators._common import cut, digits, require, zero_if_null
 
 VIDEO_COLUMNS = ("video_id", "video_title", "views", "likes", "src", "dst")
 
@@ -47,14 +47,14 @@ def _listing(df: DataFrame, preds, keys: tuple[str, ...], limit: int, cols: dict
     tie = [F.asc_nulls_last(k) for k in ("video_id", "src", "dst") if k in keys]
     # ORDER BY + LIMIT plans as TakeOrderedAndProject: a bounded top-k per
     # task, merged once -- no global sort of the candidates.
-    return best.orderBy(F.desc("views"), *tie).limit(int(limit))
+    return cut(best.orderBy(F.desc("views"), *tie), limit)
 
 
 def _cols(video, title, views, likes, src, dst):
     return dict(video=video, title=title, views=views, likes=likes, src=src, dst=dst)
 
 
-def top_videos(df: DataFrame, src: str | None = None, mode: str | None = "", limit: int = 2000, *,
+def top_videos(df: DataFrame, src: str | None = None, mode: str | None = "", limit: int | None = 2000, *,
                video: str = flt.VIDEO, title: str = flt.TITLE, views: str = flt.VIEWS, likes: str = flt.LIKES,
                src_col: str = flt.SRC, dst_col: str = flt.DST) -> DataFrame:
     """Best row of each video over all days, most viewed first, ``limit`` rows.
@@ -63,7 +63,7 @@ def top_videos(df: DataFrame, src: str | None = None, mode: str | None = "", lim
     return _listing(df, preds, ("video_id",), limit, _cols(video, title, views, likes, src_col, dst_col))
 
 
-def top_videos_on(df: DataFrame, on_date, src: str | None = None, mode: str | None = "", limit: int = 1000, *,
+def top_videos_on(df: DataFrame, on_date, src: str | None = None, mode: str | None = "", limit: int | None = 1000, *,
                   video: str = flt.VIDEO, title: str = flt.TITLE, views: str = flt.VIEWS,
                   likes: str = flt.LIKES, src_col: str = flt.SRC, dst_col: str = flt.DST,
                   day: str = flt.DAY) -> DataFrame:
@@ -74,7 +74,7 @@ def top_videos_on(df: DataFrame, on_date, src: str | None = None, mode: str | No
 
 
 def videos_by_flow(df: DataFrame, on_date, src: str | None = None, dst: str | None = None,
-                   mode: str | None = "", limit: int = 2000, *, video: str = flt.VIDEO, title: str = flt.TITLE,
+                   mode: str | None = "", limit: int | None = 2000, *, video: str = flt.VIDEO, title: str = flt.TITLE,
                    views: str = flt.VIEWS, likes: str = flt.LIKES, src_col: str = flt.SRC,
                    dst_col: str = flt.DST, day: str = flt.DAY) -> DataFrame:
     """Best row per (video, src, dst) on one (required) day, optionally for
@@ -86,7 +86,7 @@ def videos_by_flow(df: DataFrame, on_date, src: str | None = None, dst: str | No
                     _cols(video, title, views, likes, src_col, dst_col))
 
 
-def top_channels(df: DataFrame, column: str = flt.CHANNEL, limit: int = 20) -> DataFrame:
+def top_channels(df: DataFrame, column: str = flt.CHANNEL, limit: int | None = 20) -> DataFrame:
     """``<column>, videos``: the channels with most rows (ties by name)."""
-    return (df.groupBy(column).agg(F.count(F.lit(1)).alias("videos"))
-            .orderBy(F.desc("videos"), F.asc_nulls_last(column)).limit(int(limit)))
+    return cut(df.groupBy(column).agg(F.count(F.lit(1)).alias("videos"))
+               .orderBy(F.desc("videos"), F.asc_nulls_last(column)), limit)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from trendlens.functions.text import split_tags
 from trendlens.operators import filters as flt
+from trendlens.operators._common import cut
 
 
 def explode_tags(df: DataFrame, tags: str = flt.TAGS, keys: tuple[str, ...] = (flt.VIDEO, flt.DAY),
@@ -31,7 +32,7 @@ def explode_tags(df: DataFrame, tags: str = flt.TAGS, keys: tuple[str, ...] = (f
 
 
 def top_tags(tags: DataFrame | None, df: DataFrame, on_date=None, src: str | None = None, mode: str | None = "",
-             min_count: int = 2, limit: int = 100, *, video: str = flt.VIDEO, day: str = flt.DAY,
+             min_count: int = 2, limit: int | None = 100, *, video: str = flt.VIDEO, day: str = flt.DAY,
              src_col: str = flt.SRC, dst_col: str = flt.DST, tags_col: str = flt.TAGS) -> DataFrame:
     """``tag, tag_count``: how often each tag meets a matching row of ``df``
     on (video, day), at least ``min_count``, most frequent first.
@@ -60,5 +61,5 @@ def top_tags(tags: DataFrame | None, df: DataFrame, on_date=None, src: str | Non
         usable = tags.where(F.col("tag").isNotNull() & (F.length(F.trim(F.col("tag"))) > 0))
         weighted = usable.select("tag", video, day).join(matches, [video, day])
     counted = weighted.groupBy("tag").agg(F.sum("_rows").alias("tag_count"))
-    return (counted.where(F.col("tag_count") >= int(min_count))
-            .orderBy(F.desc("tag_count"), F.asc("tag")).limit(int(limit)))
+    return cut(counted.where(F.col("tag_count") >= int(min_count))
+               .orderBy(F.desc("tag_count"), F.asc("tag")), limit)

@@ -32,7 +32,7 @@ def views_timeline(df: DataFrame, video_id: str | None = None, mode: str | None
     # Aggregate once, then derive the rate; 100.0 is a DOUBLE literal here,
     # so the division is floating point, not DECIMAL.
     rate = F.when(F.col("views") > 0,
-                  F.round((F.col("likes") + F.col("comments")) * F.lit(100.0) / F.col("views"), 4)
+                  F.round((F.col("likes").cast("double") + F.col("comments")) * F.lit(100.0) / F.col("views"), 4)
                   ).otherwise(F.lit(0.0))
     lead = [] if video_id is not None else ["video_id"]
     out = daily.select(*lead, F.col(day).cast("string").alias("d"), "views", "likes", "comments",

@@ -14,15 +14,14 @@ DAY = "video_trending_date"
 
 
 def build_tables(spark: SparkSession, csv_path: str | list[str], clean_path: str, tags_path: str,
-                 sep: str = ",", multiline: bool = True, exact_duration: bool = False,
+                 sep: str = ",", multiline: bool | None = None, exact_duration: bool = False,
                  mode: str = "errorifexists") -> tuple[DataFrame, DataFrame]:
     """Read the CSV export(s) as text, clean them, and save the clean table
     and the tag table as Parquet; return both as read back from storage.
 
     The clean table is written once and the tag table is derived from the
     written files (not from the CSV again), so the text is parsed once. Both
-    are laid out by day (rebalanced, sorted inside files) for the day
-    filters of the queries.
+    are laid out in ranges of (day, video) for the day filters of the queries.
     """
     clean = clean_trending(read_csv(spark, csv_path, sep=sep, multiline=multiline), exact_duration=exact_duration)
     save_table(clean, clean_path, (DAY,), (DAY, "video_id"), mode=mode)

@@ -2,7 +2,7 @@
 
 from trendlens.sources.atlas import atlas_country_names, read_atlas, write_names
 from trendlens.sources.csv import ingest_csv, read_csv, write_csv
-from trendlens.sources.tables import replace_table, save_table
+from trendlens.sources.tables import append_rows, replace_table, save_table, vacuum_table
 
-__all__ = ["atlas_country_names", "ingest_csv", "read_atlas", "read_csv", "replace_table", "save_table", "write_csv",
+__all__ = ["append_rows", "atlas_country_names", "ingest_csv", "read_atlas", "read_csv", "replace_table", "save_table", "vacuum_table", "write_csv",
            "write_names"]

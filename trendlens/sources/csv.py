@@ -3,21 +3,34 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+
+def has_split_records(spark: SparkSession, path: str | list[str]) -> bool:
+    """Whether a line holds an odd number of quotes, so that a record may go on in the next line.
+
+    One splittable pass over the text. Without such a line every record is a
+    line, and files can be read in splits with the same result.
+    """
+    quotes = F.length("value") - F.length(F.replace(F.col("value"), F.lit('"'), F.lit("")))
+    return not spark.read.text(path).filter(quotes % 2 == 1).isEmpty()
 
 
 def read_csv(spark: SparkSession, path: str | list[str], sep: str = ",", infer: bool = False,
-             multiline: bool = True, encoding: str = "UTF-8", schema=None) -> DataFrame:
+             multiline: bool | None = None, encoding: str = "UTF-8", schema=None) -> DataFrame:
     """Read CSV files with a header row.
 
     By default every column is a string: the cleaning step re-types each
     column anyway, and inference guesses wrongly on this kind of export
     (a clock text becomes a timestamp on today's date). ``infer=True`` scans
     all rows (sampling ratio 1) instead. Quoted fields may hold newlines and
-    doubled quotes, which needs ``multiline`` (then each file is parsed by one
-    task, so many files -- one per daily snapshot -- parallelise; pass
-    ``multiline=False`` to split large files that hold no quoted newline).
-    An empty field, quoted or not, reads as NULL.
+    doubled quotes, which needs ``multiline``: then each file is parsed by one
+    task. By default (None) the files' contents decide: they are read in
+    splits if no line holds an odd number of quotes (other encodings than
+    UTF-8 are read whole). An empty field, quoted or not, reads as NULL.
     """
+    if multiline is None:
+        multiline = encoding.upper() not in ("UTF-8", "UTF8") or has_split_records(spark, path)
     reader = (spark.read.option("header", True).option("sep", sep).option("multiLine", multiline)
               .option("quote", '"').option("escape", '"').option("encoding", encoding))
     if schema is not None:
@@ -30,14 +43,14 @@ def read_csv(spark: SparkSession, path: str | list[str], sep: str = ",", infer:
 
 
 def ingest_csv(spark: SparkSession, path: str | list[str], table: str, replace: bool = False,
-               infer: bool = False, sep: str = ",", multiline: bool = True, location: str | None = None) -> DataFrame:
+               infer: bool = False, sep: str = ",", multiline: bool | None = None, location: str | None = None) -> DataFrame:
     """Load CSV into the catalog table ``table`` and return the table.
 
     ``replace=True`` rebuilds the table; otherwise an existing table is left
     untouched and returned as is. The rows go to a new Parquet folder below
     ``location`` (by default the shared folder) and the table is then
     created on it or switched to it, so a failed load never leaves a
-    half-written table.
+    half-written table. The files are rebalanced, however the CSV was read.
     """
     from trendlens.sources.tables import replace_table
     if not replace and spark.catalog.tableExists(table):

@@ -1,38 +1,83 @@
-"""Saving tables: a new table, or new contents for an existing one."""
+"""Saving tables: a new table, new contents for an existing one, more rows."""
 
 from __future__ import annotations
 
+import re
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
+from trendlens.session import shared_path
+
+
+def _quoted(table: str) -> str:
+    return ".".join(f"`{part}`" for part in table.split("."))
+
 
-def replace_table(spark: SparkSession, df: DataFrame, table: str, root: str | None = None) -> DataFrame:
-    """Save ``df`` as catalog table ``table``, replacing its contents.
+def replace_table(spark: SparkSession, df: DataFrame, table: str, root: str | None = None,
+                  sort_by: tuple[str, ...] = ()) -> DataFrame:
+    """Save ``df`` as catalog table ``table``, replacing its contents, schema included.
 
     The rows are written to a new folder (below ``root``, by default the
     shared folder of ``spark.checkpoint.dir``) and only then is the table
     pointed at it. An edit reads the table it replaces, so nothing being read
     is overwritten; lost executors only retry tasks of the write, and a job
-    that fails leaves the old table as it was. Old folders are not deleted.
-    """
-    import uuid
+    that fails leaves the old table as it was.
 
-    from trendlens.session import shared_path
+    A table of the same columns without partitions is switched to the new
+    folder; otherwise it is created anew with the columns of ``df``, keeping
+    its partition columns where ``df`` still has them. Files are rebalanced,
+    or laid out by ``sort_by``. ``vacuum_table`` deletes superseded folders.
+    """
+    from trendlens.plans.tables import layout
     name = f"{table.replace('.', '_')}-{uuid.uuid4().hex}"
     path = f"{root.rstrip('/')}/{name}" if root else shared_path(spark, "trendlens-tables", name)
-    df.write.mode("errorifexists").parquet(path)
-    if spark.catalog.tableExists(table):
-        spark.sql(f"ALTER TABLE {table} SET LOCATION '{path.replace(chr(39), chr(39) * 2)}'")
-        spark.catalog.refreshTable(table)
+    exists = spark.catalog.tableExists(table)
+    parts = [c.name for c in spark.catalog.listColumns(table) if c.isPartition] if exists else []
+    parts = [p for p in parts if p in df.columns]
+    if parts:  # partition columns come last in a table
+        df = df.select(*(f"`{c}`" for c in df.columns if c not in parts), *(f"`{p}`" for p in parts))
+    writer = layout(df, sort_by, sort_by).write.mode("errorifexists")
+    (writer.partitionBy(*parts) if parts else writer).parquet(path)
+    columns = lambda d: [(f.name, f.dataType) for f in d.schema.fields]
+    place = path.replace("'", "\\'")
+    if exists and not parts and not any(c.isPartition for c in spark.catalog.listColumns(table)) \
+            and columns(spark.table(table)) == columns(df):
+        spark.sql(f"ALTER TABLE {_quoted(table)} SET LOCATION '{place}'")
     else:
-        spark.catalog.createTable(table, path=path, source="parquet")
+        if exists:
+            spark.sql(f"DROP TABLE {_quoted(table)}")
+        fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
+        by = f" PARTITIONED BY ({', '.join(f'`{p}`' for p in parts)})" if parts else ""
+        spark.sql(f"CREATE TABLE {_quoted(table)} ({fields}) USING parquet{by} LOCATION '{place}'")
+        if parts:
+            spark.catalog.recoverPartitions(table)
+    spark.catalog.refreshTable(table)
     return spark.table(table)
 
 
+def append_rows(spark: SparkSession, rows: DataFrame, table: str) -> None:
+    """Add rows (with the table's columns) to a catalog table without rewriting it."""
+    rows.select(*(f"`{c}`" for c in spark.table(table).columns)).write.insertInto(table)
+
+
+def vacuum_table(spark: SparkSession, table: str) -> int:
+    """Delete the folders that ``replace_table`` has left beside the table's present one; how many.
+
+    Frames that still read an older state of the table fail afterwards.
+    """
+    row = spark.sql(f"DESCRIBE FORMATTED {_quoted(table)}").where("col_name = 'Location'").first()
+    path = spark._jvm.org.apache.hadoop.fs.Path(row["data_type"])
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    made = re.compile(re.escape(table.replace(".", "_")) + "-[0-9a-f]{32}")
+    old = [f.getPath() for f in files.listStatus(path.getParent())
+           if made.fullmatch(f.getPath().getName()) and f.getPath().getName() != path.getName()]
+    return sum(bool(files.delete(p, True)) for p in old) if made.fullmatch(path.getName()) else 0
+
+
 def save_table(df: DataFrame, path: str, cluster_by: tuple[str, ...] = (), sort_by: tuple[str, ...] = (),
                mode: str = "errorifexists") -> str:
-    """Write ``df`` as Parquet at ``path``: rebalanced (by ``cluster_by`` if
-    given; AQE sizes the files and splits an oversized key) and sorted by
-    ``sort_by`` inside each file so range predicates skip row groups."""
+    """Write ``df`` as Parquet at ``path``, laid out as ``plans.tables.layout`` says."""
     from trendlens.plans.tables import layout
     layout(df, cluster_by, sort_by).write.mode(mode).parquet(path)
     return path

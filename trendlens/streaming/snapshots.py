@@ -23,14 +23,18 @@ RAW_SCHEMA = T.StructType([T.StructField(c, T.StringType(), True) for c in RAW_C
 
 def stream_clean_snapshots(spark: SparkSession, source_dir: str, target_dir: str,
                            checkpoint_dir: str | None = None, sep: str = ",", available_now: bool = True,
-                           max_files_per_trigger: int | None = None) -> StreamingQuery:
+                           max_files_per_trigger: int | None = None, multiline: bool = True) -> StreamingQuery:
     """Start the incremental cleaning of CSV snapshots in ``source_dir``
-    into Parquet at ``target_dir``. Returns the running query."""
+    into Parquet at ``target_dir``. Returns the running query.
+
+    Records may hold newlines, so a file is read by one task; where they
+    never do, ``multiline=False`` lets large files be split.
+    """
     # enforceSchema=false: the header of every file is checked against the
     # schema, so a file with columns in another order fails loudly instead
     # of being read by position into the wrong columns.
     reader = (spark.readStream.schema(RAW_SCHEMA).option("header", True).option("enforceSchema", False)
-              .option("sep", sep).option("multiLine", True).option("quote", '"').option("escape", '"'))
+              .option("sep", sep).option("multiLine", multiline).option("quote", '"').option("escape", '"'))
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", int(max_files_per_trigger))
     clean = clean_trending(reader.csv(source_dir))
