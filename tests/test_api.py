@@ -30,3 +30,19 @@ def test_facade_round_trip(spark):
     assert final == {("a", "A"), ("b", "New"), ("c", None)}
     res = data.query("select video_id from trending_clean_api order by video_id", max_rows=2)
     assert res.rows == [("a",), ("b",)] and res.truncated
+
+
+def test_facade_inserts_a_frame_and_falls_back(spark):
+    import pytest
+    table = spark.createDataFrame(ROWS, SCHEMA)
+    table.write.mode("overwrite").saveAsTable("trending_api_insert")
+    data = TrendingData(spark, "trending_api_insert")
+    files = set(spark.table("trending_api_insert").inputFiles())
+    assert data.insert(spark.sql("select 'z' as video_id")) == 1
+    assert files < set(spark.table("trending_api_insert").inputFiles())  # appended, nothing rewritten
+    assert data.update({"video_title": "x"}, "video_id = 'nobody'") == 0
+    assert data.clean.count() == 4 and data.videos(limit=None, mode="all").count() == 3
+    missing = TrendingData(spark, "no_such_table", raw=table)
+    assert missing.country_counts()[0].count() == 1 and missing.country_flows()[0].count() == 2
+    with pytest.raises(ValueError):
+        missing.country_flows(mode="international")

@@ -5,6 +5,7 @@ import datetime as dt
 from collections import Counter
 
 import pytest
+from pyspark.errors import ParseException
 from pyspark.sql import functions as F
 
 from trendlens import operators as ops
@@ -164,10 +165,29 @@ def test_bounded_select(spark, df):
     assert res.rows[0] == ("a", "2024-01-02")  # dates come back as ISO text
     small = ops.bounded_select(spark, "with x as (select 1 as n) select n from x;", max_rows=5)
     assert not small.truncated and small.rows == [(1,)]
-    for bad in ["DROP TABLE t", "select 1; select 2", "with x as (select 1) insert into t select * from x", ""]:
-        assert not ops.is_select(bad)
-        with pytest.raises(ValueError):
+    for bad in ["DROP TABLE t", "select 1; select 2", "with x as (select 1) insert into t select * from x", "",
+                "create table x as select 1", "set a = b", "cache table t"]:
+        with pytest.raises((ValueError, ParseException)):
             ops.bounded_frame(spark, bad)
+    for good in ["select replace('a', 'a', 'b') as c -- a;b", "select 1 as c; -- done", r"select 'it\'s; ok' as c",
+                 "with load as (select 1 as `set`) select `set` as c from load"]:
+        assert ops.bounded_select(spark, good).columns == ["c"]
+    assert not spark.catalog.tableExists("t")  # views are the query's own
+    twice = ops.bounded_select(spark, "select a.video_id, b.video_id, 1 as `x``y` from t a join t b using (video_id)",
+                               views={"t": df})
+    assert twice.columns == ["video_id", "video_id", "x`y"] and not twice.truncated
+    ordered = ops.bounded_select(spark, "select id from range(1000) order by id desc", max_rows=2)
+    assert ordered.rows == [(999,), (998,)] and ordered.truncated
+
+
+def test_sums_beyond_bigint_do_not_abort(spark):
+    rows = [("a", "FR", "ES", 9 * 10 ** 18), ("b", "FR", "ES", 9 * 10 ** 18), ("c", "ES", "ES", 5)]
+    t = spark.createDataFrame(rows, "video_id string, channel_country string, video_trending_country string, "
+                                    "video_view_count bigint")
+    want = {("FR", "ES"): 2 ** 63 - 1, ("ES", "ES"): 5}
+    for flows in (ops.country_flows(t, mode="all"), ops.country_flows_raw(t)):
+        assert {(r.src, r.dst): r.views for r in flows.collect()} == want
+        assert ops.flow_totals(flows).first().total_views == 2 ** 63 - 1
 
 
 def test_map_counts_sums_colliding_keys(spark):

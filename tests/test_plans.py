@@ -90,11 +90,28 @@ def test_day_filters_reach_the_scan(spark, tmp_dir):
                      r"video_trending_date:date>", p)
 
 
-def test_clean_table_write_is_rebalanced(spark):
+def test_clean_table_write_skips_row_groups(spark, tmp_dir):
+    import glob
+
+    import pyarrow.parquet as pq
+
     from trendlens.plans.tables import DAY, layout
     p = plan(layout(st.trending(spark, "/root/testdata/sf0.001"), (DAY,), (DAY, "video_id")))
-    assert re.search(r"hashpartitioning\(video_trending_date#\d+, \d+\), REBALANCE_PARTITIONS_BY_COL", p)
-    assert re.search(r"Arguments: \[video_trending_date#\d+ ASC NULLS FIRST, video_id#\d+ ASC NULLS FIRST\], false", p)
+    assert re.search(r"rangepartitioning\(video_trending_date#\d+ ASC NULLS FIRST, video_id", p)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        layout(st.trending(spark, "/root/testdata/sf0.01"), (DAY,), (DAY, "video_id")).write.parquet(f"{tmp_dir}/t")
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    ranges = []
+    for name in glob.glob(f"{tmp_dir}/t/*.parquet"):
+        meta = pq.ParquetFile(name).metadata
+        for g in range(meta.num_row_groups):
+            column = next(c for c in (meta.row_group(g).column(i) for i in range(meta.num_columns))
+                          if c.path_in_schema == DAY)
+            ranges.append((column.statistics.min, column.statistics.max))
+    day = dt.date(1996, 3, 15)
+    assert len(ranges) >= 6 and sum(a <= day <= b for a, b in ranges) <= 2
 
 
 def test_stand_in_join_needs_no_forced_broadcast(spark):

@@ -39,6 +39,49 @@ def test_ingest_replace_modes(spark, tmp_dir):
     assert ingest_csv(spark, p2, "yt_raw_modes", replace=True).count() == 2
 
 
+def test_replace_takes_the_new_schema(spark, tmp_dir):
+    p1, p2 = os.path.join(tmp_dir, "one.csv"), os.path.join(tmp_dir, "two.csv")
+    _write_text(p1, "id,x\n1,a\n")
+    _write_text(p2, "id,y,z\n2,b,c\n")
+    ingest_csv(spark, p1, "yt_new_schema", replace=True)
+    table = ingest_csv(spark, p2, "yt_new_schema", replace=True)
+    assert [r.asDict() for r in table.collect()] == [{"id": "2", "y": "b", "z": "c"}]
+
+
+def test_replace_keeps_partitions(spark):
+    rows = [(1, "a", 7), (2, "b", 7), (3, "c", 8)]
+    spark.createDataFrame(rows, "n int, s string, p int").write.mode("overwrite").partitionBy("p").saveAsTable("parted")
+    replace_table(spark, spark.table("parted").where("n > 1"), "parted")
+    assert sorted(map(tuple, spark.table("parted").collect())) == [(2, "b", 7), (3, "c", 8)]
+    assert [c.name for c in spark.catalog.listColumns("parted") if c.isPartition] == ["p"]
+
+
+def test_vacuum_deletes_superseded_folders(spark):
+    from trendlens.sources import vacuum_table
+    for n in (1, 2, 3):
+        replace_table(spark, spark.range(n), "vacuumed")
+    assert vacuum_table(spark, "vacuumed") == 2 and vacuum_table(spark, "vacuumed") == 0
+    assert spark.table("vacuumed").count() == 3
+
+
+def test_plain_csv_is_read_in_splits(spark, tmp_dir):
+    plain, quoted = os.path.join(tmp_dir, "plain.csv"), os.path.join(tmp_dir, "quoted.csv")
+    line = "x" * 90
+    body = [f'{i},"{line}, {i}"' for i in range(12000)]
+    _write_text(plain, "id,text\n" + "\n".join(body) + "\n")
+    body[5000] = f'5000,"{line}\n, 5000"'
+    _write_text(quoted, "id,text\n" + "\n".join(body) + "\n")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "128k")
+    try:
+        split, whole = read_csv(spark, plain), read_csv(spark, quoted)
+        assert split.rdd.getNumPartitions() > 3 and whole.rdd.getNumPartitions() == 1
+        assert split.count() == whole.count() == 12000
+        assert whole.where("id = 5000").first().text == f"{line}\n, 5000"
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
 def test_write_csv_round_trip_keeps_blanks(spark, tmp_dir):
     df = spark.createDataFrame([(" 12.7 ", "", None, 'a,"b"\nc')], "a string, b string, c string, d string")
     back = read_csv(spark, write_csv(df, os.path.join(tmp_dir, "out"))).first()
@@ -107,7 +150,13 @@ def test_fallback_to_raw_table(spark):
                                 "video_id string, channel_country string, video_trending_country string, "
                                 "video_view_count string")
     raw.write.mode("overwrite").saveAsTable("raw_only_src")
-    got = flows_or_raw(spark, clean="no_such_clean", raw="raw_only_src", mode="international").collect()
+    import pytest
+    for refused in ({"mode": "international"}, {"on_date": "2024-01-01"}, {"sources": "DE"}):
+        with pytest.raises(ValueError):
+            flows_or_raw(spark, clean="no_such_clean", raw="raw_only_src", **refused)
+    with pytest.raises(ValueError):
+        counts_or_raw(spark, "no_such_clean", "raw_only_src", on_date="2024-13-45", unfiltered=True)
+    got = flows_or_raw(spark, clean="no_such_clean", raw="raw_only_src", mode="international", unfiltered=True).collect()
     assert [(r.src, r.dst, r.cnt, r.views) for r in got] == [("FR", "ES", 2, 22)]
     assert {r.country: r.cnt for r in counts_or_raw(spark, "no_such_clean", "raw_only_src").collect()} == {"ES": 2}
 
