@@ -196,3 +196,12 @@ def test_map_counts_sums_colliding_keys(spark):
                                    "country string, cnt bigint")
     got = {r.name: r.cnt for r in ops.map_counts(names, counts).collect()}
     assert got == {"United States of America": 7, "France": 2, "Chad": 0}
+
+
+def test_key_columns_follow_edits(spark, df):
+    from trendlens.operators.filters import with_keys
+    keyed = with_keys(df)
+    new = ops.insert_rows(ops.update_rows(keyed, {"video_id": "NEW"}, "video_id = 'a'"), [{"video_id": "More"}])
+    assert new.columns == keyed.columns
+    assert all(r.video_key == (r.video_id or "").lower() for r in new.collect() if r.video_id is not None)
+    assert ops.flows_of_video(new, " new ", mode="all").count() > 0

@@ -90,6 +90,14 @@ def test_day_filters_reach_the_scan(spark, tmp_dir):
                      r"video_trending_date:date>", p)
 
 
+def test_video_lookup_reaches_the_scan(spark):
+    from trendlens.plans.tables import trending_by_video
+    t = trending_by_video(spark, "/root/testdata/sf0.001")
+    for q in (ops.flows_of_video(t, " v17 ", mode="all"), ops.views_timeline(t, "V17", mode="all")):
+        assert "EqualTo(video_key,v17)" in plan(q)
+    assert "EqualTo(channel_key,nation_3)" in plan(ops.top_videos(t, src="NATION_3"))
+
+
 def test_clean_table_write_skips_row_groups(spark, tmp_dir):
     import glob
 

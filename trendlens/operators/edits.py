@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from trendlens.operators.filters import KEYS
+
 
 def _pred(where: Column | str) -> Column:
     p = F.expr(where) if isinstance(where, str) else where
@@ -23,6 +25,12 @@ def _value(v) -> Column:
     return v if isinstance(v, Column) else F.lit(v)
 
 
+def _keyed(new: DataFrame) -> DataFrame:
+    """Stored key columns follow the columns they copy."""
+    return new.withColumns({key: F.lower(F.col(c)) for c, key in KEYS.items()
+                            if c in new.columns and key in new.columns})
+
+
 def update_rows(df: DataFrame, assignments: Mapping[str, object], where: Column | str) -> DataFrame:
     """``UPDATE t SET c = v, ... WHERE p``: every right-hand side sees the old
     row (one ``select``), values are cast to the column's type."""
@@ -33,7 +41,7 @@ def update_rows(df: DataFrame, assignments: Mapping[str, object], where: Column
     types = {f.name: f.dataType for f in df.schema.fields}
     cols = [F.when(hit, _value(assignments[c]).cast(types[c])).otherwise(F.col(c)).alias(c)
             if c in assignments else F.col(c) for c in df.columns]
-    return df.select(*cols)
+    return _keyed(df.select(*cols))
 
 
 def inserted_rows(df: DataFrame, rows: Sequence[Mapping[str, object]] | DataFrame) -> DataFrame:
@@ -54,8 +62,8 @@ def inserted_rows(df: DataFrame, rows: Sequence[Mapping[str, object]] | DataFram
     unknown = set(new.columns) - set(types)
     if unknown:
         raise ValueError(f"unknown columns: {sorted(unknown)}")
-    return new.select(*((F.col(f"`{c}`") if c in new.columns else F.lit(None)).cast(t).alias(c)
-                        for c, t in types.items()))
+    return _keyed(new.select(*((F.col(f"`{c}`") if c in new.columns else F.lit(None)).cast(t).alias(c)
+                               for c, t in types.items())))
 
 
 def insert_rows(df: DataFrame, rows: Sequence[Mapping[str, object]] | DataFrame) -> DataFrame:

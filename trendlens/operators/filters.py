@@ -27,6 +27,10 @@ COMMENTS = "video_comment_count"
 TAGS = "video_tags"
 CHANNEL = "channel_title"
 
+# Stored lower-case copies of columns that are matched case-blind: comparing
+# one with a literal reaches the scan, a lower() around a column does not.
+KEYS = {VIDEO: "video_key", SRC: "channel_key"}
+
 INTERNATIONAL = ("on", "international")
 DOMESTIC = ("off", "domestic", "")
 ALL = "all"
@@ -118,9 +122,16 @@ def sources_in(values: Iterable[str] | str | None, src: str = SRC) -> Column | N
     return _norm(src).isin(wanted)
 
 
-def equals_ci(c: str, value: str | None) -> Column | None:
+def with_keys(df):
+    """``df`` with the lower-case copies of ``KEYS`` for the columns it has."""
+    return df.withColumns({key: F.lower(F.col(c)) for c, key in KEYS.items() if c in df.columns})
+
+
+def equals_ci(df, c: str, value: str | None) -> Column | None:
     """``lower(c) = lower(value.strip())``; the column itself is not trimmed.
-    Blank or missing value: no condition."""
+    Blank or missing value: no condition. Uses the stored key column if ``df`` has it."""
     if value is None or not str(value).strip():
         return None
-    return F.lower(F.col(c)) == F.lit(str(value).strip().lower())
+    key = KEYS.get(c)
+    column = F.col(key) if key in df.columns else F.lower(F.col(c))
+    return column == F.lit(str(value).strip().lower())

@@ -57,7 +57,7 @@ def flows_of_video(df: DataFrame, video_id: str, on_date=None, mode: str | None
     and the plain sum of view counts per edge -- no per-video de-duplication
     here, unlike ``country_flows``."""
     require(video_id, "video_id")
-    rows = flt.where(df, flt.equals_ci(video, video_id), flt.day_filter(on_date, day=day),
+    rows = flt.where(df, flt.equals_ci(df, video, video_id), flt.day_filter(on_date, day=day),
                      flt.flow_mode(mode, src, dst))
     return (rows.groupBy(F.col(src).alias("src"), F.col(dst).alias("dst"))
             .agg(F.count(F.lit(1)).alias("cnt"), total(digits(rows, views)).alias("views")))

@@ -59,7 +59,7 @@ def top_videos(df: DataFrame, src: str | None = None, mode: str | None = "", lim
                src_col: str = flt.SRC, dst_col: str = flt.DST) -> DataFrame:
     """Best row of each video over all days, most viewed first, ``limit`` rows.
     ``src`` matches the channel country case-blind (column not trimmed)."""
-    preds = (flt.equals_ci(src_col, src), flt.flow_mode(mode, src_col, dst_col))
+    preds = (flt.equals_ci(df, src_col, src), flt.flow_mode(mode, src_col, dst_col))
     return _listing(df, preds, ("video_id",), limit, _cols(video, title, views, likes, src_col, dst_col))
 
 
@@ -69,7 +69,7 @@ def top_videos_on(df: DataFrame, on_date, src: str | None = None, mode: str | No
                   day: str = flt.DAY) -> DataFrame:
     """Same as ``top_videos`` for one (required) day."""
     require(flt.parse_day(on_date), "on_date")
-    preds = (flt.day_filter(on_date, day=day), flt.equals_ci(src_col, src), flt.flow_mode(mode, src_col, dst_col))
+    preds = (flt.day_filter(on_date, day=day), flt.equals_ci(df, src_col, src), flt.flow_mode(mode, src_col, dst_col))
     return _listing(df, preds, ("video_id",), limit, _cols(video, title, views, likes, src_col, dst_col))
 
 
@@ -80,7 +80,7 @@ def videos_by_flow(df: DataFrame, on_date, src: str | None = None, dst: str | No
     """Best row per (video, src, dst) on one (required) day, optionally for
     one source and/or one destination (case-blind, not trimmed)."""
     require(flt.parse_day(on_date), "on_date")
-    preds = (flt.day_filter(on_date, day=day), flt.equals_ci(src_col, src), flt.equals_ci(dst_col, dst),
+    preds = (flt.day_filter(on_date, day=day), flt.equals_ci(df, src_col, src), flt.equals_ci(df, dst_col, dst),
              flt.flow_mode(mode, src_col, dst_col))
     return _listing(df, preds, ("video_id", "src", "dst"), limit,
                     _cols(video, title, views, likes, src_col, dst_col))

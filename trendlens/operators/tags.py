@@ -51,7 +51,7 @@ def top_tags(tags: DataFrame | None, df: DataFrame, on_date=None, src: str | Non
     source row instead of one per tag -- and the text is exploded after the
     join: the same sums from a join several times smaller.
     """
-    rows = flt.where(df, flt.day_filter(on_date, day=day), flt.equals_ci(src_col, src),
+    rows = flt.where(df, flt.day_filter(on_date, day=day), flt.equals_ci(df, src_col, src),
                      flt.flow_mode(mode, src_col, dst_col))
     matches = rows.groupBy(video, day).agg(F.count(F.lit(1)).alias("_rows"))
     if tags is None:

@@ -22,7 +22,7 @@ def views_timeline(df: DataFrame, video_id: str | None = None, mode: str | None
     unordered (a global sort of every video-day row would be the costliest
     step at scale and nothing needs it; sort per video when reading).
     """
-    preds = (flt.equals_ci(video, video_id) if video_id is not None else None,
+    preds = (flt.equals_ci(df, video, video_id) if video_id is not None else None,
              F.col(day).isNotNull(), flt.flow_mode(mode))
     rows = flt.where(df, *preds)
     keys = [F.col(day)] if video_id is not None else [F.col(video).alias("video_id"), F.col(day)]

@@ -22,6 +22,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from trendlens.operators.filters import with_keys
 from trendlens.operators.tags import explode_tags
 from trendlens.plans import standins as st
 from trendlens.session import shared_path
@@ -78,10 +79,16 @@ def _memo_table(spark: SparkSession, sf_dir: str, name: str, build, cluster_by=(
 
 
 def trending_table(spark: SparkSession, sf_dir: str, materialized: bool = True) -> DataFrame:
-    """The clean table for ``sf_dir``: written once per session, then read."""
+    """The clean table (with key columns) for ``sf_dir``: written once per session, then read."""
     if not materialized:
         return st.trending(spark, sf_dir)
-    return _memo_table(spark, sf_dir, "trending", lambda: st.trending(spark, sf_dir))
+    return _memo_table(spark, sf_dir, "trending", lambda: with_keys(st.trending(spark, sf_dir)))
+
+
+def trending_by_video(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A copy of the clean table in ranges of the video key, for questions about one video."""
+    return _memo_table(spark, sf_dir, "trending_by_video", lambda: trending_table(spark, sf_dir),
+                       ("video_key",), ("video_key", DAY))
 
 
 def tags_table(spark: SparkSession, sf_dir: str, materialized: bool = True) -> DataFrame:
