@@ -133,3 +133,43 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -
         labels(full | found).alias("labels"),
         F.coalesce(F.max(F.when(full, F.lit(1.0)).when(~F.col("base") & short, share)), F.lit(0.0)).alias("score"))
         .drop("row"))
+
+
+_ROWS = ", ".join(f"({number}, '{label}', {str(number < len(PHRASES)).lower()}, '{phrase}')"
+                  for number, (label, phrase) in enumerate(PHRASES + NOTICES))
+SQL = rf"""
+WITH templates AS (
+  SELECT t, label, base, w, len(w) - 1 AS size FROM (
+    SELECT t, label, base, string_split(phrase, ' ') AS w FROM (VALUES {_ROWS}) v(t, label, base, phrase))),
+grams AS (
+  SELECT t, label, base, size, i - 1 AS pos, w[i] AS x, w[i + 1] AS y
+  FROM (SELECT *, unnest(range(1, size + 1)) AS i FROM templates)),
+d AS (
+  SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM documents),
+p AS (SELECT rid, i - 1 AS place, w[i] AS x, w[i + 1] AS y
+      FROM (SELECT rid, w, unnest(range(1, len(w))) AS i FROM d)),
+votes AS (
+  SELECT rid, t, label, base, size, place - pos AS diagonal, min(place) AS low, max(place) AS high, list(pos) AS ats
+  FROM p JOIN grams USING (x, y) GROUP BY ALL),
+banded AS (
+  SELECT *, sum(CASE WHEN NOT base AND diagonal - before <= {MAX_SHIFT} THEN 0 ELSE 1 END)
+              OVER (PARTITION BY rid, t ORDER BY diagonal) AS band
+  FROM (SELECT *, lag(diagonal) OVER (PARTITION BY rid, t ORDER BY diagonal) AS before FROM votes)),
+spans AS (
+  SELECT rid, t, label, base, size, min(diagonal) AS start, max(high) - min(low) + 1 <= {MAX_STRETCH} * size AS short,
+         len(list_distinct(flatten(list(ats)))) AS hit
+  FROM banded GROUP BY rid, t, label, base, size, band),
+judged AS (
+  SELECT *, base AND hit = size AS whole, hit / size::DOUBLE AS share,
+         NOT base AND short AND hit / size::DOUBLE >= {MIN_SHARE} AS found
+  FROM spans)
+SELECT d.doc_id, CAST(len(any_value(d.w)) AS BIGINT) AS n_words, count(*) FILTER (whole) AS n_base,
+       min(start) FILTER (whole) AS first_word, max(start) FILTER (whole) AS last_word,
+       array_to_string(coalesce(list_sort(list(DISTINCT label) FILTER (whole)), []), ',') AS base_labels,
+       array_to_string(coalesce(list_sort(list(DISTINCT label) FILTER (whole OR found)), []), ',') AS labels,
+       coalesce(max(CASE WHEN whole THEN 1.0::DOUBLE WHEN NOT base AND short THEN share END), 0.0::DOUBLE) AS score
+FROM d LEFT JOIN judged USING (rid) GROUP BY d.rid, d.doc_id
+"""

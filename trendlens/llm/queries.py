@@ -27,7 +27,7 @@ def op3_jump_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     linked = neardup.link_documents(documents(spark, sf_dir))
-    return linked.select("doc_id", "n_shingles", "component_id", "kept", "n_links")
+    return linked.select("doc_id", "n_shingles", "component_id", "kept")
 
 
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,6 +72,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op4_near_duplicates": neardup.SQL,
+        "op6_license_scan": licenses.SQL,
         "op8_exact_dedup": dedup_index.SQL,
         "op10_quality_rules": quality_rules.SQL,
     }
