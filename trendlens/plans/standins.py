@@ -127,10 +127,21 @@ select l_orderkey, l_linenumber, l_partkey, l_suppkey,
     when 0 then concat(cast(day(o_orderdate) as string), '/',
                        cast(month(o_orderdate) as string), '/',
                        cast(year(o_orderdate) as string), ' 7:05')
-    when 1 then concat(cast(cast(o_orderdate as date) as string), ' 01:02:03')
+    when 1 then concat(cast(cast(o_orderdate as date) as string),
+                       case when l_partkey % 3 = 0 then '   ' else ' ' end, '01:02:03')
     when 2 then cast(cast(o_orderdate as date) as string)
     else 'bad' end                                              as pub_raw,
   case when l_linenumber = 3 then cast(cast(o_orderdate as date) as string)
+    when l_linenumber = 7 and l_partkey % 50 = 0
+      then concat('Lundi 31 février ', cast(year(o_orderdate) as string))
+    when l_linenumber = 6
+      then concat('Mardi ', cast(day(o_orderdate) as string),
+                  case month(o_orderdate) when 2 then ' fevrier ' when 8 then ' aout '
+                    when 12 then ' decembre ' else ' Mai ' end, cast(year(o_orderdate) as string))
+    when l_linenumber = 5
+      then concat('JEUDI ', cast(day(o_orderdate) as string),
+                  case month(o_orderdate) when 2 then ' FÉVRIER ' when 8 then ' AOÛT '
+                    when 12 then ' DÉCEMBRE ' else ' Juillet ' end, cast(year(o_orderdate) as string), ' ')
     else concat('Lundi ', cast(day(o_orderdate) as string), ' ',
                 case month(o_orderdate)
                   when 1 then 'janvier' when 2 then 'février' when 3 then 'mars'
@@ -145,7 +156,7 @@ select l_orderkey, l_linenumber, l_partkey, l_suppkey,
     when 1 then concat('PT', cast(l_suppkey % 60 as string), 'S')
     when 2 then concat(cast(l_partkey % 24 as string), ':',
                        lpad(cast(l_suppkey % 60 as string), 2, '0'), ':05')
-    when 3 then 'none'
+    when 3 then case when l_partkey % 40 = 0 then 'PT9223372036854775807H' else 'none' end
     else concat('PT', cast(l_partkey % 60 as string), 'M') end  as dur_raw
 from {lineitem} join {orders} on l_orderkey = o_orderkey
 """
@@ -168,7 +179,7 @@ select
   concat('NATION_', cast(l_orderkey % 25 as string))             as video_trending_country,
   concat('NATION_', cast(l_suppkey % 25 as string))              as channel_country,
   cast(l_linenumber + 20 as string)                              as video_category_id,
-  case l_linenumber % 4 when 0 then 'true' when 1 then '0' when 2 then 'yes'
+  case l_linenumber % 4 when 0 then 'true' when 1 then '0' when 2 then case when l_partkey % 2 = 0 then ' yes' else 'yes' end
        else 'maybe' end                                           as video_licensed_content,
   view_raw                                                        as video_view_count,
   case l_linenumber % 3 when 0 then concat(cast(l_partkey % 90 as string), 'e1')
@@ -206,6 +217,33 @@ def raw_trending(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(raw_trending_sql(spark_refs(sf_dir)))
 
 
+# Country names as data and as a map may spell them, by nation: blanks, case,
+# accents, other names.
+_DATA_NAMES = (" USA ", "Ivory Coast", "RUSSIA", "UK", "Great Britain", "united states", "South Korea", "North Korea",
+               "Czech Republic", "Congo-Kinshasa", "Congo-Brazzaville", "Swaziland", "Cape Verde", "Laos", "Burma",
+               "Myanmar", "BRÉSIL", "Türkiye", "  ", "España", "Nowhere", "São Tomé", "Perú", "Österreich", "México")
+_MAP_NAMES = ("United States of America", "Côte d'Ivoire", "Russian Federation", "United Kingdom", "Wales", "USA",
+              "Korea, Republic of", "Korea, Democratic People's Republic of", "Czechia",
+              "Democratic Republic of the Congo", "Republic of the Congo", "eSwatini", "Cabo Verde", "Lao PDR", "MYANMAR",
+              "Chad", "Bresil", "Turkiye", "Blank", "ESPANA", "Mali", "Sao Tome", "peru", "Osterreich", "Mexico")
+
+
+def names_sql(names: tuple[str, ...], refs: dict[str, str], columns: str) -> str:
+    quoted = ["'" + n.replace("'", "''") + "'" for n in names]
+    # Both engines: an apostrophe is put in by chr(39).
+    texts = [f"concat({q.replace(chr(39) * 2, f'{chr(39)}, chr(39), {chr(39)}')})" if "''" in q else q for q in quoted]
+    cases = " ".join(f"when {i} then {t}" for i, t in enumerate(texts))
+    return f"select case n_nationkey % {len(names)} {cases} end as {columns} from {refs['nation']}"
+
+
+def data_countries_sql(refs: dict[str, str]) -> str:
+    return names_sql(_DATA_NAMES, refs, "country, n_nationkey + 1 as cnt")
+
+
+def map_countries_sql(refs: dict[str, str]) -> str:
+    return names_sql(_MAP_NAMES, refs, "name")
+
+
 # --------------------------------------------------------------------------
 # map documents
 # --------------------------------------------------------------------------
