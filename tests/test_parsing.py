@@ -65,6 +65,11 @@ def test_duration_exact_option(spark):
         [45, 5, 3645, 90]
 
 
+def test_rewritten_forms_are_no_dates_or_clocks(spark):
+    assert one_col(spark, ["2024/mai/5", "\x01/2024/mai/5", "/mai/"], french_date) == [None] * 3
+    assert one_col(spark, ["\x01:1:02:03:", "\x01:1:2::", ":1:2:3:"], duration_seconds) == [None] * 3
+
+
 FRENCH = ["Samedi 9 AOÛT 2025", "5 août 2024", "jeudi 3 foo 2024", "Mardi 5 août 2024", "lundi 1 fevrier 2021",
           "Dimanche 31 décembre 2023  ", "Lundi 29 février 2024", "x 12 Mars 1999", "Lundi 31 février 2024"]
 

@@ -71,7 +71,7 @@ def main(argv):
     spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     print("\n## Clean-table build with broadcasting off (as at scale)\n")
     print("Nation joins customer and supplier, customer joins orders, then the fact table is joined on "
-          "orderkey, suppkey and partkey; the rebalance by day and the sort inside files come last. "
+          "orderkey, suppkey and partkey; the ranges of (day, video, row hash) and the sort inside files come last. "
           "Broadcasting is switched off entirely here, so even the 25-row nation table is shuffled; on a "
           "cluster its measured size keeps it broadcast, and every other join is a sort-merge join whose "
           "skewed partitions AQE splits.\n")

@@ -49,7 +49,7 @@ QUERIES = {
     "top_videos": lambda t: ops.top_videos(t, mode="all"),
     "views_timeline_all": lambda t: ops.views_timeline(t, mode="all"),
     "top_tags": lambda t: ops.top_tags(None, t, mode="all"),
-    "clean_table_write (rebalance by day)": lambda t: layout(t, (DAY,), (DAY, "video_id")),
+    "clean_table_write (ranges of day, video, row)": lambda t: layout(t, (DAY,), (DAY, "video_id")),
     # Contrast, not an operator of this library: a window over each whole
     # video with no top-1 cut sends every row of the hot video to one task.
     "naive_full_window (contrast)": lambda t: t.withColumn(
@@ -101,10 +101,6 @@ def main(argv):
         conf = {"spark.eventLog.enabled": "true", "spark.eventLog.dir": log_dir,
                 "spark.eventLog.compress": "false", "spark.eventLog.rolling.enabled": "false",
                 "spark.sql.adaptive.coalescePartitions.enabled": "false"}
-        if name.startswith("clean_table_write"):
-            # AQE splits a rebalance partition above the advisory size; at
-            # this data size that needs a small advisory size to show.
-            conf["spark.sql.adaptive.advisoryPartitionSizeInBytes"] = "64k"
         spark = _session(f"skew-{name}", conf)
         build(spark.read.parquet(path)).write.format("noop").mode("overwrite").save()
         spark.stop()

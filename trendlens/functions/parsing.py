@@ -127,10 +127,18 @@ _WORD = "[A-Za-zÀ-ÿ]+"
 FRENCH_DATE_PATTERN = rf"^{_WORD}{_WS}+([0-9]{{1,2}}){_WS}+({_WORD}){_WS}+([0-9]{{4}}){_WS}*$"
 
 
+# Leads a text that a regex has rewritten; texts that start with it themselves count as not matching.
+_MARK = "\x01"
+
+
+def _marked(text: Column, parts: Column) -> Column:
+    return (F.get(parts, F.lit(0)) == _MARK) & ~text.startswith(_MARK)
+
+
 def french_parts(x: ColumnOrName) -> Column:
     """The one regex pass of ``french_date``: a matching text rewritten to
-    ``[year, month word, day]`` (the month word cannot contain '/')."""
-    return F.split(F.regexp_replace(_c(x).cast("string"), FRENCH_DATE_PATTERN, "$3/$2/$1"), "/", 3)
+    ``[mark, year, month word, day]`` (the month word cannot contain '/')."""
+    return F.split(F.regexp_replace(_c(x).cast("string"), FRENCH_DATE_PATTERN, f"{_MARK}/$3/$2/$1"), "/", 4)
 
 
 def french_date_from(x: ColumnOrName, parts: ColumnOrName) -> Column:
@@ -138,12 +146,12 @@ def french_date_from(x: ColumnOrName, parts: ColumnOrName) -> Column:
     can compute the parts once, in an earlier projection)."""
     text, parts = _c(x).cast("string"), _c(parts)
     months = F.create_map(*[v for k, n in FRENCH_MONTHS.items() for v in (F.lit(k), F.lit(n))])
-    month = F.try_element_at(months, F.lower(parts.getItem(1)))
+    year, word, day = (F.get(parts, F.lit(i)) for i in (1, 2, 3))
+    month = F.try_element_at(months, F.lower(word))
     # concat yields NULL when the month is unknown; a strict parse rejects
     # impossible calendar days.
-    iso = F.concat(parts.getItem(0), F.lit("-"), month.cast("string"), F.lit("-"), parts.getItem(2))
-    return F.when(text.rlike(FRENCH_DATE_PATTERN),
-                  F.try_to_timestamp(iso, F.lit("y-M-d")).cast(T.DateType()))
+    iso = F.concat(year, F.lit("-"), month.cast("string"), F.lit("-"), day)
+    return F.when(_marked(text, parts), F.try_to_timestamp(iso, F.lit("y-M-d")).cast(T.DateType()))
 
 
 def french_date(x: ColumnOrName) -> Column:
@@ -190,8 +198,8 @@ def _part(text: Column, pattern: str) -> Column:
 
 def clock_parts(x: ColumnOrName) -> Column:
     """The one regex pass of the clock branch: a clock text rewritten to
-    ``[h, m, s, fraction]`` (missing parts empty)."""
-    return F.split(F.regexp_replace(_c(x).cast("string"), _CLOCK, "$1:$2:$3:$4"), ":", 4)
+    ``[mark, h, m, s, fraction]`` (missing parts empty)."""
+    return F.split(F.regexp_replace(_c(x).cast("string"), _CLOCK, f"{_MARK}:$1:$2:$3:$4"), ":", 5)
 
 
 def duration_seconds_from(x: ColumnOrName, hms: ColumnOrName, exact: bool = False) -> Column:
@@ -203,14 +211,14 @@ def duration_seconds_from(x: ColumnOrName, hms: ColumnOrName, exact: bool = Fals
     iso = F.try_add(F.try_add(F.try_multiply(_part(text, _ISO_HOURS), F.lit(3600)),
                               F.try_multiply(_part(text, _ISO_MINUTES), F.lit(60))),
                     _part(text, _ISO_SECONDS_EXACT if exact else _ISO_SECONDS_QUIRK))
-    h, m = hms.getItem(0).try_cast(T.LongType()), hms.getItem(1).try_cast(T.LongType())
-    s = F.coalesce(hms.getItem(2).try_cast(T.LongType()), F.lit(0).cast(T.LongType()))
+    h, m, s = (F.get(hms, F.lit(i)).try_cast(T.LongType()) for i in (1, 2, 3))
+    s = F.coalesce(s, F.lit(0).cast(T.LongType()))
     # the fraction only matters for 24:00:00 (nothing may follow)
-    frac_zero = ~hms.getItem(3).rlike("[1-9]")
+    frac_zero = ~F.get(hms, F.lit(4)).rlike("[1-9]")
     in_range = (m <= 59) & (s <= 59) & ((h <= 23) | ((h == 24) & (m == 0) & (s == 0) & frac_zero))
     clock = F.when(in_range, h * 3600 + m * 60 + s)
     return (F.when(text.startswith("PT"), iso)
-            .when(text.rlike(_CLOCK), clock)
+            .when(_marked(text, hms), clock)
             .otherwise(F.lit(None).cast(T.LongType())))
 
 
