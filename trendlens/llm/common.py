@@ -34,11 +34,17 @@ def written(df: DataFrame, name: str) -> DataFrame:
     Cuts the lineage: a lost executor costs a re-read, not a recomputation,
     and values made from task numbers stay as they were first written.
     """
-    path = shared_path(df.sparkSession, "llm", f"{name}-{uuid.uuid4().hex}")
+    path = shared_path(df.sparkSession, "llm", df.sparkSession.sparkContext.applicationId, f"{name}-{uuid.uuid4().hex}")
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def delete_written(spark: SparkSession) -> bool:
+    """Delete this application's written tables; results not yet saved elsewhere can then not be read any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(shared_path(spark, "llm", spark.sparkContext.applicationId))
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def map_arrow(df: DataFrame, function: Callable, schema) -> DataFrame:
     """``df.mapInArrow``, with this package sent to the executors once per application."""
     context = df.sparkSession.sparkContext

@@ -129,7 +129,7 @@ def bit_filter(keys: DataFrame) -> bytes:
 
 
 def _full_sets(wanted):
-    """Sets of the texts whose hash is in the bitmap, once per task for equal (id, text)."""
+    """Sets of the texts whose hash is in the bitmap."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bitmap = np.frombuffer(wanted.value, "<u4")
         for batch in batches:
