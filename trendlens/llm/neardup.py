@@ -44,8 +44,8 @@ from .neardup_sketch import BINS, band_keys, fingerprint, shingle_sets, signatur
 
 FILTER_BITS = 1 << 24   # 2 MB, broadcast
 STAR_LEAST = 0.5        # agreement of BINS values below which a star pair is left out
-FINE_BINS = 512         # finer sketch of the rest: one byte per bin
-FINE_LEAST = 0.66       # 4.7 standard deviations below 0.75
+FINE_BINS = 1024        # finer sketch of the rest: one byte per bin
+FINE_LEAST = 0.69       # 4.4 standard deviations below 0.75
 BLOCK = 1024            # members per block of a bucket that stars did not join
 
 _U = np.uint64
