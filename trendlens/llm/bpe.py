@@ -212,7 +212,10 @@ def merge_one(vocabulary: Vocabulary, piece: bytes) -> list[int]:
 def _worker(ranks_file: bytes, pattern: str) -> tuple[Vocabulary, ChunkCache, list[str]]:
     """Kept in the Python worker between tasks."""
     vocabulary = Vocabulary(ranks_file, pattern)
-    return vocabulary, ChunkCache(vocabulary.encode_texts), [str(i) for i in range(len(vocabulary.tokens))]
+    def encode(pieces: list[str]) -> list[bytes]:
+        return vocabulary.encode_pieces([p.encode() for p in pieces])
+
+    return vocabulary, ChunkCache(encode, pattern), [str(i) for i in range(len(vocabulary.tokens))]
 
 
 def read_file(path: str) -> bytes:

@@ -12,10 +12,15 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Iterator
 
-CACHE_ENTRIES = 400_000
-LONG_CHUNK = 200          # longer chunks are not kept
+import regex
+
+CACHE_ENTRIES = 600_000   # kept per worker and kind, half of them from the older generation
+LONG_KEY = 200            # longer keys are not kept
 SLICE_CHARS = 1 << 20     # texts encoded together
 
+# Fixed value: the split pattern of byte-level BPE vocabularies.
+PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+
 _BLANK_SPACE = re.compile(r"\s ")
 
 
@@ -29,11 +34,48 @@ def chunks_of(text: str) -> list[str]:
     return [first, *[" " + w for w in rest]]
 
 
+class Generations:
+    """Values by key, computed many at a time; keys not met for a generation are forgotten."""
+
+    def __init__(self, compute: Callable[[list[str]], list[bytes]], entries: int = CACHE_ENTRIES) -> None:
+        self.compute, self.half = compute, max(1, entries // 2)
+        self.known: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        self.long: list[str] = []
+
+    def of(self, keys: set[str]) -> dict[str, bytes]:
+        """A dict that holds (at least) the given keys, good until the next call."""
+        for key in self.long:
+            self.known.pop(key, None)
+        if len(self.known) > self.half:
+            self.known, self.old = {}, self.known
+        known, old = self.known, self.old
+        missing = [key for key in keys if key not in known]
+        for key in missing:
+            if key in old:
+                known[key] = old[key]
+        missing = [key for key in missing if key not in known]
+        known.update(zip(missing, self.compute(missing)))
+        self.long = [key for key in missing if len(key) > LONG_KEY]
+        return known
+
+
 class ChunkCache:
-    """Bytes per chunk made by ``encode`` (list of chunks -> list of bytes), for many texts at a time."""
+    """Token ids of texts, by chunks, and of new chunks by their pieces.
 
-    def __init__(self, encode: Callable[[list[str]], list[bytes]], entries: int = CACHE_ENTRIES) -> None:
-        self.encode, self.entries, self.known = encode, entries, {}
+    ``encode`` gives the ids (as bytes) of each of a list of pieces.
+    """
+
+    def __init__(self, encode: Callable[[list[str]], list[bytes]], pattern: str = PATTERN,
+                 entries: int = CACHE_ENTRIES) -> None:
+        self.split = regex.compile(pattern).findall
+        self.pieces = Generations(encode, entries)
+        self.chunks = Generations(self._join, entries)
+
+    def _join(self, chunks: list[str]) -> list[bytes]:
+        parts = [self.split(c) for c in chunks]
+        get = self.pieces.of({p for x in parts for p in x}).__getitem__
+        return [b"".join(map(get, x)) for x in parts]
 
     def of_texts(self, texts: list[str]) -> Iterator[bytes]:
         """The encoded bytes of each text."""
@@ -44,26 +86,7 @@ class ChunkCache:
                 size += len(texts[end]) + 1
                 end += 1
             parts = [chunks_of(t) for t in texts[first:end]]
-            known = self.known
-            new = list({c for p in parts for c in p if c not in known})
-            coded = dict(zip(new, self.encode(new)))
-            short = {c: b for c, b in coded.items() if len(c) <= LONG_CHUNK}
-            if len(known) + len(short) <= self.entries:
-                known.update(short)
-                lookup = _Both(known, coded) if len(short) < len(coded) else known
-            else:  # full: start anew from this slice
-                lookup = _Both(known, coded)
-                self.known = short if len(short) <= self.entries else {}
-            get = lookup.__getitem__
+            get = self.chunks.of({c for p in parts for c in p}).__getitem__
             for p in parts:
                 yield b"".join(map(get, p))
             first = end
-
-
-class _Both:
-    def __init__(self, a: dict, b: dict) -> None:
-        self.a, self.b = a, b
-
-    def __getitem__(self, key: str) -> bytes:
-        found = self.a.get(key)
-        return self.b[key] if found is None else found

@@ -19,6 +19,7 @@ Sequence numbers are (round and task) << 32 + a counter. Null texts are empty
 from __future__ import annotations
 
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -99,19 +100,25 @@ def _batch(rows: list[tuple], task: int, open_rows: list[tuple] = ()) -> pa.Reco
         names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "task", "ids"])
 
 
+def _byte_letters() -> dict[int, str]:
+    """The letter that stands for each byte in a byte-level vocabulary: printable ones for themselves,
+    the others for the code points from 256 on."""
+    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    other = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(other)}
+
+
 @lru_cache(maxsize=2)
 def _worker(vocabulary: bytes) -> ChunkCache:
     """Kept in the Python worker between tasks."""
     from tokenizers import Tokenizer
-    tokenizer = Tokenizer.from_buffer(vocabulary)
-    tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-
-    def encode(chunks: list[str]) -> list[bytes]:
-        out = []
-        for a in range(0, len(chunks), 2000):
-            coded = tokenizer.encode_batch_fast(chunks[a: a + 2000], add_special_tokens=False)
-            out += [np.array(x.ids, "<u4").tobytes() for x in coded]
-        return out
+    # The model itself, on pieces split and written in its letters as its pre-tokeniser does.
+    tokenize = Tokenizer.from_buffer(vocabulary).model.tokenize
+    letters = _byte_letters()
+
+    def encode(pieces: list[str]) -> list[bytes]:
+        return [array("I", [t.id for t in tokenize(p.encode().decode("latin-1").translate(letters))]).tobytes()
+                for p in pieces]
 
     return ChunkCache(encode)
 
