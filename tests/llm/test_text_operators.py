@@ -58,6 +58,18 @@ def test_disguises_map_back_to_the_source(disguised, kind):
     assert pii.mask(text) == f"Écrire à: [{kind}], merci."
 
 
+@pytest.mark.parametrize("disguised,kind", [
+    ("j\u043ehn@example.com", "email"), ("us\u200ber@example.org", "email"), ("john[dot]doe@example.com", "email"),
+    ("john@mail.example dot com", "email"), ("+44 20 7946 09\uff158 23", "phone"),
+])
+def test_partly_disguised_data_is_found_whole(disguised, kind):
+    text = f"Write to: {disguised}, thanks."
+    base, found = pii.find_all(text)
+    assert base[kind] and set(base[kind]) < set(found[kind])
+    assert disguised in [text[a:b] for a, b in found[kind]]
+    assert pii.mask(text) == f"Write to: [{kind}], thanks."
+
+
 @pytest.mark.parametrize("text", ["look at example.com for the dot com boom", "one two three four five six seven eight",
                                   "meet at nine or at ten", "Он сказал: да.", "x " * 50])
 def test_clean_text_is_left_alone(text):

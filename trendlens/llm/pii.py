@@ -6,7 +6,8 @@ source characters it stands for: the first folds look-alike characters
 characters), the second spelled digits and at/dot disguises. The same four
 detectors run on the source (base spans) and on the rewritten text; spans
 found there are mapped back. A base span always stays; a mapped span is added
-if it overlaps no base span of its kind.
+unless a span of its kind already covers it, so where a disguise leaves a
+fragment that is a base span, the whole extent is listed too.
 
 To leave ordinary prose alone, a bare ``at`` or ``dot`` counts only within
 ``name at host dot tld`` with a well-known tld, and spelled digits only in runs
@@ -193,20 +194,24 @@ def spell_out(traced: Traced) -> Traced:
     return traced
 
 
+def _with_mapped(base: list[Span], mapped: list[Span]) -> list[Span]:
+    """Base spans and the mapped ones that no other span covers, sorted."""
+    own, kept, reach = set(base), [], -1
+    for start, end in sorted(own.union(mapped), key=lambda s: (s[0], -s[1])):
+        if end > reach or (start, end) in own:
+            kept.append((start, end))
+        reach = max(reach, end)
+    return sorted(kept)
+
+
 def find_all(text: str) -> tuple[dict[str, list[Span]], dict[str, list[Span]]]:
     """(base spans, base spans and those of disguised data) by kind, in source characters, sorted."""
     base = detect(text)
     plain = spell_out(fold_look_alikes(Traced(text)))
     if plain.spans is None:
         return base, base
-    found = {}
-    for kind, spans in detect(plain.text).items():
-        kept = list(base[kind])
-        for start, end in (plain.source(*s) for s in spans):
-            if all(end <= a or start >= b for a, b in base[kind]):
-                kept.append((start, end))
-        found[kind] = sorted(kept)
-    return base, found
+    return base, {kind: _with_mapped(base[kind], [plain.source(*s) for s in spans])
+                  for kind, spans in detect(plain.text).items()}
 
 
 def listed(spans: dict[str, list[Span]]) -> str:
