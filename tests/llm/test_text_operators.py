@@ -169,6 +169,31 @@ def test_held_out_accuracy_and_awkward_rows(spark):
     assert quality_crf.score_documents(docs.limit(5), none).count() == 5
 
 
+def test_training_takes_whole_documents(spark, monkeypatch):
+    good, bad = "A plain line of words, number %d.", "### %d $$$ {{ ||| }} ###"
+    docs, labels = [], []
+    for i in range(12):
+        body = [good % k for k in range(230)] + [bad % k for k in range(170)] * (i % 2)
+        docs.append((i, "\n".join(body)))
+        labels.append((i, 1 - i % 2))
+    docs = spark.createDataFrame(docs, "doc_id long, text string")
+    labels = spark.createDataFrame(labels, "doc_id long, quality int")
+    seen, train = [], quality_crf.train
+    monkeypatch.setattr(quality_crf, "train", lambda x, first, y, **k: seen.append((np.diff(first), y)) or
+                        train(x, first, y, rounds=20))
+    model = quality_crf.fit(docs, labels)
+    lines, y = seen[0]
+    assert len(lines) and (lines == np.where(y == 1, 230, 400)).all()
+    score = quality_crf.score_texts(pa.array([good % 1, bad % 1]), model)
+    assert score[0] > score[1]
+    # A bound on all lines takes fewer documents, each of them whole.
+    quality_crf.fit(docs, labels, most_lines=900)
+    fewer, y = seen[1]
+    assert 0 < len(fewer) < len(lines) and (fewer == np.where(y == 1, 230, 400)).all() and fewer.sum() <= 900
+    quality_crf.fit(docs, labels, most_lines=300)
+    assert set(seen[2][0]) == {230}
+
+
 def test_features_do_not_depend_on_neighbouring_texts():
     texts = ["One line here.\nAnother line there!\n\n  \nlast", "", "alone", "a\na\na\nb"]
     def features(column):

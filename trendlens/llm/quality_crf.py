@@ -7,9 +7,10 @@ gradient ascent on the exact conditional likelihood (forward-backward) with an
 L2 penalty. A document's score is the mean of its lines' marginal
 probabilities of being good, weighted by line length.
 
-Training uses at most ``most_docs`` labelled documents (those with the least
-hash of their id) and the first ``most_lines`` lines of each: that bounded
-sample is all that reaches the driver. Scoring reads whole texts where they
+Training uses all lines of at most ``most_docs`` labelled documents (those with
+the least hash of their id); fewer whole documents if their lines would be more
+than ``most_lines`` together, and none that has more than that alone. That
+bounded sample is all that reaches the driver. Scoring reads whole texts where they
 lie, with the weights broadcast (a few hundred numbers); the features of a
 slice of texts are computed together over its bytes.
 
@@ -29,10 +30,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE_BYTES, byte_class, gram_hashes, map_arrow, text_slices, word_bounds, word_hashes
+from .common import SPACE_BYTES, byte_class, gram_hashes, map_arrow, text_slices, word_bounds, word_hashes, written
 
 MOST_DOCS = 4000
-MOST_LINES = 200
+MOST_LINES = 800_000   # of all training documents together
 ROUNDS = 200
 GOOD = 0.7   # score from which a document counts as good
 
@@ -212,27 +213,39 @@ def is_held_out(id_col: Column) -> Column:
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", label: str = "quality",
         most_docs: int = MOST_DOCS, most_lines: int = MOST_LINES) -> Model:
-    """Model from at most ``most_docs`` labelled documents that are not held out."""
+    """Model from at most ``most_docs`` whole labelled documents that are not held out."""
     chosen = (labels.select(F.col(id_col).alias("id"), F.col(label).cast("int").alias("label"))
               .filter(F.col("id").isNotNull() & F.col("label").isin(0, 1) & ~is_held_out(F.col("id")))
               .dropDuplicates(["id"]).orderBy(F.xxhash64("id"), "id").limit(most_docs))
-    # At most most_docs ids: a bounded broadcast.
-    sample = docs.select(F.col(id_col).alias("id"), F.col(text).cast("string").alias("text")).join(
-        F.broadcast(chosen), "id").dropDuplicates(["id"])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            raw, counts = [], []
-            for _, _, data, cut in text_slices(batch.column("text")):
-                features, _, first = line_features(data, cut)
-                for a, b in zip(first[:-1], first[1:]):
-                    b = min(b, a + most_lines)
-                    raw.append(features[a:b].astype("<f4").tobytes())
-                    counts.append(b - a)
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("label"), pa.array(counts, pa.int32()),
-                                              pa.array(raw, pa.binary())], names=["id", "label", "lines", "features"])
-
-    rows = map_arrow(sample, run, "id long, label int, lines int, features binary").orderBy("id").toArrow()
+    # At most most_docs ids: a bounded broadcast. Written, because both passes must see the same rows.
+    sample = written(docs.select(F.col(id_col).alias("id"), F.col(text).cast("string").alias("text")).join(
+        F.broadcast(chosen), "id").dropDuplicates(["id"]), "crf-sample")
+
+    def run(with_features: bool):
+        def of_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                raw, counts = [], []
+                for _, _, data, cut in text_slices(batch.column("text")):
+                    features, _, first = line_features(data, cut)
+                    counts.extend(np.diff(first).tolist())
+                    if with_features:
+                        raw += [features[a:b].astype("<f4").tobytes() for a, b in zip(first[:-1], first[1:])]
+                columns = [batch.column("id"), batch.column("label"), pa.array(counts, pa.int32())]
+                names = ["id", "label", "lines"]
+                if with_features:
+                    columns, names = [*columns, pa.array(raw, pa.binary())], [*names, "features"]
+                yield pa.RecordBatch.from_arrays(columns, names=names)
+        return of_batches
+
+    fields = "id long, label int, lines int"
+    sizes = map_arrow(sample, run(False), fields).orderBy(F.xxhash64("id"), "id").toArrow()
+    ids, lines = sizes.column("id").to_numpy(), sizes.column("lines").to_numpy().astype(np.int64)
+    ids, lines = ids[lines <= most_lines], lines[lines <= most_lines]
+    ids = ids[np.cumsum(lines) <= most_lines].tolist()
+    if len(ids) < sizes.num_rows:
+        fitting = docs.sparkSession.createDataFrame([(i,) for i in ids], "id long")
+        sample = sample.join(F.broadcast(fitting), "id")
+    rows = map_arrow(sample, run(True), fields + ", features binary").orderBy("id").toArrow()
     if not rows.num_rows:
         return Model(np.zeros(N_FEATURES), np.ones(N_FEATURES), np.zeros(N_FEATURES), np.zeros((2, 2)), 0.5)
     features = np.frombuffer(b"".join(rows.column("features").to_pylist()), "<f4").reshape(-1, N_FEATURES)
