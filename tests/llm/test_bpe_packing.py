@@ -95,6 +95,23 @@ def test_packing(spark, tokenizer, size, windows, fan):
         assert total <= size and (total == size or total & (total - 1) == 0)
 
 
+def test_added_tokens_in_texts_are_the_librarys(spark):
+    unmodified = Tokenizer.from_buffer(JSON)
+    rows = [(0, "one <|endoftext|> two"), (1, "<|endoftext|>"), (2, "a  <|endoftext|><|endoftext|>\n b"),
+            (3, "no <|endoftext| > here"), (4, "plain text")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    pieces = packing.pack_documents(docs, JSON, size=1024).toPandas()
+    for i, text in rows:
+        ids = np.array(unmodified.encode(text, add_special_tokens=False).ids + [0], "<u4")
+        assert (50256 in ids) == (i < 3)
+        mine, at = pieces[pieces.doc_id == i].sort_values("start"), 0
+        for p in mine.itertuples():
+            assert p.start == at and p.doc_tokens == len(ids)
+            assert p.ids_crc32 == zlib.crc32(ids[at: at + p.length].tobytes())
+            at += p.length
+        assert at == len(ids)
+
+
 def test_windows_are_bounded_and_best_fit():
     packer = packing.Packer(10, 2, 0)
     out = []

@@ -12,12 +12,17 @@ way, until one group is left: no task ever holds more than FAN x windows
 windows, and the last group's open windows end the packing. The last of all
 that is not full is cut at powers of two, which need no padding.
 
+The ids are those of the library's ``encode(text, add_special_tokens=False)``:
+texts that hold one of the file's added tokens are encoded by the library, all
+others by the model on cached pieces.
+
 Sequence numbers are (round and task) << 32 + a counter. Null texts are empty
 (one separator token); rows with equal ids are packed each on its own.
 """
 
 from __future__ import annotations
 
+import json
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -109,30 +114,39 @@ def _byte_letters() -> dict[int, str]:
 
 
 @lru_cache(maxsize=2)
-def _worker(vocabulary: bytes) -> ChunkCache:
-    """Kept in the Python worker between tasks."""
+def _worker(vocabulary: bytes):
+    """Encodes a list of texts; kept in the Python worker between tasks."""
     from tokenizers import Tokenizer
+    tokenizer = Tokenizer.from_buffer(vocabulary)
+    added = [t["content"] for t in json.loads(vocabulary).get("added_tokens") or []]
     # The model itself, on pieces split and written in its letters as its pre-tokeniser does.
-    tokenize = Tokenizer.from_buffer(vocabulary).model.tokenize
+    tokenize = tokenizer.model.tokenize
     letters = _byte_letters()
 
     def encode(pieces: list[str]) -> list[bytes]:
         return [array("I", [t.id for t in tokenize(p.encode().decode("latin-1").translate(letters))]).tobytes()
                 for p in pieces]
 
-    return ChunkCache(encode)
+    cache = ChunkCache(encode)
+
+    def of_texts(texts: list[str]) -> Iterator[bytes]:
+        special = [any(a in t for a in added) for t in texts]
+        for text, hit, coded in zip(texts, special, cache.of_texts(["" if h else t for t, h in zip(texts, special)])):
+            yield array("I", tokenizer.encode(text, add_special_tokens=False).ids).tobytes() if hit else coded
+
+    return of_texts
 
 
 def _pack_texts(vocabulary, size: int, windows: int, separator: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get().partitionId()
         packer = Packer(size, windows, task << 32)
-        cache = _worker(vocabulary.value)
+        encoded = _worker(vocabulary.value)
         rows: list[tuple] = []
         end = np.array([separator], "<u4").tobytes()
         for batch in batches:
             docs = batch.column("doc_id").to_pylist()
-            for doc, coded in zip(docs, cache.of_texts(batch.column("text").fill_null("").to_pylist())):
+            for doc, coded in zip(docs, encoded(batch.column("text").fill_null("").to_pylist())):
                 ids = np.frombuffer(coded + end, "<u4")
                 rows.extend(packer.add(doc, 0, ids, len(ids)))
                 if len(rows) >= 4000:
