@@ -58,6 +58,21 @@ def test_disguises_map_back_to_the_source(disguised, kind):
     assert pii.mask(text) == f"Écrire à: [{kind}], merci."
 
 
+@pytest.mark.parametrize("disguised,kind", [
+    ("+1 four one five 555 0199", "phone"), ("+1 (four one five) five five five-0199", "phone"),
+    ("one nine two dot one six eight dot one dot seven", "ip"), ("1 nine 2 point 168 point one point 7", "ip"),
+    ("192 point 168 point 1 point 7", "ip"), ("one nine two [dot] one six eight [dot] one [dot] seven", "ip"),
+    ("4532 zero one five one one two 83 zero three six six", "card"),
+    ("jane at example dot ca", "email"), ("jane at mail dot example dot com dot au", "email"),
+    ("jane dot doe at example.se", "email"), ("jane at a dot b dot c dot d dot e dot f dot travel", "email"),
+])
+def test_disguises_of_any_length(disguised, kind):
+    text = f"Room one: {disguised}, thanks."
+    found = pii.find_all(text)[1]
+    assert [text[a:b] for a, b in found[kind]] == [disguised]
+    assert pii.mask(text) == f"Room one: [{kind}], thanks."
+
+
 @pytest.mark.parametrize("disguised,kind", [
     ("j\u043ehn@example.com", "email"), ("us\u200ber@example.org", "email"), ("john[dot]doe@example.com", "email"),
     ("john@mail.example dot com", "email"), ("+44 20 7946 09\uff158 23", "phone"),

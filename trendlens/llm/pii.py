@@ -10,8 +10,11 @@ unless a span of its kind already covers it, so where a disguise leaves a
 fragment that is a base span, the whole extent is listed too.
 
 To leave ordinary prose alone, a bare ``at`` or ``dot`` counts only within
-``name at host dot tld`` with a well-known tld, and spelled digits only in runs
-of MIN_SPELLED or more.
+``name at host dot tld`` (any tld of letters, at least one bare ``dot``; ``name
+at host.tld`` reads like ordinary prose). Spelled digits, alone or mixed with
+numerals, are rewritten in runs of any length, a ``dot`` or ``point`` between
+them too; the detectors decide. Each rewriting is searched, so what a later one
+breaks is still found.
 
 Each text is read where it lies (no shuffle). All patterns scan a text in time
 proportional to its length. Null texts are empty.
@@ -150,29 +153,29 @@ def fold_look_alikes(traced: Traced) -> Traced:
     return traced.rewrite([(m.start(), m.end(), table[m.group()]) for m in pattern.finditer(traced.text)])
 
 
-# Spelled digits, and top-level domains that a bare "dot" may precede.
+# Spelled digits.
 _SPELLED = {"zero": "0", "oh": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6",
             "seven": "7", "eight": "8", "nine": "9"}
-_TLDS = "com|org|net|edu|gov|info|io|biz|eu|uk|us|de|fr|es|it|nl|ch|at|be"
-MIN_SPELLED = 7
 _WORD = "|".join(_SPELLED)
-_SPELLED_RUN = re.compile(rf"(?<!\w)(?:plus[\x20-]+)?(?:{_WORD})(?:[\x20,-]{{1,2}}(?:{_WORD}))"
-                          rf"{{{MIN_SPELLED - 1},40}}(?!\w)", re.IGNORECASE)
-_SPELLED_WORD = re.compile(rf"plus[\x20-]+|{_WORD}|,\x20?|\x20{{2}}", re.IGNORECASE)
+# What can stand in a card, phone or IP once digits are spelled out: words and numerals, apart by a few signs.
+_UNIT = rf"(?:{_WORD}|dot|point|plus|[0-9]+)"
+_GAP = r"[\x20().,+-]+"
+_SPELLED_RUN = re.compile(rf"\b{_UNIT}(?:{_GAP}{_UNIT}\b)+", re.IGNORECASE)
+_SPELLED_TOKEN = re.compile(r"[a-z]+|[0-9]+", re.IGNORECASE)
 # Disguised signs: in brackets anywhere; bare words between blanks only as a whole address.
 _BRACKETED = re.compile(r"\x20?(?:\[\x20?(at|dot|@|\.)\x20?\]|\(\x20?(at|dot|@|\.)\x20?\)|\{\x20?(at|dot|@|\.)\x20?\}"
                         r"|<\x20?(at|dot|@|\.)\x20?>)\x20?", re.IGNORECASE)
 _DIGIT_DOT = re.compile(r"(?<=[0-9])\x20dot\x20(?=[0-9])", re.IGNORECASE)
 _SIGN = {"at": "@", "dot": ".", "@": "@", ".": "."}
 _BARE = re.compile(
-    rf"(?<![A-Za-z0-9])[A-Za-z0-9_+-]{{1,64}}(?:(?:\.|\x20dot\x20)[A-Za-z0-9_+-]{{1,64}}){{0,3}}(?:\x20at\x20|\x20?@\x20?)"
-    rf"[A-Za-z0-9-]{{1,63}}(?:(?:\.|\x20dot\x20)[A-Za-z0-9-]{{1,63}}){{0,3}}\x20dot\x20(?:{_TLDS})(?![A-Za-z0-9])",
+    rf"(?<![A-Za-z0-9])[A-Za-z0-9_+-]{{1,64}}(?:(?:\.|\x20dot\x20)[A-Za-z0-9_+-]{{1,64}}){{0,9}}(?:\x20at\x20|\x20?@\x20?)"
+    rf"[A-Za-z0-9-]{{1,63}}(?:(?:\.|\x20dot\x20)[A-Za-z0-9-]{{1,63}}){{0,9}}(?:\.|\x20dot\x20)[A-Za-z]{{2,63}}(?![A-Za-z0-9])",
     re.IGNORECASE)
 _BARE_SIGN = re.compile(r"\x20at\x20|\x20?@\x20?|\x20dot\x20", re.IGNORECASE)
 
 
-def spell_out(traced: Traced) -> Traced:
-    """Bracketed signs, then bare ones, then runs of spelled digits."""
+def spell_signs(traced: Traced) -> Traced:
+    """Bracketed signs, then bare ones."""
     lower = traced.text.lower()
     if any(sign + close in lower for sign in _SIGN for close in ("]", ")", "}", ">", " ]", " )", " }", " >")):
         edits = [(m.start(), m.end(), _SIGN[next(g for g in m.groups() if g).lower()])
@@ -181,19 +184,87 @@ def spell_out(traced: Traced) -> Traced:
     if " dot " in lower:
         traced = traced.rewrite([
             (m.start() + s.start(), m.start() + s.end(), "." if "dot" in s.group().lower() else "@")
-            for m in _BARE.finditer(traced.text) for s in _BARE_SIGN.finditer(m.group())])
+            for m in _BARE.finditer(traced.text) if " dot " in m.group().lower()
+            for s in _BARE_SIGN.finditer(m.group())])
         traced = traced.rewrite([(*m.span(), ".") for m in _DIGIT_DOT.finditer(traced.text)])
-    if sum(map(lower.count, _SPELLED)) >= MIN_SPELLED:
-        edits = []
-        for m in _SPELLED_RUN.finditer(traced.text):
-            for w in _SPELLED_WORD.finditer(m.group()):
-                word = w.group().lower()
-                new = "+" if word.startswith("plus") else _SPELLED.get(word, " ")
-                edits.append((m.start() + w.start(), m.start() + w.end(), new))
-        traced = traced.rewrite(edits)
     return traced
 
 
+def spell_digits(traced: Traced) -> Traced:
+    """Spelled digits, with plus, dot and point between them, in runs that could hold a card, phone or IP."""
+    edits, text = [], traced.text
+    for m in _SPELLED_RUN.finditer(text):
+        run = m.group()
+        tokens = list(_SPELLED_TOKEN.finditer(run))
+        words = [t.group().lower() for t in tokens]
+        digits = sum(1 if w in _SPELLED else len(w) if w[0].isdigit() else 0 for w in words)
+        phone = digits >= 8 and ("+" in run or "plus" in words or text[max(m.start() - 2, 0):m.start()].strip(" (")
+                                 .endswith("+"))
+        dots = run.count(".") + words.count("dot") + words.count("point")
+        if (digits >= 16 or phone or digits >= 4 and dots >= 3) and not all(w[0].isdigit() for w in words):
+            edits += [(m.start() + a, m.start() + b, new) for a, b, new in _run_edits(run, tokens)]
+    return traced.rewrite(edits)
+
+
+def _run_edits(run: str, tokens: list[re.Match]) -> list[tuple[int, int, str]]:
+    """Edits of one run: words to signs; digits beside a dot joined to numbers up to 255, elsewhere one blank apart."""
+    values = []
+    for t in tokens:
+        word = t.group().lower()
+        values.append({"plus": "+", "dot": ".", "point": "."}.get(word) or _SPELLED.get(word, word))
+    gaps = [run[a.end():b.start()] for a, b in zip(tokens, tokens[1:])]
+    spoken = [not t.group()[0].isdigit() for t in tokens]
+    # A dot counts between digits only: as a word between blanks, or as the sign alone.
+    number = [v.isdigit() for v in values]
+    sign = [v == "." and 0 < i < len(values) - 1 and number[i - 1] and number[i + 1]
+            and all(g in (" ", "-") for g in gaps[i - 1: i + 1]) for i, v in enumerate(values)]
+    new_gaps: list[str] = []
+    for i, gap in enumerate(gaps):
+        if sign[i] or sign[i + 1] or values[i] == "+" and not gap.strip(" -"):
+            gap = ""
+        elif number[i] and number[i + 1] and (spoken[i] or spoken[i + 1]) and len(gap) <= 2 and not gap.strip(" ,-"):
+            gap = "-" if gap == "-" else " "
+        new_gaps.append(gap)
+    # The digits that make one number with a dot: from the dot on, as long as they are 255 at most.
+    blank = lambda i: number[i] and number[i + 1] and new_gaps[i] in (" ", "-") and (spoken[i] or spoken[i + 1])
+    after = [sign[i - 1] or i > 0 and new_gaps[i - 1] == "." and number[i - 1] for i in range(len(values))]
+    before = [i + 1 < len(values) and (sign[i + 1] or new_gaps[i] == "." and number[i + 1]) for i in range(len(values))]
+    after[0] = False
+    joined = set()
+    for i in range(len(values)):
+        if not number[i]:
+            continue
+        if before[i]:
+            k, digits = i - 1, values[i]
+            while k >= 0 and blank(k) and len(digits := values[k] + digits) <= 3 and int(digits) <= 255:
+                joined.add(k)
+                k -= 1
+        elif after[i] and not before[i]:
+            k, digits = i, values[i]
+            end = i
+            while end + 1 < len(values) and blank(end):
+                end += 1
+            if end + 1 < len(values) and before[end]:
+                continue  # a number between two dots is joined from its end
+            while k < end and len(digits := digits + values[k + 1]) <= 3 and int(digits) <= 255:
+                joined.add(k)
+                k += 1
+    edits = []
+    for i, t in enumerate(tokens):
+        if spoken[i] and (sign[i] or values[i] != "."):
+            edits.append((t.start(), t.end(), values[i]))
+        if i < len(gaps):
+            gap = "" if i in joined else new_gaps[i]
+            if gap != gaps[i]:
+                edits.append((t.end(), tokens[i + 1].start(), gap))
+    return edits
+
+
+def spell_out(traced: Traced) -> Traced:
+    """Signs, then digits."""
+    return spell_digits(spell_signs(traced))
+
+
 def _with_mapped(base: list[Span], mapped: list[Span]) -> list[Span]:
     """Base spans and the mapped ones that no other span covers, sorted."""
     own, kept, reach = set(base), [], -1
@@ -207,11 +278,16 @@ def _with_mapped(base: list[Span], mapped: list[Span]) -> list[Span]:
 def find_all(text: str) -> tuple[dict[str, list[Span]], dict[str, list[Span]]]:
     """(base spans, base spans and those of disguised data) by kind, in source characters, sorted."""
     base = detect(text)
-    plain = spell_out(fold_look_alikes(Traced(text)))
+    mapped: dict[str, list[Span]] = {kind: [] for kind in KINDS}
+    plain = Traced(text)
+    for rewriting in (fold_look_alikes, spell_signs, spell_digits):
+        known, plain = plain, rewriting(plain)
+        if plain is not known:
+            for kind, spans in detect(plain.text).items():
+                mapped[kind] += [plain.source(*s) for s in spans]
     if plain.spans is None:
         return base, base
-    return base, {kind: _with_mapped(base[kind], [plain.source(*s) for s in spans])
-                  for kind, spans in detect(plain.text).items()}
+    return base, {kind: _with_mapped(base[kind], mapped[kind]) for kind in KINDS}
 
 
 def listed(spans: dict[str, list[Span]]) -> str:
