@@ -251,6 +251,14 @@ def test_evidence_decides_where_text_does_not(spark):
     assert langid.visible_text(html.format("")).split() == ["ok"]
 
 
+@pytest.mark.parametrize("html,words", [
+    ("<p>price < 5 or more</p> end", "price < 5 or more end"), ("a <3 b", "a <3 b"), ("x<y and <b", "x <y and <b"),
+    ("<!DOCTYPE html><?xml?><b>one</b> 1 < 2", "one 1 < 2"), ("one <script>a < b", "one"),
+])
+def test_a_stray_sign_opens_no_tag(html, words):
+    assert langid.visible_text(html).split() == words.split()
+
+
 def test_languages_of_awkward_tables(spark):
     out = langid.identify(frame(spark, awkward_rows())).collect()
     assert len(out) == len(awkward_rows()) and all(r.lang in ("en", "fr") for r in out)

@@ -122,10 +122,19 @@ def host_of(url: str | None) -> str | None:
     return found.group(1).lower().rstrip(".") if found else None
 
 
+_TAG = re.compile(r"<[A-Za-z/!?]")
+_TAG_NAME = re.compile(r"</?[A-Za-z0-9]*\s*")
+
+
 def visible_text(html: str) -> str:
-    """Text outside tags, comments, scripts and styles; linear in the length."""
+    """Text outside tags, comments, scripts and styles; linear in the length.
+
+    A ``<`` that opens no tag is text, and so is the rest from a tag that never ends,
+    unless it is no more than the tag's name.
+    """
     out, done, lower = [], 0, html.lower()
-    at = html.find("<")
+    find = lambda start: m.start() if (m := _TAG.search(html, start)) else -1
+    at = find(0)
     ends = {"<script": "</script", "<style": "</style", "<!--": "-->"}
     while at >= 0:
         out.append(html[done:at])
@@ -135,9 +144,9 @@ def visible_text(html: str) -> str:
             return " ".join(out)
         done = html.find(">", end)
         if done < 0:
-            return " ".join(out)
+            return " ".join(out if close or _TAG_NAME.fullmatch(html, at) else [*out, html[at:]])
         done += 1
-        at = html.find("<", done)
+        at = find(done)
     return " ".join([*out, html[done:]])
 
 
