@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 import public_tokenizers
 
-from . import bpe, dedup_index, langid, licenses, neardup, packing, pii, quality_crf, quality_rules, sharding
+from . import (bpe, dedup_index, langid, licenses, neardup, packing, pii, quality_crf, quality_rules, ranked_search,
+               sharding)
 from .common import documents
 
 
@@ -55,6 +56,10 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_report(documents(spark, sf_dir))
 
 
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search.rank_documents(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), 20)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_byte_bpe": op1_byte_bpe,
@@ -67,6 +72,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_exact_dedup": op8_exact_dedup,
         "op9_personal_data": op9_personal_data,
         "op10_quality_rules": op10_quality_rules,
+        "op11_ranked_search": op11_ranked_search,
     }
 
 
@@ -76,4 +82,5 @@ def oracle_sql() -> dict[str, str]:
         "op6_license_scan": licenses.SQL,
         "op8_exact_dedup": dedup_index.SQL,
         "op10_quality_rules": quality_rules.SQL,
+        "op11_ranked_search": ranked_search.SQL,
     }
