@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 import public_tokenizers
 
-from . import (bpe, dedup_index, langid, licenses, neardup, packing, pii, quality_crf, quality_rules, ranked_search,
-               sharding)
+from . import (bpe, dedup_index, embedding_join, langid, licenses, neardup, packing, pii, quality_crf,
+               quality_rules, ranked_search, sharding)
 from .common import documents
 
 
@@ -60,6 +60,10 @@ def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranked_search.rank_documents(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), 20)
 
 
+def op12_embedding_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_join.link_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_byte_bpe": op1_byte_bpe,
@@ -73,6 +77,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_personal_data": op9_personal_data,
         "op10_quality_rules": op10_quality_rules,
         "op11_ranked_search": op11_ranked_search,
+        "op12_embedding_join": op12_embedding_join,
     }
 
 
@@ -83,4 +88,5 @@ def oracle_sql() -> dict[str, str]:
         "op8_exact_dedup": dedup_index.SQL,
         "op10_quality_rules": quality_rules.SQL,
         "op11_ranked_search": ranked_search.SQL,
+        "op12_embedding_join": embedding_join.SQL,
     }
