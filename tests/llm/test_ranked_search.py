@@ -52,14 +52,13 @@ ITEMS = [(1, "the of and THE the", 0, ""), (2, None, 0, ""), (3, "", 0, ""), (4,
          (5, "a b c d e one 日本 ü", 0, ""), (6, "ladie derdie thela line same", 0, ""), (6, "ladie derdie thela line same", 0, "")]
 
 
-@pytest.mark.parametrize("sizes", [{}, {"SEGMENT_TERMS": 50, "WINDOW": 2, "BLOCK_TERMS": 3}])
-def test_awkward_tables(spark, monkeypatch, sizes):
-    for name, value in sizes.items():
-        monkeypatch.setattr(ranked_search, name, value)
+@pytest.mark.parametrize("sizes", [(2_000_000, 200_000, 4096), (50, 3, 2)])
+def test_awkward_tables(spark, sizes):
     rows = awkward_rows()
     words = " ".join(rows[8][1].split()[:12])
     items = [*ITEMS, (7, words, 0, ""), (None, "one", 0, "")]
-    got = found(ranked_search.rank_documents(frame(spark, rows), items_frame(spark, items), 6))
+    index = ranked_search.build_index(frame(spark, rows), segment_terms=sizes[0])
+    got = found(ranked_search.search(index, items_frame(spark, items), 6, block_terms=sizes[1], window=sizes[2]))
     assert got == brute([r[:2] for r in rows], {(i, t) for i, t, *_ in items}, 6)
 
 
@@ -78,8 +77,7 @@ def test_one_index_serves_several_item_sets(spark):
         assert got == brute(rows, [("q", text)], 5)
 
 
-def test_walk_equals_full_sums(monkeypatch):
-    monkeypatch.setattr(ranked_search, "WINDOW", 7)
+def test_walk_equals_full_sums():
     rng = np.random.default_rng(5)
     for _ in range(200):
         docs = int(rng.integers(1, 60))
@@ -93,7 +91,7 @@ def test_walk_equals_full_sums(monkeypatch):
         best = ranked_search._Best(4)
         iterators, summed = ranked_search.accumulate(lists, docs)
         assert summed != 1 and len(iterators) <= len(lists)
-        ranked_search.walk(iterators, docs, best, np.arange(docs), np.zeros(docs, np.uint8))
+        ranked_search.walk(iterators, docs, best, np.arange(docs), np.zeros(docs, np.uint8), 7)
         want = sorted((-s, i) for i, s in enumerate(full.tolist()) if s > 0)[:4]
         assert [(-s, i) for s, i in zip(best.scores.tolist(), best.ids.tolist())] == want
 

@@ -46,6 +46,7 @@ from .common import byte_class, map_arrow, text_slices, word_bounds, word_hashes
 SEGMENT_TERMS = 2_000_000   # terms of a segment (a longer text is a segment of its own)
 SEGMENT_DOCS = 1 << 17
 BLOCK_TERMS = 200_000       # distinct item terms broadcast at a time
+TERM_BYTES = 6              # text per item term, for the number of tasks that make blocks
 SHORT_SHARE = 2             # short lists: together at most 1/2 of the segment's documents
 WINDOW = 4096               # places per window of the walk over long lists
 MERGE_GROUPS = 64
@@ -80,75 +81,80 @@ def _posting_lists(hashes: np.ndarray, place: np.ndarray) -> tuple:
     return hashes[starts], np.append(starts, len(hashes)), place, times
 
 
-def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    segment = TaskContext.get().partitionId() << 32
-    ids, absent, lengths, hashes, places = [], [], [], [], []
-    docs = terms = 0
-
-    def flush() -> pa.RecordBatch:
-        nonlocal ids, absent, lengths, hashes, places, docs, terms, segment
-        n = np.concatenate(lengths)
-        found, starts, place, times = _posting_lists(np.concatenate(hashes), np.concatenate(places))
-        columns = [(np.concatenate(ids), "<i8"), (np.concatenate(absent), "u1"), (n, "<i8"), (found, "<u8"),
-                   (starts, "<i8"), (place, "<i4"), (times, "<i4")]
-        batch = pa.RecordBatch.from_arrays(
-            [pa.array([segment]), pa.array([int((n > 0).sum())]), pa.array([int(n.sum())]),
-             *[pa.array([values.astype(kind).tobytes()], pa.binary()) for values, kind in columns]],
-            names=["segment", "n_docs", "n_terms", "ids", "no_id", "lengths", "terms", "starts", "places", "times"])
-        segment += 1
-        ids, absent, lengths, hashes, places, docs, terms = [], [], [], [], [], 0, 0
-        return batch
-
-    for batch in batches:
-        doc_id = batch.column("doc_id")
-        number = doc_id.fill_null(0).to_numpy(zero_copy_only=False)
-        missing = np.asarray(doc_id.is_null())
-        for first, end, found, rows in text_terms(batch.column("text")):
-            n = np.diff(rows)
-            ids.append(number[first:end])
-            absent.append(missing[first:end])
-            lengths.append(n)
-            hashes.append(found)
-            places.append(np.repeat(np.arange(docs, docs + len(n)), n))
-            docs, terms = docs + len(n), terms + len(found)
-            if terms >= SEGMENT_TERMS or docs >= SEGMENT_DOCS:
-                yield flush()
-    if docs:
-        yield flush()
-
-
-def build_index(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+def _segments(segment_terms: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        segment = TaskContext.get().partitionId() << 32
+        ids, absent, lengths, hashes, places = [], [], [], [], []
+        docs = terms = 0
+
+        def flush() -> pa.RecordBatch:
+            nonlocal ids, absent, lengths, hashes, places, docs, terms, segment
+            n = np.concatenate(lengths)
+            found, starts, place, times = _posting_lists(np.concatenate(hashes), np.concatenate(places))
+            columns = [(np.concatenate(ids), "<i8"), (np.concatenate(absent), "u1"), (n, "<i8"), (found, "<u8"),
+                       (starts, "<i8"), (place, "<i4"), (times, "<i4")]
+            batch = pa.RecordBatch.from_arrays(
+                [pa.array([segment]), pa.array([int((n > 0).sum())]), pa.array([int(n.sum())]),
+                 *[pa.array([values.astype(kind).tobytes()], pa.binary()) for values, kind in columns]],
+                names=["segment", "n_docs", "n_terms", "ids", "no_id", "lengths", "terms", "starts", "places", "times"])
+            segment += 1
+            ids, absent, lengths, hashes, places, docs, terms = [], [], [], [], [], 0, 0
+            return batch
+
+        for batch in batches:
+            doc_id = batch.column("doc_id")
+            number = doc_id.fill_null(0).to_numpy(zero_copy_only=False)
+            missing = np.asarray(doc_id.is_null())
+            for first, end, found, rows in text_terms(batch.column("text")):
+                n = np.diff(rows)
+                ids.append(number[first:end])
+                absent.append(missing[first:end])
+                lengths.append(n)
+                hashes.append(found)
+                places.append(np.repeat(np.arange(docs, docs + len(n)), n))
+                docs, terms = docs + len(n), terms + len(found)
+                if terms >= segment_terms or docs >= SEGMENT_DOCS:
+                    yield flush()
+        if docs:
+            yield flush()
+    return run
+
+
+def build_index(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
+                segment_terms: int = SEGMENT_TERMS) -> DataFrame:
     """The written index of every row: one row per segment."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    return written(map_arrow(rows, _segments, _INDEX), "search-index")
+    return written(map_arrow(rows, _segments(segment_terms), _INDEX), "search-index")
 
 
-def _item_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _item_blocks(block_terms: int):
     """One row per block: item ids, and their (term, repeats) lists."""
-    block, held, size = TaskContext.get().partitionId() << 32, [], 0
-
-    def flush() -> pa.RecordBatch:
-        nonlocal block, held, size
-        batch = pa.RecordBatch.from_arrays(
-            [pa.array([block]), pa.array([[h[0] for h in held]], pa.list_(pa.string())),
-             *[pa.array([[h[k].astype("<i8").tobytes() for h in held]], pa.list_(pa.binary())) for k in (1, 2)]],
-            names=["block", "ids", "terms", "repeats"])
-        block, held, size = block + 1, [], 0
-        return batch
-
-    for batch in batches:
-        ids = batch.column("id").to_pylist()
-        for first, end, found, rows in text_terms(batch.column("text")):
-            for i in range(first, end):
-                terms, repeats = np.unique(found[rows[i - first]: rows[i - first + 1]], return_counts=True)
-                if not len(terms):
-                    continue
-                if held and size + len(terms) > BLOCK_TERMS:
-                    yield flush()
-                held.append((ids[i], terms.view(np.int64), repeats))
-                size += len(terms)
-    if held:
-        yield flush()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, held, size = TaskContext.get().partitionId() << 32, [], 0
+
+        def flush() -> pa.RecordBatch:
+            nonlocal block, held, size
+            batch = pa.RecordBatch.from_arrays(
+                [pa.array([block]), pa.array([[h[0] for h in held]], pa.list_(pa.string())),
+                 *[pa.array([[h[k].astype("<i8").tobytes() for h in held]], pa.list_(pa.binary())) for k in (1, 2)]],
+                names=["block", "ids", "terms", "repeats"])
+            block, held, size = block + 1, [], 0
+            return batch
+
+        for batch in batches:
+            ids = batch.column("id").to_pylist()
+            for first, end, found, rows in text_terms(batch.column("text")):
+                for i in range(first, end):
+                    terms, repeats = np.unique(found[rows[i - first]: rows[i - first + 1]], return_counts=True)
+                    if not len(terms):
+                        continue
+                    if held and size + len(terms) > block_terms:
+                        yield flush()
+                    held.append((ids[i], terms.view(np.int64), repeats))
+                    size += len(terms)
+        if held:
+            yield flush()
+    return run
 
 
 class _Segment:
@@ -219,16 +225,16 @@ def accumulate(lists: list[tuple], docs: int) -> tuple[list[tuple], int]:
     return ([(at, sums[at], int(sums[at].max()))] if len(at) else []) + lists[short:], short
 
 
-def walk(iterators: list[tuple], docs: int, best: _Best, ids: np.ndarray, no_id: np.ndarray) -> None:
+def walk(iterators: list[tuple], docs: int, best: _Best, ids: np.ndarray, no_id: np.ndarray, window: int) -> None:
     """Documents of a segment into ``best``: windows of places, leading lists first, the others probed."""
     iterators = sorted(iterators, key=lambda x: x[2])
     bounds = np.cumsum([x[2] for x in iterators])
-    for low in range(0, docs, WINDOW):
+    for low in range(0, docs, window):
         # The first `probed` lists together cannot lift a document to the threshold.
         probed = int(np.searchsorted(bounds, best.least, "left"))
         if probed == len(iterators):
             return
-        high = min(low + WINDOW, docs)
+        high = min(low + window, docs)
         sums = np.zeros(high - low, np.int64)
         for places, scores, _ in iterators[probed:]:
             a, b = np.searchsorted(places, (low, high))
@@ -249,7 +255,7 @@ def walk(iterators: list[tuple], docs: int, best: _Best, ids: np.ndarray, no_id:
             best.add(total, ids[at + low], no_id[at + low])
 
 
-def _search(block, n_docs: int, n_terms: int, k: int):
+def _search(block, n_docs: int, n_terms: int, k: int, window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         terms, weights, items = block.value
         best = [_Best(k) for _ in items]
@@ -269,7 +275,7 @@ def _search(block, n_docs: int, n_terms: int, k: int):
                         a, b = part.starts[j], part.starts[j + 1]
                         lists.append((part.places[a:b], factor * gain[a:b], factor * int(most[j])))
                     if sum(x[2] for x in lists) >= top.least:
-                        walk(accumulate(lists, docs)[0], docs, top, part.ids, part.no_id)
+                        walk(accumulate(lists, docs)[0], docs, top, part.ids, part.no_id, window)
         sizes = [len(b.scores) for b in best]
         if sum(sizes):
             ids = pa.array(np.concatenate([b.ids for b in best]),
@@ -291,14 +297,18 @@ def _leading(hits: DataFrame, k: int) -> DataFrame:
 
 
 def search(index: DataFrame, items: DataFrame, k: int = 20, id_col: str = "item_id",
-           text: str = "text") -> DataFrame:
+           text: str = "text", block_terms: int = BLOCK_TERMS, window: int = WINDOW) -> DataFrame:
     """The ``k`` best documents per item with a score above 0: item_id, rank, doc_id, score."""
     spark = index.sparkSession
     kind = items.schema[id_col].dataType.simpleString()
     totals = index.agg(F.sum("n_docs"), F.sum("n_terms")).first()
     n_docs, n_terms = (int(x or 0) for x in totals)
     asked = items.select(F.col(id_col).cast("string").alias("id"), F.col(text).cast("string").alias("text")).distinct()
-    blocks = written(map_arrow(asked, _item_blocks, "block long, ids array<string>, terms array<binary>, "
+    # Few tasks, whatever the shuffle's partitions: a block costs a pass over the index.
+    asked = written(asked, "search-asked")
+    size = asked.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    asked = asked.repartition(max(1, int(size // (TERM_BYTES * block_terms))))
+    blocks = written(map_arrow(asked, _item_blocks(block_terms), "block long, ids array<string>, terms array<binary>, "
                                                     "repeats array<binary>"), "search-items")
     results = []
     for number in (r.block for r in blocks.select("block").orderBy("block").toLocalIterator()):
@@ -315,7 +325,7 @@ def search(index: DataFrame, items: DataFrame, k: int = 20, id_col: str = "item_
             weights[t] = math.floor(1000 * math.log((2 * n_docs + 2) / (2 * df + 1)))
         lists = [(np.searchsorted(terms, x), np.frombuffer(y, "<i8")) for x, y in zip(own, row["repeats"])]
         block = spark.sparkContext.broadcast((terms, weights, lists))
-        hits = written(map_arrow(index, _search(block, n_docs, n_terms, k), _HITS), "search-hits")
+        hits = written(map_arrow(index, _search(block, n_docs, n_terms, k, window), _HITS), "search-hits")
         names = spark.createDataFrame([(i, x) for i, x in enumerate(row["ids"])], "item int, id string")
         results.append(_leading(hits, k).join(names, "item")
                        .select(F.col("id").cast(kind).alias("item_id"), "rank", "doc_id", "score"))
