@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 import public_tokenizers
 
 from . import (bpe, dedup_index, embedding_join, langid, licenses, neardup, packing, pii, quality_crf,
-               quality_rules, ranked_search, sharding)
+               quality_rules, ranked_search, sharding, spelling)
 from .common import documents
 
 
@@ -64,6 +64,10 @@ def op12_embedding_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_join.link_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
 
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.group_variants(documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_byte_bpe": op1_byte_bpe,
@@ -78,6 +82,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_quality_rules": op10_quality_rules,
         "op11_ranked_search": op11_ranked_search,
         "op12_embedding_join": op12_embedding_join,
+        "op13_spelling_variants": op13_spelling_variants,
     }
 
 
@@ -89,4 +94,5 @@ def oracle_sql() -> dict[str, str]:
         "op10_quality_rules": quality_rules.SQL,
         "op11_ranked_search": ranked_search.SQL,
         "op12_embedding_join": embedding_join.SQL,
+        "op13_spelling_variants": spelling.SQL,
     }
