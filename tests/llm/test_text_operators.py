@@ -265,3 +265,68 @@ def test_languages_of_awkward_tables(spark):
     assert langid.identify(empty(spark)).count() == 0
     unlabelled = langid.identify(frame(spark, awkward_rows()).withColumn("lang", F.lit(None).cast("string")))
     assert {(r.lang, r.probability) for r in unlabelled.collect()} == {(None, 0.0)}
+
+
+def brute_fusion(model, records):
+    """(lang, probability) per record (kind, text, host, domain, suffix, declared), one by one from all the others."""
+    langs, n = model.languages, len(model.languages)
+    scores = model.scores(pa.array([r[1] for r in records], pa.string()))
+    posterior = np.exp(scores - scores.max(1, keepdims=True))
+    posterior /= posterior.sum(1, keepdims=True)
+    world = (posterior.sum(0) + 1) / (len(records) + n)
+    declared = [langs.index(r[5]) if r[5] in langs else None for r in records]
+    sure = [posterior[i, d] for i, d in enumerate(declared) if d is not None and scores[i].max() != 0]
+    agreement = (sum(sure) + 1) / (len(sure) + 2)
+
+    def shares(i, alike, above, rows=posterior):
+        others = [j for j in range(len(records)) if j != i and alike(records[j]) and rows[j] is not None]
+        return (sum((rows[j] for j in others), np.zeros(n)) + langid.PULL * above) / (len(others) + langid.PULL)
+
+    out = []
+    for i, (kind, _, host, domain, suffix, code) in enumerate(records):
+        above = shares(i, lambda r: r[0] == kind and r[3] == domain, world) if domain else world
+        above = shares(i, lambda r: r[0] == kind and r[2] == host, above) if host else above
+        total = scores[i] + np.log(above)
+        if suffix:
+            said = [None if d is None else np.eye(n)[d] for d in declared]
+            total += np.log(shares(i, lambda r: r[4] == suffix, shares(i, lambda r: r[4] == suffix, world, said)) / world)
+        if declared[i] is not None:
+            prior = (1 - agreement) * world / (1 - world[declared[i]])
+            prior[declared[i]] = agreement
+            total += np.log(shares(i, lambda r: r[5] == code, prior) / world)
+        total = np.exp(total - total.max())
+        out.append((langs[int(total.argmax())], total.max() / total.sum()))
+    return out
+
+
+def test_fusion_record_by_record(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").filter("doc_id < 150").withColumn("extra", F.lit(1))
+    some = docs.filter("text IS NOT NULL").orderBy("doc_id").limit(40).collect()
+    rows = [(k, f"https://{'www' if k % 2 else 'm'}.site{k % 3}.{('fr', 'de', 'com')[k % 3]}/p",
+             f"<html{' lang=' + (r.lang or 'xx') if k % 4 else ''}><p>{r.text[: 40 * (k % 5)]}</p>") for k, r in enumerate(some)]
+    rows += [(100, None, None), (101, "http://one.xyz", "<html lang='zz-top'>"), (102, "http://two.fr", "")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    model = langid.train(docs)
+    records = [("document", r.text, r.source, r.source, None, langid.language_code(r.lang)) for r in docs.collect()]
+    for _, url, html in rows:
+        host, found = langid.host_of(url), langid._HTML_LANG.search(html or "")
+        records.append(("page", langid.visible_text(html or ""), host, ".".join(host.split(".")[-2:]) if host else None,
+                        host.rsplit(".", 1)[1] if host else None, langid.language_code(found.group(1)) if found else None))
+    want = sorted((r[0], lang, round(x, 6)) for r, (lang, x) in zip(records, brute_fusion(model, records)))
+    got = sorted((r.kind, r.lang, round(r.probability, 6)) for r in langid.identify(docs, pages).collect())
+    assert [x[:2] for x in got] == [x[:2] for x in want]
+    assert np.allclose([x[2] for x in got], [x[2] for x in want], atol=2e-6)
+
+
+def test_short_texts_of_a_language_in_one_batch():
+    batch = pa.RecordBatch.from_arrays([pa.array(["", "ab", None, "some text"], pa.string()),
+                                        pa.array(["de", "fr", "it", "en"], pa.string())], names=["text", "lang"])
+    out = list(langid._count(iter([batch])))
+    assert {b.schema for b in out} == {out[0].schema} and out[0].schema.field("lang").type == pa.string()
+    assert {c for b in out for c in b.column("lang").to_pylist()} == {"en"}
+
+
+def test_languages_are_bounded(spark):
+    rows = [(k, "text of some length " * (1 + k % 7), f"{'abcdefg'[k % 7]}{'xyz'[k % 3]}") for k in range(60)]
+    model = langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"), most_languages=5)
+    assert len(model.languages) == 5 and all(code[0] in "efg" for code in model.languages)

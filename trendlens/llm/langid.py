@@ -2,22 +2,29 @@
 
 * Text: naive Bayes over hashed byte trigrams, counted over all documents with
   a usable ``lang`` by grouped aggregation (BUCKETS counts per language).
-* Declared language (``<html lang>`` of a page, ``lang`` of a document): how
-  often records whose text looks like language l declare d.
-* Address suffix: likewise for the last label of the host.
+* Declared language (``<html lang>`` of a page, ``lang`` of a document): the
+  text posteriors of all other records that declare the same, of both kinds,
+  smoothed towards a prior that gives the declared language the agreement rate
+  learned from all records, and the others the rest.
+* Address suffix (the last label of the host): the text posteriors of all other
+  records under it, smoothed towards the languages that those declare.
 * Host prior: shares of the languages among a host's records, smoothed towards
-  those of its domain, which are smoothed towards the global ones. A record's
-  own share is taken out first, so that its text is not counted twice.
+  those of its domain, which are smoothed towards the global ones.
 
-The last three are sums of the text posteriors of all records, grouped by
-declared language, suffix, domain and host. Partial sums keep a hot host
-cheap; records meet their host's row by a shuffled join, which Spark splits
-where a host is hot. Only the trigram counts and one row per language reach
-the driver: BUCKETS numbers per language, whatever the input.
+What a record's own text says is taken out of these sums, so that it counts
+once. They are sums grouped by declared language, suffix, domain and host.
+Partial sums keep a hot host cheap; records meet their host's row by a shuffled
+join, which Spark splits where a host is hot. Scores, posteriors and sums are
+arrays with one entry per language. Only the trigram counts and one row per
+language reach the driver: BUCKETS numbers for each of the MOST_LANGUAGES
+languages with the most labelled text, whatever the input; a language beyond
+them is never the answer (as a declaration it says nothing).
 
 Null and empty texts have no text evidence; a missing host, suffix or
-declaration adds none. Ties go to the language first in the alphabet. Without
-any labelled document the language is null and the probability 0.
+declaration adds none. Rows are records: repeated ids or rows are judged each.
+Ties go to the language first in the alphabet. Without any labelled document
+the language is null and the probability 0. Empty tables give no row; other
+columns are not read.
 """
 
 from __future__ import annotations
@@ -36,6 +43,7 @@ from .common import map_arrow, text_slices, written
 BUCKETS = 1 << 13
 SMOOTH = 500.0     # trigrams that the global shares count for in each language
 PULL = 5.0         # records that the level above counts for
+MOST_LANGUAGES = 200
 TEMPER = 1 / 3     # each byte is in three trigrams
 
 _LANGUAGE = re.compile(r"[a-z]{2,3}\Z")
@@ -77,8 +85,8 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 total[code] = total[code] + counts if code in total else counts
     for code, counts in total.items():
         some = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array([code] * len(some)), pa.array(some), pa.array(counts[some])],
-                                         names=["lang", "bucket", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array([code] * len(some), pa.string()), pa.array(some, pa.int64()),
+                                          pa.array(counts[some], pa.int64())], names=["lang", "bucket", "n"])
 
 
 @dataclass(frozen=True)
@@ -98,11 +106,13 @@ class TextModel:
         return np.concatenate(out) if out else np.zeros((0, len(self.languages)))
 
 
-def train(docs: DataFrame, text: str = "text", lang: str = "lang") -> TextModel:
+def train(docs: DataFrame, text: str = "text", lang: str = "lang", most_languages: int = MOST_LANGUAGES) -> TextModel:
     plain = docs.select(F.col(text).cast("string").alias("text"), F.col(lang).cast("string").alias("lang"))
-    counts = (map_arrow(plain, _count, "lang string, bucket long, n long")
-              .groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow())
-    languages = sorted(set(counts.column("lang").to_pylist()))
+    counts = written(map_arrow(plain, _count, "lang string, bucket long, n long")
+                     .groupBy("lang", "bucket").agg(F.sum("n").alias("n")), "langid-counts")
+    known = counts.groupBy("lang").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "lang").limit(most_languages)
+    languages = sorted(r.lang for r in known.collect())
+    counts = counts.filter(F.col("lang").isin(languages)).toArrow()
     table = np.zeros((BUCKETS, len(languages)))
     number = {code: i for i, code in enumerate(languages)}
     table[counts.column("bucket").to_numpy(), [number[c] for c in counts.column("lang").to_pylist()]] = \
@@ -176,11 +186,23 @@ def _records(shared, pages: bool):
     return run
 
 
-def _log_shares(values: list[Column]) -> list[Column]:
-    """Logarithms of the softmax of the given logarithms."""
-    top = F.greatest(*values) if len(values) > 1 else values[0]
-    total = sum((F.exp(v - top) for v in values[1:]), F.exp(values[0] - top))
-    return [v - top - F.log(total) for v in values]
+def _posteriors(scores: Column) -> Column:
+    """Probabilities from logarithms, whatever their common shift."""
+    top = F.array_max(scores)
+    shifted = F.transform(scores, lambda x: F.exp(x - top))
+    total = F.aggregate(shifted, F.lit(0.0), lambda a, x: a + x)
+    return F.transform(shifted, lambda x: x / total)
+
+
+def _summed(values: Column, n: int) -> Column:
+    """Sums of arrays, place by place."""
+    return F.array(*(F.sum(values[k]) for k in range(n)))
+
+
+def _shares(sums: Column, count: Column, own: Column, own_count: Column, above: Column) -> Column:
+    """Shares in ``sums`` over ``count`` records without a record's ``own`` part, pulled towards ``above``."""
+    rest = F.zip_with(sums, own, lambda s, o: F.greatest(s - o, F.lit(0.0)))
+    return F.zip_with(rest, above, lambda r, a: (r + PULL * a) / (count - own_count + PULL))
 
 
 def identify(docs: DataFrame, pages: DataFrame | None = None) -> DataFrame:
@@ -209,41 +231,60 @@ def identify(docs: DataFrame, pages: DataFrame | None = None) -> DataFrame:
                               F.lit(0.0).alias("probability"))
     records = written(records, "langid-records")
 
-    text = [F.col("scores")[k] for k in range(n)]
-    alone = [F.exp(v) for v in _log_shares(text)]
-    records = records.select("*", *(v.alias(f"p{k}") for k, v in enumerate(alone)))
-
-    def sums(by: str, rows: DataFrame = records) -> DataFrame:
-        """Text posteriors summed by a key: columns <by>_0.. and their total <by>_n."""
-        grouped = rows.filter(F.col(by).isNotNull()).groupBy("kind", by).agg(
-            *(F.sum(f"p{k}").alias(f"{by}_{k}") for k in range(n)), F.count("*").alias(f"{by}_n"))
-        return written(grouped, f"langid-{by}")
+    names, p = F.array(*map(F.lit, model.languages)), F.col("p")
+    place = F.coalesce(F.array_position(names, F.col("declared")).cast("int"), F.lit(0))  # from 1; 0: says nothing
+    records = records.select("*", _posteriors(F.col("scores")).alias("p"), place.alias("place"))
+    hot = F.transform(names, lambda x: (x == F.col("declared")).cast("double"))  # 1 for the declared language
+    records = records.withColumn("said", F.when(F.col("place") > 0, hot))
+
+    text = F.array_max("scores") != 0  # some text evidence
+    agreed = F.when(text & (F.col("place") > 0), p[F.col("place") - 1])
+    overall = records.agg(_summed(p, n), F.count("*"), F.sum(agreed), F.count(agreed)).first()
+    world = [((x or 0.0) + 1.0) / (overall[1] + n) for x in overall[0]]
+    agreement = ((overall[2] or 0.0) + 1.0) / (overall[3] + 2.0)
+
+    def sums(by: str, *keys: str) -> DataFrame:
+        """Per key, the summed posteriors and declarations of its records."""
+        return written(records.filter(F.col(by).isNotNull()).groupBy(*keys, by).agg(
+            _summed(p, n).alias(f"{by}_p"), F.count("*").alias(f"{by}_n"),
+            _summed(F.coalesce("said", F.array_repeat(F.lit(0.0), n)), n).alias(f"{by}_said"),
+            F.count("said").alias(f"{by}_said_n")), f"langid-{by}")
 
-    overall = records.agg(*(F.sum(f"p{k}") for k in range(n)), F.count("*")).first()
-    count = overall[n] or 0
-    world = [((overall[k] or 0.0) + 1.0) / (count + n) for k in range(n)]
     joined = records
-    for by in ("host", "domain", "suffix", "declared"):
-        joined = joined.join(sums(by), ["kind", by], "left")
-
-    def zero(name: str) -> Column:
-        return F.coalesce(F.col(name).cast("double"), F.lit(0.0))
-
-    def share(by: str, k: int, above: Column) -> Column:
-        """Share of language k at a level, without the record itself, pulled towards the level above."""
-        own = F.when(F.col(by).isNotNull(), F.col(f"p{k}")).otherwise(0.0)
-        one = F.when(F.col(by).isNotNull(), 1.0).otherwise(0.0)
-        return (F.greatest(zero(f"{by}_{k}") - own, F.lit(0.0)) + PULL * above) / (zero(f"{by}_n") - one + PULL)
-
-    def likelihood(by: str, k: int) -> Column:
-        """log P(value of ``by`` | language k) up to a constant; 0 without a value."""
-        return F.when(F.col(by).isNotNull(), F.log(share(by, k, F.lit(world[k])) / world[k])).otherwise(0.0)
-
-    total = [text[k] + F.log(share("host", k, share("domain", k, F.lit(world[k]))))
-             + likelihood("suffix", k) + likelihood("declared", k) for k in range(n)]
-    fused = joined.select("kind", *ident, "host", "suffix", "declared", F.array(*text).alias("text"),
-                          F.array(*(F.exp(v) for v in _log_shares(total))).alias("fused"))
-    names = F.array(*map(F.lit, model.languages))
+    for by, keys in (("host", ["kind"]), ("domain", ["kind"]), ("suffix", []), ("declared", [])):
+        joined = joined.join(sums(by, *keys), [*keys, by], "left")
+
+    everywhere = F.array(*map(F.lit, world))
+
+    def at_key(by: str, above: Column) -> Column:
+        """Shares of the languages at a level; those above where the record has no key there."""
+        return F.when(F.col(by).isNotNull(), _shares(F.col(f"{by}_p"), F.col(f"{by}_n"), p, F.lit(1), above)).otherwise(above)
+
+    # A declared language has the learned agreement rate, the others share the rest as everywhere.
+    def declared_prior(w: Column, i: Column) -> Column:
+        left = F.lit(1.0) - everywhere[F.col("place") - 1]
+        return F.when(i + 1 == F.col("place"), agreement).otherwise((1 - agreement) * w / left)
+
+    prior = F.when((F.col("place") > 0) & F.lit(n > 1), F.transform(everywhere, declared_prior)).otherwise(everywhere)
+    said = F.coalesce("said", F.array_repeat(F.lit(0.0), n))
+    suffix_said = F.when(F.col("suffix").isNotNull(), _shares(
+        F.col("suffix_said"), F.col("suffix_said_n"), said, F.col("said").isNotNull().cast("int"), everywhere)
+        ).otherwise(everywhere)
+
+    def likelihood(shares: Column) -> Column:
+        """log P(evidence | language) up to a constant."""
+        return F.zip_with(shares, everywhere, lambda x, w: F.log(x / w))
+
+    terms = joined.select(
+        "kind", *ident, "host", "suffix", "declared", "scores",
+        F.transform(at_key("host", at_key("domain", everywhere)), lambda x: F.log(x)).alias("host_log"),
+        likelihood(at_key("suffix", suffix_said)).alias("suffix_log"),
+        F.when(F.col("place") > 0, likelihood(at_key("declared", prior)))
+        .otherwise(F.array_repeat(F.lit(0.0), n)).alias("declared_log"))
+    total = F.col("scores")
+    for more in ("host_log", "suffix_log", "declared_log"):
+        total = F.zip_with(total, F.col(more), lambda x, y: x + y)
+    fused = terms.withColumn("fused", _posteriors(total))
     best = lambda c: names[(F.array_position(c, F.array_max(c)) - 1).cast("int")]
-    return fused.select("kind", "doc_id", "page_id", "host", "suffix", "declared", best(F.col("text")).alias("text_lang"),
+    return fused.select("kind", "doc_id", "page_id", "host", "suffix", "declared", best(F.col("scores")).alias("text_lang"),
                         best(F.col("fused")).alias("lang"), F.array_max("fused").alias("probability"))
