@@ -206,6 +206,33 @@ def raw_trending_sql(refs: dict[str, str]) -> str:
     return RAW_TRENDING_SQL.format(raw=raw_sql(refs))
 
 
+# Lines of a CSV export whose quoted fields hold separators, quotes and line
+# feeds, and whose unquoted fields hold quotes; and the values they stand for.
+QUOTED_LINES_SQL = """
+select concat(cast(l_orderkey as string), '-', cast(l_linenumber as string), ',"Part ', cast(l_partkey as string),
+              ', called ""P', cast(l_partkey % 9 as string), '""', repeat(decode(unhex('0A'), 'UTF-8'), l_linenumber % 3),
+              '",', cast(l_suppkey % 40 as string), '" screen,',
+              case l_linenumber % 4 when 0 then '' when 1 then '""' when 2 then '"x,y"' else 'say "so"' end, ',',
+              cast(l_linenumber as string)) as value
+from {lineitem}
+"""
+
+QUOTED_VALUES_SQL = """
+select concat(cast(l_orderkey as string), '-', cast(l_linenumber as string)) as id,
+       concat('Part ', cast(l_partkey as string), ', called "P', cast(l_partkey % 9 as string), '"',
+              repeat(chr(10), cast(l_linenumber % 3 as bigint))) as note,
+       concat(cast(l_suppkey % 40 as string), '" screen') as size,
+       case l_linenumber % 4 when 2 then 'x,y' when 3 then 'say "so"' end as remark,
+       cast(l_linenumber as string) as line
+from lineitem
+"""
+
+
+def quoted_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One text per record of the quoted export."""
+    return spark.sql(QUOTED_LINES_SQL.format(**spark_refs(sf_dir)))
+
+
 def raw_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
     """keys plus the four raw text columns (view, published, trending day,
     duration). Planned by Spark SQL from the shared template."""

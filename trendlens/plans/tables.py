@@ -120,15 +120,31 @@ def raw_snapshots_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _memo_table(spark, sf_dir, "raw_snapshots", lambda: st.raw_snapshots(spark, sf_dir), (), ())
 
 
+def _memo_path(spark: SparkSession, sf_dir: str, name: str, write) -> str:
+    """A folder that ``write`` fills, once per session."""
+    key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"), name)
+    with _lock(key):
+        if key not in _MEMO:
+            path = shared_path(spark, "trendlens-tables", f"{name}-{uuid.uuid4().hex}")
+            write(path)
+            _MEMO[key] = (path, None)
+    return _MEMO[key][0]
+
+
 def csv_export(spark: SparkSession, sf_dir: str) -> str:
     """The raw table exported once per session as CSV files (the input of
     the CSV and streaming ingest runs); returns the folder."""
     from trendlens.sources.csv import write_csv
-    key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"), "raw_trending.csv")
-    with _lock(key):
-        hit = _MEMO.get(key)
-        if hit is None:
-            path = shared_path(spark, "trendlens-tables", f"raw-trending-csv-{uuid.uuid4().hex}")
-            hit = (write_csv(raw_table(spark, sf_dir), path), None)
-            _MEMO[key] = hit
-    return hit[0]
+    return _memo_path(spark, sf_dir, "raw-trending-csv", lambda path: write_csv(raw_table(spark, sf_dir), path))
+
+
+def quoted_export(spark: SparkSession, sf_dir: str) -> str:
+    """CSV files whose records go on over lines, written once per session; returns the folder."""
+    def write(path: str) -> None:
+        # Each file begins with the header, as exports do.
+        files = 4
+        lines = st.quoted_lines(spark, sf_dir).withColumn("file", F.pmod(F.hash("value"), F.lit(files)))
+        headers = spark.range(files).select(F.lit("id,note,size,remark,line").alias("value"), F.col("id").cast("int").alias("file"))
+        (headers.withColumn("place", F.lit(0)).unionByName(lines.withColumn("place", F.lit(1)))
+         .repartitionById(files, "file").sortWithinPartitions("place").select("value").write.text(path))
+    return _memo_path(spark, sf_dir, "quoted-csv", write)

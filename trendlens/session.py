@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import os
 import re
+import shutil
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -77,3 +79,17 @@ def shared_path(spark: SparkSession, *parts: str) -> str:
     """A path below the shared folder (URI-safe join)."""
     base = shared_dir(spark).rstrip("/")
     return "/".join([base, *[p.strip("/") for p in parts]])
+
+
+def send_package(spark: SparkSession) -> None:
+    """This package as a zip on all executors, once per application, for functions that run in Python tasks."""
+    context = spark.sparkContext
+    if getattr(context, "_trendlens_sent", False):
+        return
+    package = os.path.dirname(os.path.abspath(__file__))
+    if os.path.isdir(package):  # else it came as a zip or is installed
+        folder = tempfile.mkdtemp(prefix="trendlens-package-")
+        os.makedirs(f"{folder}/tree")
+        shutil.copytree(package, f"{folder}/tree/{os.path.basename(package)}", ignore=shutil.ignore_patterns("__pycache__"))
+        context.addPyFile(shutil.make_archive(f"{folder}/trendlens-tasks", "zip", f"{folder}/tree"))
+    context._trendlens_sent = True

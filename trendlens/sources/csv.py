@@ -4,16 +4,20 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from trendlens.sources.csv_ranges import HeadsTooLarge, split_records
+from trendlens.sources.infer import typed_by_cells
 
-def has_split_records(spark: SparkSession, path: str | list[str]) -> bool:
-    """Whether a line holds an odd number of quotes, so that a record may go on in the next line.
 
-    One splittable pass over the text. Without such a line every record is a
-    line, and files can be read in splits with the same result.
-    """
-    quotes = F.length("value") - F.length(F.replace(F.col("value"), F.lit('"'), F.lit("")))
-    return not spark.read.text(path).filter(quotes % 2 == 1).isEmpty()
+def csv_columns(spark: SparkSession, path: str | list[str], sep: str = ",", encoding: str = "UTF-8") -> list[str]:
+    """Column names of the first file's header, as Spark's reader names them."""
+    return _reader(spark, sep, True, encoding).csv(path).columns
+
+
+def _reader(spark: SparkSession, sep: str, multiline: bool, encoding: str):
+    return (spark.read.option("header", True).option("sep", sep).option("multiLine", multiline)
+            .option("quote", '"').option("escape", '"').option("encoding", encoding))
 
 
 def read_csv(spark: SparkSession, path: str | list[str], sep: str = ",", infer: bool = False,
@@ -21,24 +25,38 @@ def read_csv(spark: SparkSession, path: str | list[str], sep: str = ",", infer:
     """Read CSV files with a header row.
 
     By default every column is a string: the cleaning step re-types each
-    column anyway, and inference guesses wrongly on this kind of export
-    (a clock text becomes a timestamp on today's date). ``infer=True`` scans
-    all rows (sampling ratio 1) instead. Quoted fields may hold newlines and
-    doubled quotes, which needs ``multiline``: then each file is parsed by one
-    task. By default (None) the files' contents decide: they are read in
-    splits if no line holds an odd number of quotes (other encodings than
-    UTF-8 are read whole). An empty field, quoted or not, reads as NULL.
+    column anyway. ``infer=True`` types each column by all of its cells (see
+    ``sources.infer``). Quoted fields may hold newlines and doubled quotes; a
+    quote inside an unquoted field is an ordinary character. Files are read
+    in splits, also where records go on over lines (``sources.csv_ranges``).
+    ``multiline=True`` has each file parsed by one task, ``False`` takes every
+    line as a record; other encodings than UTF-8 are read whole. An empty
+    field, quoted or not, reads as NULL.
     """
-    if multiline is None:
-        multiline = encoding.upper() not in ("UTF-8", "UTF8") or has_split_records(spark, path)
-    reader = (spark.read.option("header", True).option("sep", sep).option("multiLine", multiline)
-              .option("quote", '"').option("escape", '"').option("encoding", encoding))
+    if infer and schema is None:
+        return typed_by_cells(read_csv(spark, path, sep, False, multiline, encoding))
+    if multiline is None and encoding.upper() in ("UTF-8", "UTF8"):
+        names = csv_columns(spark, path, sep)
+        if schema is not None:
+            kind = schema if isinstance(schema, T.StructType) else T._parse_datatype_string(schema)
+            if kind.fieldNames() != names:
+                raise ValueError(f"the header {names} is not that of the schema {kind.fieldNames()}")
+        else:
+            kind = T.StructType([T.StructField(n, T.StringType()) for n in names])
+        try:
+            records, multiline = split_records(spark, path, sep), False
+        except HeadsTooLarge:
+            records, multiline = None, True
+        if records is not None:
+            options = {"sep": sep, "quote": '"', "escape": '"'}
+            parsed = F.from_csv("record", F.lit(", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}"
+                                                          for f in kind.fields)), options)
+            return records.where(F.col("record") != "").select(parsed.alias("row")).select("row.*")
+    reader = _reader(spark, sep, True if multiline is None else multiline, encoding)
     if schema is not None:
         # Check each file's header against the schema instead of applying it
         # by position.
         reader = reader.schema(schema).option("enforceSchema", False)
-    elif infer:
-        reader = reader.option("inferSchema", True).option("samplingRatio", 1.0)
     return reader.csv(path)
 
 
