@@ -15,7 +15,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from trendlens import operators as ops
 from trendlens.operators import filters as flt
 from trendlens.operators.fallback import check_unfiltered
-from trendlens.sources.tables import append_rows, replace_table
+from trendlens.sources.edit import Saved
+from trendlens.sources.rewrite import open_table
 
 @dataclass
 class Fetched:
@@ -40,8 +41,8 @@ class TrendingData:
     answered from the raw table; filters that it cannot serve are refused.
 
     Edits of a catalog table are saved: new rows are appended, an update or
-    delete with hits rewrites the table in its layout. A given tag table is
-    not changed by edits; rebuild it with ``explode_tags``.
+    delete rewrites the files that hold hits (``sources.edit``). A tag table
+    given by name follows the edits; one given as a DataFrame does not.
     """
 
     def __init__(self, spark: SparkSession, clean: DataFrame | str = "trending_clean",
@@ -50,7 +51,7 @@ class TrendingData:
         self._clean, self._tags, self._raw = clean, tags, raw
 
     def _df(self, t):
-        return self.spark.table(t) if isinstance(t, str) else t
+        return open_table(self.spark, t) if isinstance(t, str) else t
 
     @property
     def clean(self) -> DataFrame:
@@ -118,28 +119,33 @@ class TrendingData:
     def query(self, sql: str, max_rows: int = 1000, views: dict[str, DataFrame] | None = None):
         return ops.bounded_select(self.spark, sql, max_rows, views)
 
-    def _edit(self, where: Column | str, edited) -> int:
-        """Save the edited table if any row is hit."""
+    def _saved(self) -> Saved | None:
+        """The clean table in the catalog, with the tag table that follows it."""
+        if not isinstance(self._clean, str):
+            return None
+        return Saved(self.spark, self._clean, self._tags if isinstance(self._tags, str) else None)
+
+    def _edit(self, where: Column | str, edited, columns: set[str] | None) -> int:
+        """Save the edited rows if any is hit; how many. ``columns``: those that change (None: rows go)."""
+        saved = self._saved()
+        if saved is not None:
+            return saved.edit(where, edited, columns)
         hits = ops.rows_affected(self.clean, where)
-        if hits and isinstance(self._clean, str):
-            keys = tuple(c for c in (flt.DAY, flt.VIDEO) if c in self.clean.columns)
-            replace_table(self.spark, edited(self.clean), self._clean, sort_by=keys)
-        elif hits:
+        if hits:
             self._clean = edited(self.clean)
         return hits
 
     def update(self, assignments: dict, where: Column | str) -> int:
-        return self._edit(where, lambda df: ops.update_rows(df, assignments, where))
+        return self._edit(where, lambda df: ops.update_rows(df, assignments, where), set(assignments))
 
     def delete(self, where: Column | str) -> int:
-        return self._edit(where, lambda df: ops.delete_rows(df, where))
+        return self._edit(where, lambda df: ops.delete_rows(df, where), None)
 
     def insert(self, rows) -> int:
         """Add rows given as mappings or as a DataFrame (INSERT ... SELECT); how many."""
         new = ops.inserted_rows(self.clean, rows)
-        count = new.count()
-        if isinstance(self._clean, str):
-            append_rows(self.spark, new, self._clean)
-        else:
-            self._clean = self.clean.unionByName(new)
-        return count
+        saved = self._saved()
+        if saved is not None:
+            return saved.insert(new)
+        self._clean = self.clean.unionByName(new)
+        return new.count()

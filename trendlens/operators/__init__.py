@@ -8,14 +8,15 @@ from trendlens.operators.flows import country_flows, country_flows_raw, flow_tot
 from trendlens.operators.maps import country_names, map_counts
 from trendlens.operators.meta import channel_countries, date_range, trending_dates
 from trendlens.operators.ranking import best_row_per, top_channels, top_videos, top_videos_on, videos_by_flow
-from trendlens.operators.tags import explode_tags, top_tags
+from trendlens.operators.tags import changed_tags, explode_tags, tag_changes, top_tags
 from trendlens.operators.timeline import views_timeline
 
 __all__ = [
-    "BoundedResult", "affected", "best_row_per", "bounded_frame", "bounded_select", "channel_countries",
+    "BoundedResult", "affected", "best_row_per", "bounded_frame", "bounded_select", "changed_tags",
+    "channel_countries",
     "counts_or_raw", "country_counts", "country_counts_totals", "country_flows", "country_flows_raw", "country_names",
     "date_range", "delete_rows", "explode_tags", "flow_totals", "flows_of_video", "flows_or_raw", "insert_rows",
     "inserted_rows",
-    "map_counts", "rows_affected", "top_channels", "top_tags", "top_videos", "top_videos_on", "trending_dates",
+    "map_counts", "rows_affected", "tag_changes", "top_channels", "top_tags", "top_videos", "top_videos_on", "trending_dates",
     "update_rows", "videos_by_flow", "views_timeline",
 ]

@@ -31,6 +31,41 @@ def explode_tags(df: DataFrame, tags: str = flt.TAGS, keys: tuple[str, ...] = (f
     return parts.where((F.length(tag) > 1) & ~tag.contains("?")).select(tag.alias("tag"), *keys, *extra)
 
 
+def tag_changes(old: DataFrame | None, new: DataFrame | None, tags: str = flt.TAGS,
+                keys: tuple[str, ...] = (flt.VIDEO, flt.DAY)) -> DataFrame:
+    """``tag, <keys...>, n``: by how many rows the tag table changes where rows ``old`` become rows ``new``.
+
+    Old rows count -1, new ones +1, both exploded and summed (partial sums first); what stays as it was is left out.
+    """
+    signed = [explode_tags(rows, tags, keys).withColumn("n", F.lit(sign))
+              for rows, sign in ((old, -1), (new, 1)) if rows is not None]
+    both = signed[0] if len(signed) == 1 else signed[0].unionByName(signed[1])
+    return both.groupBy("tag", *keys).agg(F.sum("n").alias("n")).where(F.col("n") != 0)
+
+
+def repeated(rows: DataFrame, count: str, most: int = 10_000) -> DataFrame:
+    """Each row ``count`` times, without that column. Large counts are dealt out in pieces of ``most``, so that a hot
+    row is not repeated by one task."""
+    piece = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col(count) - 1) / most)))
+    pieces = rows.where(F.col(count) > 0).withColumn("_piece", piece)
+    size = F.least(F.lit(most).cast("long"), F.col(count) - F.col("_piece") * most)
+    big = pieces.withColumn("_size", size)
+    # Only what is repeated often is shuffled.
+    parts = big.where(F.col(count) <= most).unionByName(big.where(F.col(count) > most).hint("rebalance"))
+    return (parts.withColumn("_one", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_size"))))
+            .drop("_one", "_piece", "_size", count))
+
+
+def changed_tags(rows: DataFrame, changes: DataFrame, keys: tuple[str, ...] = (flt.VIDEO, flt.DAY)) -> DataFrame:
+    """The tag rows ``rows`` after ``changes`` (see ``tag_changes``): as many rows of a tag and key as their sum.
+
+    Equal rows are counted before they meet their change, so a hot tag and key is one row per task.
+    """
+    counted = rows.groupBy("tag", *keys).agg(F.count(F.lit(1)).alias("n"))
+    total = counted.unionByName(changes.select("tag", *keys, "n")).groupBy("tag", *keys).agg(F.sum("n").alias("n"))
+    return repeated(total, "n").select(*rows.columns)
+
+
 def top_tags(tags: DataFrame | None, df: DataFrame, on_date=None, src: str | None = None, mode: str | None = "",
              min_count: int = 2, limit: int | None = 100, *, video: str = flt.VIDEO, day: str = flt.DAY,
              src_col: str = flt.SRC, dst_col: str = flt.DST, tags_col: str = flt.TAGS) -> DataFrame:

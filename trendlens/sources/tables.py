@@ -8,10 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from trendlens.session import shared_path
-
-
-def _quoted(table: str) -> str:
-    return ".".join(f"`{part}`" for part in table.split("."))
+from trendlens.sources.rewrite import Files, location, quoted, recover, switch_table
 
 
 def replace_table(spark: SparkSession, df: DataFrame, table: str, root: str | None = None,
@@ -25,13 +22,16 @@ def replace_table(spark: SparkSession, df: DataFrame, table: str, root: str | No
     that fails leaves the old table as it was.
 
     A table of the same columns without partitions is switched to the new
-    folder; otherwise it is created anew with the columns of ``df``, keeping
-    its partition columns where ``df`` still has them. Files are rebalanced,
-    or laid out by ``sort_by``. ``vacuum_table`` deletes superseded folders.
+    folder; otherwise a table with the columns of ``df``, keeping its partition
+    columns where ``df`` still has them, is created beside it and takes its name
+    (``sources.rewrite``): at every moment the old or the new table can be
+    opened. Files are rebalanced, or laid out by ``sort_by``. ``vacuum_table``
+    deletes superseded folders.
     """
     from trendlens.plans.tables import layout
     name = f"{table.replace('.', '_')}-{uuid.uuid4().hex}"
     path = f"{root.rstrip('/')}/{name}" if root else shared_path(spark, "trendlens-tables", name)
+    recover(spark, table)
     exists = spark.catalog.tableExists(table)
     parts = [c.name for c in spark.catalog.listColumns(table) if c.isPartition] if exists else []
     parts = [p for p in parts if p in df.columns]
@@ -43,13 +43,11 @@ def replace_table(spark: SparkSession, df: DataFrame, table: str, root: str | No
     place = path.replace("'", "\\'")
     if exists and not parts and not any(c.isPartition for c in spark.catalog.listColumns(table)) \
             and columns(spark.table(table)) == columns(df):
-        spark.sql(f"ALTER TABLE {_quoted(table)} SET LOCATION '{place}'")
+        spark.sql(f"ALTER TABLE {quoted(table)} SET LOCATION '{place}'")
     else:
-        if exists:
-            spark.sql(f"DROP TABLE {_quoted(table)}")
         fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
         by = f" PARTITIONED BY ({', '.join(f'`{p}`' for p in parts)})" if parts else ""
-        spark.sql(f"CREATE TABLE {_quoted(table)} ({fields}) USING parquet{by} LOCATION '{place}'")
+        switch_table(spark, table, f"({fields}) USING parquet{by} LOCATION '{place}'")
         if parts:
             spark.catalog.recoverPartitions(table)
     spark.catalog.refreshTable(table)
@@ -62,17 +60,19 @@ def append_rows(spark: SparkSession, rows: DataFrame, table: str) -> None:
 
 
 def vacuum_table(spark: SparkSession, table: str) -> int:
-    """Delete the folders that ``replace_table`` has left beside the table's present one; how many.
+    """Delete the folders that ``replace_table`` has left beside the table's present one, and the files that edits
+    have left in it; how many folders.
 
     Frames that still read an older state of the table fail afterwards.
     """
-    row = spark.sql(f"DESCRIBE FORMATTED {_quoted(table)}").where("col_name = 'Location'").first()
-    path = spark._jvm.org.apache.hadoop.fs.Path(row["data_type"])
-    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    recover(spark, table)
+    folder, own = location(spark, table).rsplit("/", 1)
+    inside, beside = Files(spark, f"{folder}/{own}"), Files(spark, folder)
     made = re.compile(re.escape(table.replace(".", "_")) + "-[0-9a-f]{32}")
-    old = [f.getPath() for f in files.listStatus(path.getParent())
-           if made.fullmatch(f.getPath().getName()) and f.getPath().getName() != path.getName()]
-    return sum(bool(files.delete(p, True)) for p in old) if made.fullmatch(path.getName()) else 0
+    gone = sum(inside.delete(n) for n in inside.names("_old-*"))
+    if made.fullmatch(own):
+        gone += sum(beside.delete(n) for n in beside.names("*") if made.fullmatch(n) and n != own)
+    return gone
 
 
 def save_table(df: DataFrame, path: str, cluster_by: tuple[str, ...] = (), sort_by: tuple[str, ...] = (),
