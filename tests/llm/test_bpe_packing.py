@@ -4,6 +4,7 @@ import zlib
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 import tiktoken
@@ -13,6 +14,8 @@ from tokenizers import Tokenizer
 
 from tests.llm.cases import awkward_rows, empty, frame
 from trendlens.llm import bpe, chunks, packing
+from trendlens.llm.chunk_table import ChunkTable
+from trendlens.llm.chunks import ChunkCache
 
 RANKS = bpe.read_file(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
 VOCABULARY = bpe.Vocabulary(RANKS, public_tokenizers.PATTERN)
@@ -120,3 +123,21 @@ def test_windows_are_bounded_and_best_fit():
         assert len(packer.open) <= 2
     assert [o[0] for o in out[:2]] == [1, 2]     # 3 fits 7 exactly: best fit
     assert sum(len(o[2]) for o in out) + sum(len(p[2]) for p in packer.rest()) == 37
+
+
+@pytest.mark.parametrize("entries,pool", [(1 << 12, 1 << 20), (64, 1 << 20), (1 << 12, 50), (4, 10)])
+def test_table_gives_what_the_cache_gives(entries, pool):
+    vocabulary = bpe.Vocabulary(RANKS, public_tokenizers.PATTERN)
+    encode = lambda pieces: vocabulary.encode_pieces([p.encode() for p in pieces])
+    table = ChunkTable(encode, entries=entries, pool_ids=pool)
+    rng = np.random.default_rng(entries)
+    words = ["the", "of", "é", "日本", "x" * 300, "a\nb", "don't", "12", "?!", " z", "\x1f", "tail\n"]
+    for _ in range(5):
+        texts = [None, "", " ", "  a", " lead", "a ", "a  b", "\t x"]
+        texts += [" ".join(rng.choice(words, rng.integers(1, 40)).tolist() + [str(rng.integers(0, 500))]) for _ in range(60)]
+        rng.shuffle(texts)
+        column = pa.array(texts, pa.string())
+        for part in (column, column.slice(3, 40)):
+            got = [x.tobytes() for x in table.of_column(part)]
+            assert got == list(ChunkCache(encode).of_texts([t or "" for t in part.to_pylist()]))
+        assert table.known <= entries

@@ -14,7 +14,7 @@ that is not full is cut at powers of two, which need no padding.
 
 The ids are those of the library's ``encode(text, add_special_tokens=False)``:
 texts that hold one of the file's added tokens are encoded by the library, all
-others by the model on cached pieces.
+others by the model on pieces, each met chunk once per worker (``chunk_table``).
 
 Sequence numbers are (round and task) << 32 + a counter. Null texts are empty
 (one separator token); rows with equal ids are packed each on its own.
@@ -30,11 +30,12 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .chunks import ChunkCache
+from .chunk_table import ChunkTable
 from .common import map_arrow, written
 
 WINDOWS = 16   # open windows per task
@@ -115,7 +116,7 @@ def _byte_letters() -> dict[int, str]:
 
 @lru_cache(maxsize=2)
 def _worker(vocabulary: bytes):
-    """Encodes a list of texts; kept in the Python worker between tasks."""
+    """Encodes a column of texts; kept in the Python worker between tasks."""
     from tokenizers import Tokenizer
     tokenizer = Tokenizer.from_buffer(vocabulary)
     added = [t["content"] for t in json.loads(vocabulary).get("added_tokens") or []]
@@ -127,14 +128,20 @@ def _worker(vocabulary: bytes):
         return [array("I", [t.id for t in tokenize(p.encode().decode("latin-1").translate(letters))]).tobytes()
                 for p in pieces]
 
-    cache = ChunkCache(encode)
+    table = ChunkTable(encode)
 
-    def of_texts(texts: list[str]) -> Iterator[bytes]:
-        special = [any(a in t for a in added) for t in texts]
-        for text, hit, coded in zip(texts, special, cache.of_texts(["" if h else t for t, h in zip(texts, special)])):
-            yield array("I", tokenizer.encode(text, add_special_tokens=False).ids).tobytes() if hit else coded
+    def of_column(column: pa.Array) -> Iterator[np.ndarray]:
+        special = np.zeros(len(column), bool)
+        for a in added:
+            special |= pc.match_substring(column, a).to_numpy(zero_copy_only=False)
+        if not special.any():
+            yield from table.of_column(column)
+            return
+        plain = pc.if_else(pa.array(special), "", column)
+        for text, hit, ids in zip(column, special.tolist(), table.of_column(plain)):
+            yield np.array(tokenizer.encode(text.as_py(), add_special_tokens=False).ids, np.uint32) if hit else ids
 
-    return of_texts
+    return of_column
 
 
 def _pack_texts(vocabulary, size: int, windows: int, separator: int):
@@ -143,11 +150,10 @@ def _pack_texts(vocabulary, size: int, windows: int, separator: int):
         packer = Packer(size, windows, task << 32)
         encoded = _worker(vocabulary.value)
         rows: list[tuple] = []
-        end = np.array([separator], "<u4").tobytes()
         for batch in batches:
             docs = batch.column("doc_id").to_pylist()
-            for doc, coded in zip(docs, encoded(batch.column("text").fill_null("").to_pylist())):
-                ids = np.frombuffer(coded + end, "<u4")
+            for doc, coded in zip(docs, encoded(batch.column("text").fill_null(""))):
+                ids = np.append(coded, np.uint32(separator))
                 rows.extend(packer.add(doc, 0, ids, len(ids)))
                 if len(rows) >= 4000:
                     yield _batch(rows, task)
