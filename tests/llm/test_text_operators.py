@@ -86,12 +86,30 @@ def test_partly_disguised_data_is_found_whole(disguised, kind):
 
 
 @pytest.mark.parametrize("text", ["look at example.com for the dot com boom", "one two three four five six seven eight",
-                                  "meet at nine or at ten", "Он сказал: да.", "x " * 50])
+                                  "meet at nine or at ten", "Он сказал: да.", "x " * 50,
+                                  "look at the dot matrix printer", "We met at noon dot com boom",
+                                  "arrive at gate dot then go", "at dot at dot at dot at", "a dot in time at dawn dot"])
 def test_clean_text_is_left_alone(text):
     assert not any(pii.find_all(text)[1].values()) and pii.mask(text) == text
 
 
-@pytest.mark.parametrize("part", ["a", "1", "+1", "1.", "@", "a@", "one ", " dot ", "1 ", "a dot ", "[at"])
+@pytest.mark.parametrize("address", [
+    "a" * 70 + " at example dot com", "jane at " + "a dot " * 12 + "com", "j" * 100 + "@" + "h" * 80 + " dot org",
+    "jane_9 at host dot " + "x" * 70 + " dot de"])
+def test_addresses_of_any_size(address):
+    assert pii.mask(f"mail {address}, thanks") == "mail [email], thanks"
+
+
+@settings(max_examples=300, deadline=None, derandomize=True)
+@given(st.lists(st.sampled_from(["mail:", "a", "dot", "at", "com", "@", "x.y", "b9", "."]), max_size=14).map(" ".join))
+def test_chained_signs_keep_the_source(text):
+    traced = pii.spell_signs(pii.Traced(text))
+    assert traced.spans is None or len(traced.spans) == len(traced.text)
+    found = pii.find_all(text)[1]
+    assert all(0 <= a < b <= len(text) for spans in found.values() for a, b in spans)
+
+
+@pytest.mark.parametrize("part", ["a", "1", "+1", "a at ", " at a dot ", "a-_", "@ ", "1.", "@", "a@", "one ", " dot ", "1 ", "a dot ", "[at"])
 def test_long_texts_take_linear_time(part):
     pii.find_all(part * (200_000 // len(part)) + "@b")
 

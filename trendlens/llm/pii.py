@@ -10,14 +10,18 @@ unless a span of its kind already covers it, so where a disguise leaves a
 fragment that is a base span, the whole extent is listed too.
 
 To leave ordinary prose alone, a bare ``at`` or ``dot`` counts only within
-``name at host dot tld`` (any tld of letters, at least one bare ``dot``; ``name
-at host.tld`` reads like ordinary prose). Spelled digits, alone or mixed with
-numerals, are rewritten in runs of any length, a ``dot`` or ``point`` between
-them too; the detectors decide. Each rewriting is searched, so what a later one
+``name at host dot tld``, with at least one bare ``dot`` (``name at host.tld``
+reads like ordinary prose) and two of three signs that it is an address: a usual
+ending, a name or host that is no plain word, an announcement such as ``mail`` or
+a colon before it. Spelled digits, alone or mixed with numerals, are rewritten in
+runs of any length, a ``dot`` or ``point`` between them too; the detectors decide.
+Nothing has a greatest length. Each rewriting is searched, so what a later one
 breaks is still found.
 
 Each text is read where it lies (no shuffle). All patterns scan a text in time
-proportional to its length. Null texts are empty.
+proportional to its length. Null texts are empty. Rows are documents: repeated
+rows or ids are read each. An empty table gives no row; other columns are kept by
+the mask and not read by the report.
 """
 
 from __future__ import annotations
@@ -167,11 +171,50 @@ _BRACKETED = re.compile(r"\x20?(?:\[\x20?(at|dot|@|\.)\x20?\]|\(\x20?(at|dot|@|\
                         r"|<\x20?(at|dot|@|\.)\x20?>)\x20?", re.IGNORECASE)
 _DIGIT_DOT = re.compile(r"(?<=[0-9])\x20dot\x20(?=[0-9])", re.IGNORECASE)
 _SIGN = {"at": "@", "dot": ".", "@": "@", ".": "."}
-_BARE = re.compile(
-    rf"(?<![A-Za-z0-9])[A-Za-z0-9_+-]{{1,64}}(?:(?:\.|\x20dot\x20)[A-Za-z0-9_+-]{{1,64}}){{0,9}}(?:\x20at\x20|\x20?@\x20?)"
-    rf"[A-Za-z0-9-]{{1,63}}(?:(?:\.|\x20dot\x20)[A-Za-z0-9-]{{1,63}}){{0,9}}(?:\.|\x20dot\x20)[A-Za-z]{{2,63}}(?![A-Za-z0-9])",
-    re.IGNORECASE)
-_BARE_SIGN = re.compile(r"\x20at\x20|\x20?@\x20?|\x20dot\x20", re.IGNORECASE)
+# A bare address: what stands before the at sign (read backwards) and behind it, of any length.
+_BARE_AT = re.compile(r"\x20at\x20|\x20?@\x20?", re.IGNORECASE)
+_LOCAL_BACK = re.compile(r"[A-Za-z0-9_+-]++(?:(?:\.|\x20tod\x20)[A-Za-z0-9_+-]++)*+", re.IGNORECASE)
+_HOST = re.compile(r"[A-Za-z0-9-]++(?:(?:\.|\x20dot\x20)[A-Za-z0-9-]++)*+", re.IGNORECASE)
+_JOIN = re.compile(r"\.|\x20dot\x20", re.IGNORECASE)
+_ENDING = re.compile(r"[A-Za-z]{2,}(?![A-Za-z0-9])")
+# Usual endings beside those of two letters, mail hosts, and words that announce an address.
+_ENDINGS = frozenset("com org net edu gov mil int info biz name pro travel museum jobs mobi tel cat asia post app dev page "
+                     "cloud online site store shop tech xyz email".split())
+_MAIL_HOSTS = frozenset("example mail gmail googlemail yahoo hotmail outlook icloud proton protonmail gmx aol".split())
+_ANNOUNCED = re.compile(r"\b(?:e-?mails?|mails?|contact|write|reach|reply|send|address|courriel|[ée]cri\w+|schreib\w*|kontakt"
+                        r"|correo|correio)\b|[:(<\[\"']\s?\Z", re.IGNORECASE)
+NEAR_CHARS = 48          # how far before an address a word may announce it
+
+
+def _bare_addresses(text: str) -> Iterator[tuple[int, int, list[tuple[int, int, str]]]]:
+    """(start, end, edits) of ``name at host dot tld``, at least one ``dot`` in words.
+
+    The same words are ordinary prose (``met at noon dot com boom``), so two of these must hold: a usual ending; a name
+    or host that is no plain word (digits, several labels, a mail host) or a real at sign; an announcement before it.
+    Each stretch between two at signs is read once in either direction.
+    """
+    done = 0
+    for m in _BARE_AT.finditer(text):
+        before, done_before = text[done:m.start()], done
+        done = m.end()
+        local, host = _LOCAL_BACK.match(before[::-1]), _HOST.match(text, m.end())
+        if not local or not host:
+            continue
+        start, joins = m.start() - local.end(), list(_JOIN.finditer(text, host.start(), host.end()))
+        while joins and not _ENDING.match(text, joins[-1].end()):
+            joins.pop()
+        if not joins:
+            continue
+        end = _ENDING.match(text, joins[-1].end()).end()
+        local_joins = list(_JOIN.finditer(text, start, m.start()))
+        if not any(" " in j.group() for j in (*joins, *local_joins)):
+            continue
+        ending = text[joins[-1].end():end].lower()
+        name, first = text[start:m.start()], text[host.start():joins[0].start()].lower()
+        shape = ("@" in m.group() or not name.isalpha() or len(joins) > 1 or not first.isalpha() or first in _MAIL_HOSTS)
+        announced = _ANNOUNCED.search(text[max(start - NEAR_CHARS, done_before if done_before < start else 0, 0):start])
+        if (len(ending) == 2 or ending in _ENDINGS) + shape + bool(announced) >= 2:
+            yield start, end, [*((*j.span(), ".") for j in local_joins), (*m.span(), "@"), *((*j.span(), ".") for j in joins)]
 
 
 def spell_signs(traced: Traced) -> Traced:
@@ -182,10 +225,12 @@ def spell_signs(traced: Traced) -> Traced:
                  for m in _BRACKETED.finditer(traced.text)]
         traced = traced.rewrite(edits)
     if " dot " in lower:
-        traced = traced.rewrite([
-            (m.start() + s.start(), m.start() + s.end(), "." if "dot" in s.group().lower() else "@")
-            for m in _BARE.finditer(traced.text) if " dot " in m.group().lower()
-            for s in _BARE_SIGN.finditer(m.group())])
+        edits, reach = [], 0
+        for edit in sorted({e for _, _, found in _bare_addresses(traced.text) for e in found}):
+            if edit[0] >= reach:  # one address's host may be the next one's name
+                edits.append(edit)
+                reach = edit[1]
+        traced = traced.rewrite(edits)
         traced = traced.rewrite([(*m.span(), ".") for m in _DIGIT_DOT.finditer(traced.text)])
     return traced
 
