@@ -57,7 +57,12 @@ def test_awkward_rows(spark):
     assert all(r.kept == (r.doc_id == r.component_id) for r in got)
     kept = neardup.drop_near_duplicates(frame(spark, rows))
     assert kept.columns == frame(spark, rows).columns
-    assert sorted(str(r.doc_id) for r in kept.collect()) == sorted(str(r.doc_id) for r in got if r.kept)
+    # One row of each group: repeated rows and rows without an id are no exception.
+    left = [(r.doc_id, r.text) for r in kept.collect()]
+    wordless = [r[:2] for r in rows if not (r[1] or "").split()]
+    groups = {r.group for r in got if r.group is not None}
+    assert len(left) == len(groups) + len(wordless) and len(set(left)) == len(set(left) - set(wordless)) + len(set(wordless))
+    assert {i for i, _ in left} == {r.doc_id for r in got if r.kept}
     assert neardup.link_documents(empty(spark)).count() == 0
     assert neardup.drop_near_duplicates(empty(spark)).count() == 0
 
@@ -70,6 +75,37 @@ def test_no_link_is_lost(spark, monkeypatch, block):
     assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == sorted(brute_groups(rows))
 
 
+def test_one_row_of_each_group_stays(spark):
+    base = prose(random.Random(5), 80).split()
+    near = [" ".join(base[:k] + ["edit"] + base[k + 1:]) for k in (3, 40, 70)]
+    rows = [(7, near[0]), (7, near[1]), (7, near[1]), (None, near[2]), (9, "alone in its group with some words"), (None, None),
+            (None, "no id but words of its own here"), (None, "no id but words of its own here"), (3, ""), (3, "")]
+    docs = spark.createDataFrame([(*r, "x", 1) for r in rows], "doc_id long, text string, gone_id string, twice_id int")
+    kept = neardup.drop_near_duplicates(docs.repartition(4))
+    left = sorted(((r.doc_id, r.text) for r in kept.collect()), key=str)
+    assert [r for r in left if r[0] == 7] in ([(7, near[0])], [(7, near[1])])
+    assert sorted((r for r in left if r[0] != 7), key=str) == sorted([rows[4], rows[5], rows[6], rows[8], rows[9]], key=str)
+
+
+def test_short_texts_are_linked_too(spark):
+    """Texts of 5 to 20 words fill few bins; every link between them is found, with and without the cuts."""
+    rng = random.Random(11)
+    rows = []
+    for g in range(60):
+        words = prose(rng, rng.randint(5, 20)).split()
+        for k in range(4):
+            copy = list(words) + (["more"] if k == 1 else [])
+            if k >= 2:
+                copy[-1 if k == 2 else 0] = "other%d" % rng.randrange(99)
+            rows.append((len(rows), " ".join(copy)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    want = sorted(brute_groups(rows))
+    for exact in (False, True):
+        got = neardup.link_documents(docs, exact=exact).collect()
+        assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == want
+    assert sum(c != d for d, _, c in want) > 20
+
+
 def test_signatures_estimate_similarity():
     rng = np.random.default_rng(2)
     for n in (3, 20, 2000):

@@ -25,7 +25,9 @@ by blocks; class sizes are partial aggregates.
 
 Null texts and texts without words are linked with nothing. Null ids are
 ignored by the minimum (a group of null ids has a null component). Rows that
-are equal in id and text are one document.
+are equal in id and text are one document; ``drop_near_duplicates`` keeps one row
+of each group whatever its ids. An empty table gives no row; other columns are
+not read here and kept there.
 """
 
 from __future__ import annotations
@@ -45,7 +47,7 @@ from .neardup_sketch import BINS, band_keys, fingerprint, shingle_sets, signatur
 FILTER_BITS = 1 << 24   # 2 MB, broadcast
 STAR_LEAST = 0.5        # agreement of BINS values below which a star pair is left out
 FINE_BINS = 1024        # finer sketch of the rest: one byte per bin
-FINE_LEAST = 0.69       # 4.4 standard deviations below 0.75
+FINE_LEAST = 0.685      # 4.8 standard deviations below 0.75
 BLOCK = 1024            # members per block of a bucket that stars did not join
 
 _U = np.uint64
@@ -89,11 +91,13 @@ def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1)), pa.array(nodes)], names=["key", "node"])
 
 
-def _similar_enough(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        if batch.num_rows:
-            close = (_values(batch.column("sig_a")) == _values(batch.column("sig_b"))).mean(1) >= STAR_LEAST
-            yield batch.select(["a", "b"]).filter(pa.array(close))
+def _similar_enough(least: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                close = (_values(batch.column("sig_a")) == _values(batch.column("sig_b"))).mean(1) >= least
+                yield batch.select(["a", "b"]).filter(pa.array(close))
+    return run
 
 
 def _confirm(least: int):
@@ -154,36 +158,38 @@ def _fine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                                          names=["node", "sig", "fine"])
 
 
-def _rest_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _rest_pairs(least: float):
     """Blocks sorted by (key, pblock, tblock, probes first): close pairs of different components."""
-    block, probes = None, None
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, probes = None, None
 
-    def arrays(rows: list[dict]) -> tuple:
-        return (np.array([r["node"] for r in rows]), np.array([r["component"] for r in rows]),
-                np.array([r["probe"] for r in rows], bool), _values_of([r["sig"] for r in rows]),
-                np.frombuffer(b"".join(r["fine"] for r in rows), np.uint8).reshape(-1, FINE_BINS))
+        def arrays(rows: list[dict]) -> tuple:
+            return (np.array([r["node"] for r in rows]), np.array([r["component"] for r in rows]),
+                    np.array([r["probe"] for r in rows], bool), _values_of([r["sig"] for r in rows]),
+                    np.frombuffer(b"".join(r["fine"] for r in rows), np.uint8).reshape(-1, FINE_BINS))
 
-    held: list[dict] = []
-    for batch in batches:
-        found: list[tuple[int, int]] = []
-        for r in batch.to_pylist():
-            name = (r["key"], r["pblock"], r["tblock"])
-            if name != block:
-                found += _compare(block, probes, held, arrays)
-                block, probes, held = name, [], []
-            (probes if r["role"] == 0 else held).append(r)
+        held: list[dict] = []
+        for batch in batches:
+            found: list[tuple[int, int]] = []
+            for r in batch.to_pylist():
+                name = (r["key"], r["pblock"], r["tblock"])
+                if name != block:
+                    found += _compare(block, probes, held, arrays, least)
+                    block, probes, held = name, [], []
+                (probes if r["role"] == 0 else held).append(r)
+            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()),
+                                              pa.array([y for _, y in found], pa.int64())], names=["a", "b"])
+        found = _compare(block, probes, held, arrays, least) if block else []
         yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()),
                                           pa.array([y for _, y in found], pa.int64())], names=["a", "b"])
-    found = _compare(block, probes, held, arrays) if block else []
-    yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()),
-                                      pa.array([y for _, y in found], pa.int64())], names=["a", "b"])
+    return run
 
 
 def _values_of(raw: list[bytes]) -> np.ndarray:
     return np.frombuffer(b"".join(raw), "<u2").reshape(-1, BINS)
 
 
-def _compare(block, probes, targets, arrays) -> list[tuple[int, int]]:
+def _compare(block, probes, targets, arrays, least: float) -> list[tuple[int, int]]:
     if not block or not probes or not targets:
         return []
     nodes, comps, is_probe, sigs, fine = arrays(targets)
@@ -197,7 +203,7 @@ def _compare(block, probes, targets, arrays) -> list[tuple[int, int]]:
             other &= ~(keys[:, :band] == own).any(1)
         at = np.flatnonzero(other)
         if len(at):
-            close = (fine[at] == sketch).mean(1) >= FINE_LEAST
+            close = (fine[at] == sketch).mean(1) >= least
             found += [(int(node), int(x)) for x in nodes[at[close]]]
     return found
 
@@ -207,8 +213,13 @@ def _with_sets(pairs: DataFrame, sets: DataFrame) -> DataFrame:
             .join(sets.select(F.col("node").alias("b"), F.col("set").alias("set_b")), "b"))
 
 
-def link_documents(docs: DataFrame, id_col: str = "doc_id", text: str = "text", least: int = 75) -> DataFrame:
-    """One row per document: doc_id, text_hash, n_shingles, component_id, kept, n_links of its class."""
+def link_documents(docs: DataFrame, id_col: str = "doc_id", text: str = "text", least: int = 75,
+                   exact: bool = False) -> DataFrame:
+    """One row per document: doc_id, text_hash, n_shingles, component_id, kept, n_links and group of its class.
+
+    ``exact`` confirms every pair that shares a band on full sets, without the cuts by sketches.
+    """
+    star_least, fine_least = (0.0, 0.0) if exact else (STAR_LEAST, FINE_LEAST)
     spark = docs.sparkSession
     body = F.coalesce(F.col(text).cast("string"), F.lit(""))
     plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), body.alias("text"),
@@ -239,10 +250,10 @@ def link_documents(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     signed = wanted.select("node", "sig")
     stars = (members.filter("node <> centre").select(F.col("node").alias("a"), F.col("centre").alias("b")).distinct()
              .join(signed.toDF("a", "sig_a"), "a").join(signed.toDF("b", "sig_b"), "b"))
-    close = map_arrow(stars, _similar_enough, "a long, b long")
+    close = map_arrow(stars, _similar_enough(star_least), "a long, b long")
     links = written(map_arrow(_with_sets(close, sets), _confirm(least), "a long, b long"), "neardup-links")
 
-    rest = written(_rest(members, components(links.toDF("u", "v")), sets), "neardup-rest")
+    rest = written(_rest(members, components(links.toDF("u", "v")), sets, fine_least), "neardup-rest")
     more = written(map_arrow(_with_sets(rest, sets), _confirm(least), "a long, b long"), "neardup-links")
     all_links = links.union(more)
     groups = written(components(all_links.toDF("u", "v")), "neardup-components")
@@ -251,20 +262,21 @@ def link_documents(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
               .agg(F.count("*").alias("n_links")))
     lowest = (groups.join(classes.select("node", "lowest"), "node")
               .groupBy("component").agg(F.min("lowest").alias("component_id")))
-    named = groups.join(written(lowest, "neardup-lowest"), "component").select("node", "component_id")
+    named = groups.join(written(lowest, "neardup-lowest"), "component").select("node", "component_id", "component")
     resolved = written(
         classes.select("f1", "f2", "node", "lowest").join(named, "node", "left").join(degree, "node", "left")
         .select("f1", "f2", F.coalesce("component_id", "lowest").alias("component_id"),
-                F.coalesce("n_links", F.lit(0)).alias("n_links")), "neardup-resolved")
+                F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("component", "node").alias("group")),
+        "neardup-resolved")
     found = some.select("doc_id", "text_hash", "n", "f1", "f2").join(resolved, ["f1", "f2"])
     alone = sketches.filter("n = 0").select("doc_id", "text_hash", "n", F.col("doc_id").alias("component_id"),
-                                            F.lit(0).cast("long").alias("n_links"))
-    return (found.select("doc_id", "text_hash", "n", "component_id", "n_links").unionByName(alone)
+                                            F.lit(0).cast("long").alias("n_links"), F.lit(None).cast("long").alias("group"))
+    return (found.select("doc_id", "text_hash", "n", "component_id", "n_links", "group").unionByName(alone)
             .select("doc_id", "text_hash", F.col("n").alias("n_shingles"), "component_id",
-                    F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), "n_links"))
+                    F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), "n_links", "group"))
 
 
-def _rest(members: DataFrame, joined: DataFrame, sets: DataFrame) -> DataFrame:
+def _rest(members: DataFrame, joined: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     """Close pairs in buckets whose members are in several components."""
     labelled = written(
         members.select("key", "node").join(joined, "node", "left")
@@ -289,17 +301,36 @@ def _rest(members: DataFrame, joined: DataFrame, sets: DataFrame) -> DataFrame:
                .withColumn("role", F.lit(1)).select(*columns))
     blocks = (probes.unionByName(targets).repartition("key", "pblock", "tblock")
               .sortWithinPartitions("key", "pblock", "tblock", "role", "node"))
-    return map_arrow(blocks, _rest_pairs, "a long, b long")
+    return map_arrow(blocks, _rest_pairs(least), "a long, b long")
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """One document of each group (the one with the least id), all columns as they are."""
-    gone = (link_documents(docs, id_col, text).filter(~F.col("kept"))
-            .select(F.col("doc_id").alias("gone_id"), F.col("text_hash").alias("gone_hash")))
+    """One row of each group, all columns as they are; rows without words all stay.
+
+    The one with the least id stays (null ids last), among equal ids that with the least text hash, among rows equal in
+    both any one.
+    """
+    linked = written(link_documents(docs, id_col, text).select("doc_id", "text_hash", "group"), "neardup-linked")
+    grouped = linked.filter("group IS NOT NULL")
+    stays = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")).alias("stays")
+    first = written(grouped.groupBy("group").agg(stays), "neardup-first")
+    first = first.select("group", F.col("stays.doc_id").alias("first_id"), F.col("stays.text_hash").alias("first_hash"))
+    own = F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.col("text_hash") == F.col("first_hash"))
+    gone = grouped.join(first, "group").filter(~own).select(F.col("doc_id").alias("gone_id"),
+                                                            F.col("text_hash").alias("gone_hash"))
     gone = written(gone.distinct(), "neardup-gone")
     body = F.coalesce(docs[text].cast("string"), F.lit(""))
-    same = docs[id_col].cast("long").eqNullSafe(gone["gone_id"]) & (F.xxhash64(body) == gone["gone_hash"])
-    return docs.join(gone, same, "left_anti")
+    key, code = docs[id_col].cast("long"), F.xxhash64(body)
+    kept = docs.join(gone, key.eqNullSafe(gone["gone_id"]) & (code == gone["gone_hash"]), "left_anti")
+    twice = written(grouped.groupBy("doc_id", "text_hash").count().filter("count > 1")
+                    .select(F.col("doc_id").alias("twice_id"), F.col("text_hash").alias("twice_hash")), "neardup-twice")
+    if twice.isEmpty():
+        return kept
+    # Rows equal in id and text: only they are shuffled by it.
+    same = key.eqNullSafe(twice["twice_id"]) & (code == twice["twice_hash"])
+    once = (kept.join(twice, same, "left_semi").withColumn("_neardup_key", F.struct(key, code))
+            .dropDuplicates(["_neardup_key"]).drop("_neardup_key"))
+    return kept.join(twice, same, "left_anti").unionByName(once)
 
 
 # All pairs that share a shingle; for tables where that is affordable.
