@@ -160,6 +160,17 @@ def test_license_places_and_notices(spark):
     assert licenses.scan_licenses(empty(spark)).count() == 0
 
 
+def test_words_behind_a_notice_do_not_hide_it(spark):
+    notice, whole = dict(licenses.NOTICES)["apache"], dict(licenses.WHOLE_TEXTS)["isc"].split()
+    texts = [notice + " the license" * 20, "the license " * 200 + notice + " the license" * 200,
+             " ".join(w for i, w in enumerate(whole) if i % 9), "the license " * 500,
+             " ".join(whole[:30]), " ".join(x for w in whole for x in (w, "put", "in"))]
+    rows = [(i, t, "en", "s", 0, "", "", 0) for i, t in enumerate(texts)]
+    got = {r.doc_id: r for r in licenses.scan_licenses(frame(spark, rows)).collect()}
+    assert [got[i].labels for i in range(6)] == ["apache", "apache", "isc", "", "", ""]
+    assert got[0].score == got[1].score == 1.0
+
+
 # ---- quality classifier ----------------------------------------------------
 
 def test_marginals_equal_enumeration():
