@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 
 from trendlens import operators as ops
 from trendlens.operators import filters as flt
-from trendlens.operators.fallback import check_unfiltered
+from trendlens.operators.fallback import check_unfiltered, usable
 from trendlens.sources.edit import Saved
 from trendlens.sources.rewrite import open_table
 
@@ -37,8 +37,8 @@ class TrendingData:
 
     Tables are given as DataFrames or catalog names. Without a tag table,
     tag questions derive the tags from the clean table. Where the clean table
-    is a name the catalog does not know, country counts and flows are
-    answered from the raw table; filters that it cannot serve are refused.
+    is a name the catalog does not know, or has no day, country counts and flows
+    are answered from the raw table; filters that it cannot serve are refused.
 
     Edits of a catalog table are saved: new rows are appended, an update or
     delete rewrites the files that hold hits (``sources.edit``). A tag table
@@ -59,8 +59,7 @@ class TrendingData:
 
     def _fallback(self, on_date=None, start=None, end=None, mode="", sources=None) -> DataFrame | None:
         """The raw table where the clean one is missing, its filters checked."""
-        missing = isinstance(self._clean, str) and not self.spark.catalog.tableExists(self._clean)
-        if not missing or self._raw is None:
+        if self._raw is None or not isinstance(self._clean, str) or usable(self.spark, self._clean) is not None:
             return None
         check_unfiltered(False, on_date, start, end, mode, sources)
         return self._df(self._raw)

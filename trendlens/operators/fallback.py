@@ -15,7 +15,8 @@ from trendlens.operators.counts import country_counts
 from trendlens.operators.flows import country_flows, country_flows_raw
 
 
-def _usable(spark: SparkSession, table: str) -> DataFrame | None:
+def usable(spark: SparkSession, table: str) -> DataFrame | None:
+    """The clean table, if the catalog has it and it has a day: the one rule of when the raw table answers."""
     if not spark.catalog.tableExists(table):
         return None
     df = spark.table(table)
@@ -41,7 +42,7 @@ def flows_or_raw(spark: SparkSession, clean: str = "trending_clean", raw: str =
     Days are always checked. On the raw table a day, mode or source filter is
     an error unless ``unfiltered`` allows the answer without it.
     """
-    df = _usable(spark, clean)
+    df = usable(spark, clean)
     if df is not None:
         return country_flows(df, on_date, start, end, mode, sources)
     check_unfiltered(unfiltered, on_date, start, end, mode, sources)
@@ -51,7 +52,7 @@ def flows_or_raw(spark: SparkSession, clean: str = "trending_clean", raw: str =
 def counts_or_raw(spark: SparkSession, clean: str = "trending_clean", raw: str = "trending_raw", on_date=None,
                   start=None, end=None, unfiltered: bool = False) -> DataFrame:
     """``country_counts`` on the clean table, else on the raw one, where a day filter is refused likewise."""
-    df = _usable(spark, clean)
+    df = usable(spark, clean)
     if df is not None:
         return country_counts(df, on_date, start, end)
     check_unfiltered(unfiltered, on_date, start, end, "", None)

@@ -255,20 +255,21 @@ _MAP_NAMES = ("United States of America", "Côte d'Ivoire", "Russian Federation"
               "Chad", "Bresil", "Turkiye", "Blank", "ESPANA", "Mali", "Sao Tome", "peru", "Osterreich", "Mexico")
 
 
-def names_sql(names: tuple[str, ...], refs: dict[str, str], columns: str) -> str:
-    quoted = ["'" + n.replace("'", "''") + "'" for n in names]
-    # Both engines: an apostrophe is put in by chr(39).
-    texts = [f"concat({q.replace(chr(39) * 2, f'{chr(39)}, chr(39), {chr(39)}')})" if "''" in q else q for q in quoted]
+def _name_sql(names: tuple[str, ...], key: str) -> str:
+    """One of ``names`` by ``key``; both engines: an apostrophe is put in by chr(39)."""
+    texts = ["concat('" + n.replace("'", "', chr(39), '") + "')" for n in names]
     cases = " ".join(f"when {i} then {t}" for i, t in enumerate(texts))
-    return f"select case n_nationkey % {len(names)} {cases} end as {columns} from {refs['nation']}"
+    return f"case {key} % {len(names)} {cases} end"
 
 
 def data_countries_sql(refs: dict[str, str]) -> str:
-    return names_sql(_DATA_NAMES, refs, "country, n_nationkey + 1 as cnt")
+    """Customers by country, as data may spell it."""
+    return f"select {_name_sql(_DATA_NAMES, 'c_custkey')} as country, count(*) as cnt from {refs['customer']} group by 1"
 
 
 def map_countries_sql(refs: dict[str, str]) -> str:
-    return names_sql(_MAP_NAMES, refs, "name")
+    """Countries of suppliers, as a map may spell them."""
+    return f"select distinct {_name_sql(_MAP_NAMES, 's_suppkey')} as name from {refs['supplier']}"
 
 
 # --------------------------------------------------------------------------
