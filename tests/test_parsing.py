@@ -138,3 +138,26 @@ def test_accent_strip_matches_nfd_rule(spark, text):
     want = "".join(c for c in unicodedata.normalize("NFD", text) if not 0x300 <= ord(c) <= 0x36F)
     want = unicodedata.normalize("NFC", want)
     assert one_col(spark, [text], strip_accents) == [want]
+
+
+MORE_NUMBERS = ['0x10', '0X1f', '-0x10', '1_000', '1__0', '_1', '1_', '0b101', '0B11', '1_000.5', '1_0e2', '0x_1', '0x', ' 0x10 ',
+           '0x1_0', '1.5_0', '0x8000000000000000', '0x7fffffffffffffff', '0xfffffffffffffffffffff', '0o17', '+0x10', '0x1.5',
+           '1_000_000', '1_.5', '12_3e1', ' 1_0 ', '0b', '0b2', '-1_0', '12', ' 7 ', '-3', '2.5', '1e3', '', 'x_1', None]
+MOMENTS = ['2024-01-02 03:04:05', '2024-01-02T03:04:05', '2024-01-02 03:04:05.5', '2024-01-02', '2024-01-02 03:04',
+           '2024-01-02 03:04:05Z', '2024-01-02 03:04:05+02', '2024-13-02 03:04:05', '2024-01-02 24:00:00', '2024-01-02  03:04:05',
+           ' 2024-01-02 03:04:05 ', '2024-1-2 3:04:05', '2024-02-30', '03:04:05-02', '01:02:03', '2024-01-02 x', None]
+
+
+def test_numbers_with_bases_and_separators(spark):
+    rows = spark.createDataFrame([(i, v) for i, v in enumerate(MORE_NUMBERS)], "i int, v string")
+    got = [r.n for r in rows.select("i", to_bigint("v").alias("n")).orderBy("i").collect()]
+    con = duckdb.connect()
+    assert got == [con.execute("SELECT try_cast(? AS BIGINT)", [v]).fetchall()[0][0] for v in MORE_NUMBERS]
+
+
+def test_clock_of_a_moment(spark):
+    rows = spark.createDataFrame([(i, v) for i, v in enumerate(MOMENTS)], "i int, v string")
+    got = [r.n for r in rows.select("i", duration_seconds("v").alias("n")).orderBy("i").collect()]
+    con = duckdb.connect()
+    sql = "SELECT CAST(floor(epoch(try_cast(? AS TIME))) AS BIGINT)"
+    assert got == [con.execute(sql, [v]).fetchall()[0][0] for v in MOMENTS]

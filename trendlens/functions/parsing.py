@@ -22,16 +22,37 @@ def _c(x: ColumnOrName) -> Column:
 # numbers and booleans
 # --------------------------------------------------------------------------
 
+# Number texts with a base, and a separator that does not stand between digits.
+_HEX = "^0[xX][0-9a-fA-F]+(?:_[0-9a-fA-F]+)*$"
+_BINARY = "^0[bB][01]+(?:_[01]+)*$"
+_HEX_64, _BINARY_64 = "^0[xX]0*[0-9a-fA-F]{1,16}$", "^0[bB]0*[01]{1,64}$"
+_LOOSE_SEPARATOR = "(?:^|[^0-9])_|_(?:[^0-9]|$)"
+
+
 def to_bigint(x: ColumnOrName) -> Column:
     """Lenient text -> BIGINT, rounding like a SQL numeric cast.
 
-    ``12.7`` -> 13, ``-0.5`` -> -1, ``1e3`` -> 1000, `` 42 `` -> 42, ``1,234`` and
-    blanks -> NULL. Going through DECIMAL(38,10) gives exact half-up rounding
-    (a DOUBLE would misround ``2.5000000000000001``-like text). Hex (``0x10``)
-    and digit separators (``1_000``) are not accepted.
+    ``12.7`` -> 13, ``-0.5`` -> -1, ``1e3`` -> 1000, `` 42 `` -> 42, ``0x10`` -> 16,
+    ``0b101`` -> 5, ``1_000`` -> 1000, ``1,234`` and blanks -> NULL. Plain integers
+    take the short way. Others go through DECIMAL(38,10), which gives exact half-up
+    rounding (a DOUBLE would misround ``2.5000000000000001``-like text); hex,
+    binary and separated digits are looked for only in texts that hold their mark.
     """
-    dec = F.trim(_c(x).cast("string")).try_cast(T.DecimalType(38, 10))
-    return F.round(dec, 0).try_cast(T.LongType())
+    raw = _c(x).cast("string")
+    text = F.trim(raw)
+
+    def decimal(t: Column) -> Column:
+        return F.round(t.try_cast(T.DecimalType(38, 10)), 0).try_cast(T.LongType())
+
+    digits = F.replace(raw, F.lit("_"), F.lit(""))
+    # conv() fails beyond 64 bits, so what is longer never reaches it.
+    based = (F.when(raw.rlike(_HEX) & digits.rlike(_HEX_64), F.conv(F.substring(digits, 3, 1 << 20), 16, 10).try_cast(T.LongType()))
+             .when(raw.rlike(_BINARY) & digits.rlike(_BINARY_64),
+                   F.conv(F.substring(digits, 3, 1 << 20), 2, 10).try_cast(T.LongType())))
+    apart = F.when(~text.rlike(_LOOSE_SEPARATOR), decimal(F.replace(text, F.lit("_"), F.lit(""))))
+    return F.coalesce(text.try_cast(T.LongType()),
+                      F.when(raw.startswith("0x") | raw.startswith("0X") | raw.startswith("0b") | raw.startswith("0B"), based)
+                      .when(text.contains("_"), apart).otherwise(decimal(text)))
 
 
 def to_boolean(x: ColumnOrName) -> Column:
@@ -192,14 +213,27 @@ _CLOCK = (rf"^{_WS}*([0-9]{{1,2}}):([0-9]{{1,2}})"
           rf"(?::([0-9]{{1,2}})(?:\.([0-9]+))?(?:{_WS}*(?:Z|[+-][0-9]{{1,2}}(?::?[0-9]{{2}})?))?{_WS}*)?$")
 
 
+# A day before the clock.
+_DAY_BEFORE = rf"^{_WS}*([0-9]{{1,4}}-[0-9]{{1,2}}-[0-9]{{1,2}})(?:[\x20T]+(?=[0-9])|{_WS}*$)"
+
+
 def _part(text: Column, pattern: str) -> Column:
     return F.coalesce(F.regexp_extract(text, pattern, 1).try_cast(T.LongType()), F.lit(0))
 
 
+def _clock_of_moment(text: Column) -> Column:
+    """The clock of a text that begins with a day (midnight if nothing follows); other texts as they are."""
+    day = F.regexp_extract(text, _DAY_BEFORE, 1)
+    rest = F.regexp_replace(text, _DAY_BEFORE, "")
+    clock = F.when(rest == "", "0:00:00").otherwise(F.regexp_replace(rest, r"^24:00(?::00(?:\.0+)?)?$", "0:00:00"))
+    return F.when(text.contains("-") & text.rlike(_DAY_BEFORE), F.when(day.try_cast("date").isNotNull(), clock)).otherwise(text)
+
+
 def clock_parts(x: ColumnOrName) -> Column:
     """The one regex pass of the clock branch: a clock text rewritten to
     ``[mark, h, m, s, fraction]`` (missing parts empty)."""
-    return F.split(F.regexp_replace(_c(x).cast("string"), _CLOCK, f"{_MARK}:$1:$2:$3:$4"), ":", 5)
+    text = _clock_of_moment(_c(x).cast("string"))
+    return F.split(F.regexp_replace(text, _CLOCK, f"{_MARK}:$1:$2:$3:$4"), ":", 5)
 
 
 def duration_seconds_from(x: ColumnOrName, hms: ColumnOrName, exact: bool = False) -> Column:
@@ -223,5 +257,5 @@ def duration_seconds_from(x: ColumnOrName, hms: ColumnOrName, exact: bool = Fals
 
 
 def duration_seconds(x: ColumnOrName, exact: bool = False) -> Column:
-    """``PT1H2M3S`` or ``01:02:03`` -> seconds (BIGINT); anything else NULL."""
+    """``PT1H2M3S``, ``01:02:03`` or the clock of ``2024-05-01 01:02:03`` -> seconds (BIGINT); anything else NULL."""
     return duration_seconds_from(x, clock_parts(x), exact)
