@@ -115,8 +115,9 @@ class TrendingData:
         return ops.top_channels(self.clean, column, limit)
 
     # -- SQL page -----------------------------------------------------------
-    def query(self, sql: str, max_rows: int = 1000, views: dict[str, DataFrame] | None = None):
-        return ops.bounded_select(self.spark, sql, max_rows, views)
+    def query(self, sql: str, max_rows: int = 1000, views: dict[str, DataFrame] | None = None,
+              deadline: float | None = 300.0, max_pair_bytes: int | None = 1 << 40):
+        return ops.bounded_select(self.spark, sql, max_rows, views, deadline, max_pair_bytes)
 
     def _saved(self) -> Saved | None:
         """The clean table in the catalog, with the tag table that follows it."""

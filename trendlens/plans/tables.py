@@ -24,6 +24,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from trendlens.operators.bitmaps import day_bitmaps, numbered, video_numbers
 from trendlens.operators.filters import with_keys
 from trendlens.operators.tags import explode_tags
 from trendlens.plans import standins as st
@@ -107,6 +108,14 @@ def tags_table(spark: SparkSession, sf_dir: str, materialized: bool = True) -> D
     return _memo_table(spark, sf_dir, "video_tags", lambda: explode_tags(trending_table(spark, sf_dir)))
 
 
+def bitmaps_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bitmaps of the clean table's videos per country and day, sorted by day."""
+    def build() -> DataFrame:
+        clean = trending_table(spark, sf_dir)
+        return day_bitmaps(clean, numbered(write_table(spark, video_numbers(clean), "video-numbers")))
+    return _memo_table(spark, sf_dir, "day_bitmaps", build, ("day",), ("day", "country", "bucket"))
+
+
 def raw_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The raw 24-text-column export (the ingested CSV of the original app),
     stored once. Parsing reads stored columns, as it does after an ingest:
