@@ -21,6 +21,7 @@ from __future__ import annotations
 import json
 import re
 import uuid
+from collections.abc import Callable
 from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -115,18 +116,31 @@ def rewrite_files(spark: SparkSession, table: str, files: list[str], rows: DataF
     left = _relative(files, folder)
     if left is None:
         return False
-    store, name = Files(spark, folder), f"_edit-{uuid.uuid4().hex}"
     parts = [c.name for c in spark.catalog.listColumns(table) if c.isPartition]
     writer = rows.select(*(f"`{c}`" for c in spark.table(table).columns)).write
-    (writer.partitionBy(*parts) if parts else writer).parquet(f"{folder}/{name}")
-    store.write(f"{name}.json", json.dumps({"old": left, "new": store.below(name)}))
-    _finish(store, f"{name}.json")
+    edit_folder(Files(spark, folder), left, (writer.partitionBy(*parts) if parts else writer).parquet)
     if parts:
         spark.catalog.recoverPartitions(table)
     spark.catalog.refreshTable(table)
     return True
 
 
+def edit_folder(store: Files, left: list[str], write: Callable[[str], None]) -> None:
+    """Replace the files ``left`` of a folder by those that ``write`` puts in the folder it is given."""
+    name = f"_edit-{uuid.uuid4().hex}"
+    write(f"{store.folder}/{name}")
+    store.write(f"{name}.json", json.dumps({"old": left, "new": store.below(name)}))
+    _finish(store, f"{name}.json")
+
+
+def finish_edits(store: Files) -> bool:
+    """Finish the edits of a folder that a failed job has begun; whether there was one."""
+    markers = store.names("_edit-*.json")
+    for marker in markers:
+        _finish(store, marker)
+    return bool(markers)
+
+
 def _finish(store: Files, marker: str) -> None:
     """The renames of an edit, from wherever an earlier try has stopped."""
     edit, change = marker.removesuffix(".json"), json.loads(store.read(marker))
@@ -152,9 +166,7 @@ def recover(spark: SparkSession, table: str) -> bool:
             spark.sql(f"DROP TABLE {quoted(rest)}")
             done = True
     store = Files(spark, location(spark, table))
-    for marker in store.names("_edit-*.json"):
-        _finish(store, marker)
-        done = True
+    done = finish_edits(store) or done
     if done:
         if any(c.isPartition for c in spark.catalog.listColumns(table)):
             spark.catalog.recoverPartitions(table)

@@ -1,5 +1,6 @@
 """Incremental ingestion of daily snapshot files (Structured Streaming)."""
 
-from trendlens.streaming.snapshots import RAW_SCHEMA, stream_clean_snapshots
+from trendlens.streaming.snapshots import (RAW_SCHEMA, compact_snapshots, replace_batch, stream_clean_snapshots,
+                                           stream_clean_table)
 
-__all__ = ["RAW_SCHEMA", "stream_clean_snapshots"]
+__all__ = ["RAW_SCHEMA", "compact_snapshots", "replace_batch", "stream_clean_snapshots", "stream_clean_table"]
