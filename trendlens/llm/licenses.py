@@ -8,7 +8,8 @@ diagonal; words put in or left out shift it, so from each diagonal on those at
 most half a template's length further are merged, and the best such band is
 verified: enough of the template's different places must be hit in it. A band's width
 is bounded, so its span is at most MAX_STRETCH times the template, and words that
-follow a notice cannot hide it.
+follow a notice cannot hide it. The score is the best share of a band, among
+templates of which the text holds enough hits in all.
 
 A base phrase must be hit in full on one diagonal (its grams are k words of
 k + n places, so full votes mean equal words up to a 64-bit hash).
@@ -161,6 +162,9 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -
     widest = max(most_drift(len(phrase.split()) - 1) for _, phrase in NOTICES + WHOLE_TEXTS)
     on = Window.partitionBy("row", "template").orderBy("diagonal").rangeBetween(0, widest)
     notice = ~F.col("base") & (F.col("template") >= 0)
+    # Most texts share a few common words with a template: bands are only made where its hits could suffice at all.
+    votes = F.sum("votes").over(Window.partitionBy("row", "template"))
+    voted = voted.withColumn("all_votes", votes).filter(~notice | (F.col("all_votes") >= MIN_SHARE * F.col("size")))
     band = F.collect_list(F.when(notice, F.struct("diagonal", "ats"))).over(on)
     voted = voted.withColumn("band", band)
     reach = F.col("diagonal") + F.floor((MAX_STRETCH - 1) * F.col("size"))
@@ -210,6 +214,8 @@ bands AS (
   SELECT a.rid, a.t, a.diagonal, len(list_distinct(flatten(list(b.ats)))) AS hit
   FROM votes a JOIN votes b ON a.rid = b.rid AND a.t = b.t
     AND b.diagonal BETWEEN a.diagonal AND a.diagonal + floor({MAX_STRETCH - 1} * a.size)
+  JOIN (SELECT rid, t FROM votes GROUP BY rid, t, size HAVING sum(len(ats)) >= {MIN_SHARE} * size) enough
+    ON a.rid = enough.rid AND a.t = enough.t
   WHERE NOT a.base GROUP BY a.rid, a.t, a.diagonal),
 judged AS (
   SELECT rid, label, diagonal AS start, len(ats) = size AS whole, NULL::DOUBLE AS share, false AS found
