@@ -91,8 +91,8 @@ def test_day_filters_reach_the_scan(spark, tmp_dir):
 
 
 def test_video_lookup_reaches_the_scan(spark):
-    from trendlens.plans.tables import trending_by_video
-    t = trending_by_video(spark, "/root/testdata/sf0.001")
+    from trendlens.plans.tables import trending_table
+    t = trending_table(spark, "/root/testdata/sf0.001")
     for q in (ops.flows_of_video(t, " v17 ", mode="all"), ops.views_timeline(t, "V17", mode="all")):
         assert "EqualTo(video_key,v17)" in plan(q)
     assert "EqualTo(channel_key,nation_3)" in plan(ops.top_videos(t, src="NATION_3"))
@@ -131,3 +131,30 @@ def test_stand_in_join_needs_no_forced_broadcast(spark):
         assert "BroadcastExchange" not in t and "SortMergeJoin" in t
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_one_video_reads_few_row_groups(spark, tmp_dir):
+    """The table is laid out by day; Bloom filters tell which row groups hold a video."""
+    from trendlens.operators.filters import with_keys
+    from trendlens.sources import save_table
+    rows = spark.range(4000).selectExpr(
+        "concat('V', if(id = 777, 'one', cast(hash(id) % 900 as string))) AS video_id", "'FR' AS channel_country",
+        "date_add(DATE'2024-01-01', cast(id % 100 as int)) AS video_trending_date")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        table = spark.read.parquet(save_table(with_keys(rows), f"{tmp_dir}/t", ("video_trending_date",),
+                                              ("video_trending_date", "video_id")))
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    files = len(table.inputFiles())
+    assert files == int(before) and files > 4
+    one = table.where("video_key = 'vone'")
+    got = one.collect()
+    assert [r.video_id for r in got] == ["Vone"]
+    # Rows that leave the scan: those of the row groups (one per file here) that were read.
+    scan = one._jdf.queryExecution().executedPlan()
+    while scan.children().size():
+        scan = scan.children().apply(0)
+    read = scan.metrics().apply("numOutputRows").value()
+    assert 0 < read < 2 * 4000 / files < table.count()

@@ -21,7 +21,7 @@ from __future__ import annotations
 import threading
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, DataFrameWriter, SparkSession
 from pyspark.sql import functions as F
 
 from trendlens.operators.bitmaps import day_bitmaps, numbered, video_numbers
@@ -31,6 +31,8 @@ from trendlens.plans import standins as st
 from trendlens.session import shared_path
 
 DAY = "video_trending_date"
+VIDEO_KEY = "video_key"
+FILTER_VALUES = 50_000
 
 _LOCK = threading.Lock()
 _LOCKS: dict[tuple, threading.RLock] = {}
@@ -58,10 +60,22 @@ def layout(df: DataFrame, cluster_by: tuple[str, ...] = (), sort_by: tuple[str,
     return out.sortWithinPartitions(*sort_by) if sort_by else out
 
 
+def with_filters(writer: DataFrameWriter, df: DataFrame, key: str = VIDEO_KEY, values: int = FILTER_VALUES) -> DataFrameWriter:
+    """The writer, with a Bloom filter of ``key`` per row group if the rows have that column.
+
+    A question about one video then reads only the row groups that may hold it, though the table is laid out by day.
+    ``values``: different keys a filter is sized for (about 1.2 bytes each); more of them only let more groups through.
+    """
+    if key not in df.columns:
+        return writer
+    return (writer.option(f"parquet.bloom.filter.enabled#{key}", "true")
+            .option(f"parquet.bloom.filter.expected.ndv#{key}", str(values)))
+
+
 def _write(spark: SparkSession, df: DataFrame, name: str, cluster_by: tuple[str, ...],
            sort_by: tuple[str, ...]) -> str:
     path = shared_path(spark, "trendlens-tables", f"{name}-{uuid.uuid4().hex}")
-    layout(df, cluster_by, sort_by).write.mode("errorifexists").parquet(path)
+    with_filters(layout(df, cluster_by, sort_by).write.mode("errorifexists"), df).parquet(path)
     return path
 
 
@@ -95,12 +109,6 @@ def trending_table(spark: SparkSession, sf_dir: str, materialized: bool = True)
     return _memo_table(spark, sf_dir, "trending", lambda: with_keys(st.trending(spark, sf_dir)))
 
 
-def trending_by_video(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A copy of the clean table in ranges of the video key, for questions about one video."""
-    return _memo_table(spark, sf_dir, "trending_by_video", lambda: trending_table(spark, sf_dir),
-                       ("video_key",), ("video_key", DAY))
-
-
 def tags_table(spark: SparkSession, sf_dir: str, materialized: bool = True) -> DataFrame:
     """The tag table (one row per usable tag of each clean row), likewise."""
     if not materialized:

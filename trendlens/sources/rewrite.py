@@ -117,7 +117,8 @@ def rewrite_files(spark: SparkSession, table: str, files: list[str], rows: DataF
     if left is None:
         return False
     parts = [c.name for c in spark.catalog.listColumns(table) if c.isPartition]
-    writer = rows.select(*(f"`{c}`" for c in spark.table(table).columns)).write
+    from trendlens.plans.tables import with_filters
+    writer = with_filters(rows.select(*(f"`{c}`" for c in spark.table(table).columns)).write, rows)
     edit_folder(Files(spark, folder), left, (writer.partitionBy(*parts) if parts else writer).parquet)
     if parts:
         spark.catalog.recoverPartitions(table)

@@ -28,7 +28,7 @@ def replace_table(spark: SparkSession, df: DataFrame, table: str, root: str | No
     opened. Files are rebalanced, or laid out by ``sort_by``. ``vacuum_table``
     deletes superseded folders.
     """
-    from trendlens.plans.tables import layout
+    from trendlens.plans.tables import layout, with_filters
     name = f"{table.replace('.', '_')}-{uuid.uuid4().hex}"
     path = f"{root.rstrip('/')}/{name}" if root else shared_path(spark, "trendlens-tables", name)
     recover(spark, table)
@@ -37,7 +37,7 @@ def replace_table(spark: SparkSession, df: DataFrame, table: str, root: str | No
     parts = [p for p in parts if p in df.columns]
     if parts:  # partition columns come last in a table
         df = df.select(*(f"`{c}`" for c in df.columns if c not in parts), *(f"`{p}`" for p in parts))
-    writer = layout(df, sort_by, sort_by).write.mode("errorifexists")
+    writer = with_filters(layout(df, sort_by, sort_by).write.mode("errorifexists"), df)
     (writer.partitionBy(*parts) if parts else writer).parquet(path)
     columns = lambda d: [(f.name, f.dataType) for f in d.schema.fields]
     place = path.replace("'", "\\'")
@@ -78,6 +78,6 @@ def vacuum_table(spark: SparkSession, table: str) -> int:
 def save_table(df: DataFrame, path: str, cluster_by: tuple[str, ...] = (), sort_by: tuple[str, ...] = (),
                mode: str = "errorifexists") -> str:
     """Write ``df`` as Parquet at ``path``, laid out as ``plans.tables.layout`` says."""
-    from trendlens.plans.tables import layout
-    layout(df, cluster_by, sort_by).write.mode(mode).parquet(path)
+    from trendlens.plans.tables import layout, with_filters
+    with_filters(layout(df, cluster_by, sort_by).write.mode(mode), df).parquet(path)
     return path

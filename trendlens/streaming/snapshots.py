@@ -17,7 +17,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from trendlens.operators.filters import with_keys
 from trendlens.plans.cleaning import RAW_COLUMNS, clean_trending
-from trendlens.plans.tables import DAY, layout
+from trendlens.plans.tables import DAY, layout, with_filters
 from trendlens.session import shared_path
 from trendlens.sources.rewrite import Files, edit_folder, finish_edits
 
@@ -72,7 +72,7 @@ def replace_batch(batch: DataFrame, number: int, target_dir: str) -> None:
     """Put a batch's rows in the table, in the place of what an earlier try of the same batch has put there."""
     store, name = Files(batch.sparkSession, target_dir.rstrip("/")), f"batch-{number:012d}"
     finish_edits(store)
-    layout(batch, (DAY,), (DAY, "video_id")).write.mode("overwrite").parquet(f"{store.folder}/_{name}")
+    with_filters(layout(batch, (DAY,), (DAY, "video_id")).write.mode("overwrite"), batch).parquet(f"{store.folder}/_{name}")
     for old in store.names(f"{name}-*"):
         store.delete(old)
     for new in store.below(f"_{name}"):
@@ -91,5 +91,5 @@ def compact_snapshots(spark: SparkSession, target_dir: str) -> int:
         return 0
     old += store.names("part-*.parquet")
     rows = spark.read.parquet(*(f"{store.folder}/{n}" for n in old))
-    edit_folder(store, old, lambda path: layout(rows, (DAY,), (DAY, "video_id")).write.parquet(path))
+    edit_folder(store, old, lambda path: with_filters(layout(rows, (DAY,), (DAY, "video_id")).write, rows).parquet(path))
     return len(old)
