@@ -158,3 +158,29 @@ def test_one_video_reads_few_row_groups(spark, tmp_dir):
         scan = scan.children().apply(0)
     read = scan.metrics().apply("numOutputRows").value()
     assert 0 < read < 2 * 4000 / files < table.count()
+
+
+def test_bucketed_tables_join_without_a_shuffle(spark):
+    import uuid
+
+    from trendlens.plans.bucketed import HotKey, bucketed_pair, save_bucketed
+    rows = [(f"v{i % 90}", "FR", ("ES", "FR")[i % 2], dt.date(2024, 1, 1) + dt.timedelta(days=i % 20), "a,bb,cc,bb") for i in range(1800)]
+    clean = spark.createDataFrame(rows, "video_id string, channel_country string, video_trending_country string, "
+                                        "video_trending_date date, video_tags string")
+    name = f"bucketed_{uuid.uuid4().hex}"
+    stored, tags = bucketed_pair(spark, clean, name, 4)
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        q = ops.top_tags(tags, stored, mode="all", min_count=1)
+        t = tree(q)
+        # The only shuffle is that of the partial sums per tag.
+        assert len(re.findall(r"Exchange", t)) == 1 and t.index("SortMergeJoin") > t.index("Exchange")
+        got = [tuple(r) for r in q.collect()]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    assert got == [tuple(r) for r in ops.top_tags(None, clean, mode="all", min_count=1).collect()]
+    assert len(stored.inputFiles()) <= 4
+    with pytest.raises(HotKey):
+        save_bucketed(spark, clean.withColumn("video_id", F.expr("if(video_id < 'v5', 'hot', video_id)"))
+                      .withColumn("video_trending_date", F.lit(dt.date(2024, 1, 1))), f"hot_{name}", 4)
