@@ -13,7 +13,6 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 
 from trendlens import operators as ops
-from trendlens.operators import filters as flt
 from trendlens.operators.fallback import check_unfiltered, usable
 from trendlens.sources.edit import Saved
 from trendlens.sources.rewrite import open_table
