@@ -21,6 +21,11 @@ def largest_method(df, capsys) -> int:
     return max(map(int, re.findall(r"maxMethodCodeSize:(\d+)", capsys.readouterr().out)), default=0)
 
 
+def test_cleaning_generates_methods_that_the_jvm_compiles(spark, tmp_dir, capsys):
+    spark.createDataFrame([["1"] * len(RAW_COLUMNS)], ", ".join(f"{c} string" for c in RAW_COLUMNS)).write.parquet(tmp_dir + "/raw")
+    assert largest_method(clean_trending(spark.read.parquet(tmp_dir + "/raw")), capsys) < 8000
+
+
 def test_cell_types_of_one_lambda(spark, capsys):
     rows = [("1", "1.5", "2024-01-02", "2024-01-02", "true", "12:00", None), (" 2 ", "3", "2024-1-3", "2024-01-02 10:00", "FALSE", "x", None),
             (None, "99999999999999999999", None, None, None, None, None)]
