@@ -33,3 +33,7 @@ def test_cell_types_of_one_lambda(spark, capsys):
     assert cell_types(df) == {"i": "bigint", "d": "double", "day": "date", "ts": "timestamp", "b": "boolean", "t": "string", "n": "string"}
     wide = spark.createDataFrame([["1"] * 24], ", ".join(f"c{i} string" for i in range(24)))
     assert largest_method(column_masks(wide, wide.columns), capsys) < 8000
+
+
+def test_layout_none_deals_no_rows(spark):
+    assert "Exchange" not in tables.layout(spark.range(9), None)._jdf.queryExecution().executedPlan().toString()
