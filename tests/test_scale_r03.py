@@ -37,3 +37,10 @@ def test_cell_types_of_one_lambda(spark, capsys):
 
 def test_layout_none_deals_no_rows(spark):
     assert "Exchange" not in tables.layout(spark.range(9), None)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_quoted_export_has_more_files_for_more_lines(spark, monkeypatch):
+    monkeypatch.setattr(tables, "LINES_A_FILE", 1000)
+    monkeypatch.setattr(tables, "_MEMO", {})
+    path = tables.quoted_export(spark, SF001)
+    assert len([f for f in os.listdir(path.removeprefix("file:")) if f.startswith("part-")]) > 4
