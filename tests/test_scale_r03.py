@@ -44,3 +44,17 @@ def test_quoted_export_has_more_files_for_more_lines(spark, monkeypatch):
     monkeypatch.setattr(tables, "_MEMO", {})
     path = tables.quoted_export(spark, SF001)
     assert len([f for f in os.listdir(path.removeprefix("file:")) if f.startswith("part-")]) > 4
+
+
+def test_bitmaps_are_united_in_bounded_tasks(spark, monkeypatch):
+    rows = [(f"v{i % 400}", None if i % 31 == 0 else f"c{i % 5}", dt.date(2024, 1, 1 + i % 9)) for i in range(3000)]
+    rows += [(None, "only_null", dt.date(2024, 1, 1)), (None, "c1", None)]
+    df = spark.createDataFrame(rows, "video_id string, video_trending_country string, video_trending_date date")
+    numbers = bitmaps.numbered(tables.write_table(spark, bitmaps.video_numbers(df), "numbers"))
+    # Far numbers: more buckets than a task holds at a time.
+    numbers = numbers.withColumn("number", F.col("number") * 20_000)
+    stored = tables.write_table(spark, bitmaps.day_bitmaps(df, numbers), "bits").coalesce(1)
+    monkeypatch.setattr(bitmaps, "MOST_OPEN", 3)
+    got = sorted(map(tuple, bitmaps.counts_from_bitmaps(stored).collect()), key=str)
+    assert got == sorted(map(tuple, ops.country_counts(df).collect()), key=str)
+    assert "MapInArrow" in bitmaps.counts_from_bitmaps(stored)._jdf.queryExecution().executedPlan().toString()
