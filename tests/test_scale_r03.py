@@ -58,3 +58,9 @@ def test_bitmaps_are_united_in_bounded_tasks(spark, monkeypatch):
     got = sorted(map(tuple, bitmaps.counts_from_bitmaps(stored).collect()), key=str)
     assert got == sorted(map(tuple, ops.country_counts(df).collect()), key=str)
     assert "MapInArrow" in bitmaps.counts_from_bitmaps(stored)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_more_buckets_for_more_rows(spark, monkeypatch):
+    monkeypatch.setattr(bucketed, "BUCKET_ROWS", 10)
+    assert bucketed.enough_buckets(spark.range(35), 2) == 4
+    assert bucketed.enough_buckets(spark.range(5), 2) == 2

@@ -18,6 +18,7 @@ from trendlens.session import shared_path
 
 KEYS = (flt.VIDEO, flt.DAY)
 MOST_SHARE = 0.5
+BUCKET_ROWS = 500_000
 
 
 class HotKey(ValueError):
@@ -29,6 +30,11 @@ def largest_key(df: DataFrame) -> int:
     return df.groupBy(*KEYS).count().agg(F.max("count")).first()[0] or 0
 
 
+def enough_buckets(df: DataFrame, least: int) -> int:
+    """Buckets of at most about BUCKET_ROWS rows: one task sorts and reads a bucket."""
+    return max(least, -(-df.count() // BUCKET_ROWS))
+
+
 def save_bucketed(spark: SparkSession, df: DataFrame, table: str, buckets: int) -> DataFrame:
     """``df`` as catalog table ``table`` in ``buckets`` files by (video, day), sorted; ``HotKey`` if a key is too frequent."""
     rows, hot = df.count(), largest_key(df)
