@@ -141,3 +141,18 @@ def test_table_gives_what_the_cache_gives(entries, pool):
             got = [x.tobytes() for x in table.of_column(part)]
             assert got == list(ChunkCache(encode).of_texts([t or "" for t in part.to_pylist()]))
         assert table.known <= entries
+
+
+def test_table_keeps_few_pieces_beside_its_own():
+    """A worker that keeps each piece twice, and arrays for 1 MB of text, takes 130 MB more."""
+    asked, sizes = [], []
+    table = ChunkTable(lambda pieces: [asked.append(len(pieces)) or b"\1\0\0\0"] * len(pieces))
+    entries_of = table._entries_of
+    table._entries_of = lambda data, starts, ends: sizes.append(len(data)) or entries_of(data, starts, ends)
+    texts = [" ".join(f"w{'abcdefghij'[i % 10]}{''.join(chr(97 + int(d)) for d in str(i))}" for i in range(a, a + 2000))
+             for a in range(0, 200_000, 2000)]
+    for _ in range(2):
+        assert sum(map(len, table.of_column(pa.array(texts)))) == 200_000
+    pieces = table.cache.pieces
+    assert len(pieces.known) + len(pieces.old) < 120_000 and table.known > 190_000
+    assert max(sizes) <= 1 << 18

@@ -359,3 +359,16 @@ def test_languages_are_bounded(spark):
     rows = [(k, "text of some length " * (1 + k % 7), f"{'abcdefg'[k % 7]}{'xyz'[k % 3]}") for k in range(60)]
     model = langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"), most_languages=5)
     assert len(model.languages) == 5 and all(code[0] in "efg" for code in model.languages)
+
+
+def test_batches_are_worked_on_in_slices():
+    import pyarrow as pa
+
+    from trendlens.llm.common import batch_slices
+    texts = ["x" * 900, None, "", "é" * 700, "y" * 5000, "z", None]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(7)), pa.array(texts)], names=["doc_id", "text"])
+    parts = list(batch_slices(batch, 1, 1000))
+    assert pa.Table.from_batches(parts).combine_chunks().to_pylist() == batch.to_pylist()
+    assert all(p.num_rows == 1 or sum(len((t or "").encode()) for t in p.column(1).to_pylist()) <= 1000 for p in parts)
+    assert len(parts) > 3
+    assert [p.to_pylist() for p in batch_slices(batch.slice(3, 2), 1, 1000)] == [[r] for r in batch.slice(3, 2).to_pylist()]

@@ -22,6 +22,8 @@ from .common import text_slices, word_hashes
 
 ENTRIES = 1 << 19        # chunks kept per worker
 POOL_IDS = 1 << 23       # ids kept per worker
+PIECES = 1 << 16         # pieces kept per worker; those of chunks that the table holds are not asked for again
+TABLE_SLICE = 1 << 18    # bytes of text looked up together; the arrays made for them take some 60 times that
 
 _U = np.uint64
 _NONE = _U(0)            # an empty slot; a hash of 0 counts as 1
@@ -32,7 +34,7 @@ class ChunkTable:
 
     def __init__(self, encode: Callable[[list[str]], list[bytes]], pattern: str = PATTERN, entries: int = ENTRIES,
                  pool_ids: int = POOL_IDS) -> None:
-        self.cache = ChunkCache(encode, pattern)
+        self.cache = ChunkCache(encode, pattern, PIECES)
         self.entries, self.pool_ids = entries, pool_ids
         self.mask = _U(4 * entries - 1)
         assert entries & (entries - 1) == 0
@@ -98,7 +100,7 @@ class ChunkTable:
 
     def of_column(self, column: pa.Array) -> Iterator[np.ndarray]:
         """The ids of each text (null: none)."""
-        for first, end, data, cut in text_slices(column):
+        for first, end, data, cut in text_slices(column, TABLE_SLICE):
             texts = column.slice(first, end - first).to_pylist()
             slow = np.array([bool(t) and (t[0] == " " or _BLANK_SPACE.search(t) is not None) for t in texts])
             begins = data == 0x20

@@ -86,6 +86,13 @@ def text_slices(column: pa.Array, most: int = SLICE_BYTES) -> Iterator[tuple[int
         first = end
 
 
+def batch_slices(batch: pa.RecordBatch, column: int, most: int = 2 * SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batch in runs of rows with about ``most`` bytes of text in ``column``: what a task makes of the texts of
+    one run (strings, new texts) is freed before the next."""
+    for first, end, _, _ in text_slices(batch.column(column), most):
+        yield batch.slice(first, end - first)
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """A bijective 64-bit mixer (splitmix64's finaliser), wrapping."""
     x = x ^ (x >> _U(30))

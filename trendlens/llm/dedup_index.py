@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import map_arrow, written
+from .common import batch_slices, map_arrow, written
 
 MAX_DEPTH = 16
 BUCKET_BYTES = 512 << 10  # capacity of a bucket: texts of its distinct keys
@@ -51,7 +51,7 @@ def _entries(key_bits: int, held_bytes: int):
         number = TaskContext.get().partitionId() << 36
         seen: OrderedDict[bytes, int] = OrderedDict()  # text -> representative, least recently met first
         held = 0
-        for batch in batches:
+        for batch in (part for whole in batches for part in batch_slices(whole, 0)):
             texts = batch.column(0).fill_null("").cast(pa.binary()).to_pylist()
             numbers = np.arange(number, number + len(texts))
             number += len(texts)

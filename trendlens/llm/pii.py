@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_arrow
+from .common import batch_slices, map_arrow
 
 KINDS = ("email", "ip", "card", "phone")
 Span = tuple[int, int]
@@ -385,7 +385,7 @@ def mask_personal_data(docs: DataFrame, text: str = "text", n_chars: str = "n_ch
     place = docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in batch_slices(whole, place)):
             masked = [None if t is None else mask(t) for t in batch.column(place).to_pylist()]
             columns = list(batch.columns)
             columns[place] = pa.array(masked, pa.string())
