@@ -64,3 +64,17 @@ def test_more_buckets_for_more_rows(spark, monkeypatch):
     monkeypatch.setattr(bucketed, "BUCKET_ROWS", 10)
     assert bucketed.enough_buckets(spark.range(35), 2) == 4
     assert bucketed.enough_buckets(spark.range(5), 2) == 2
+
+
+def test_clean_table_shuffles_no_derived_texts(spark):
+    """The layout deals the rows of the join; tags, titles and keys are made of them in their places."""
+    from trendlens.plans import standins as st
+    facts = st.trending_facts(spark, SF001)
+    assert not {"video_tags", "video_title", "video_key", "channel_key", "l_extendedprice"} & set(facts.columns)
+    laid = st.trending_columns(tables.layout(facts, (tables.DAY,), (tables.DAY, "video_id")))
+    tree = laid._jdf.queryExecution().executedPlan().toString()
+    assert tree.index("why?") < tree.index("rangepartitioning")  # made above the shuffle
+    want = st.trending(spark, SF001)
+    assert laid.schema == want.schema and laid.exceptAll(want).isEmpty() and want.exceptAll(laid).isEmpty()
+    stored = tables.trending_table(spark, SF001).select(*want.columns)
+    assert stored.exceptAll(want).isEmpty() and want.exceptAll(stored).isEmpty()
