@@ -78,3 +78,23 @@ def test_clean_table_shuffles_no_derived_texts(spark):
     assert laid.schema == want.schema and laid.exceptAll(want).isEmpty() and want.exceptAll(laid).isEmpty()
     stored = tables.trending_table(spark, SF001).select(*want.columns)
     assert stored.exceptAll(want).isEmpty() and want.exceptAll(stored).isEmpty()
+
+
+def test_tags_are_exploded_in_their_places(spark, tmp_dir):
+    from trendlens.sources import save_table
+    rows = spark.createDataFrame([("v1", dt.date(2024, 1, 2), "a1, b2,b2"), ("v2", dt.date(2024, 1, 1), "b2,x"), ("v3", None, None),
+                                  (None, dt.date(2024, 1, 1), "c3")], "video_id string, video_trending_date date, video_tags string")
+    want = ops.explode_tags(rows)
+    shuffled = []
+    deal = tables.layout
+    def seen(df, *args):
+        shuffled.append(df.columns)
+        return deal(df, *args)
+    tables.layout = seen
+    try:
+        path = save_table(rows, tmp_dir + "/tags", (tables.DAY,), (tables.DAY, "video_id"), finish=ops.explode_tags)
+    finally:
+        tables.layout = deal
+    got = spark.read.parquet(path)
+    assert shuffled == [rows.columns]
+    assert got.dtypes == want.dtypes and sorted(map(str, got.collect())) == sorted(map(str, want.collect()))

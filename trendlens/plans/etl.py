@@ -28,6 +28,5 @@ def build_tables(spark: SparkSession, csv_path: str | list[str], clean_path: str
     clean = with_keys(clean_trending(read_csv(spark, csv_path, sep=sep, multiline=multiline), exact_duration=exact_duration))
     save_table(clean, clean_path, (DAY,), (DAY, "video_id"), mode=mode)
     stored = spark.read.schema(clean.schema).parquet(clean_path)
-    tags = explode_tags(stored)
-    save_table(tags, tags_path, (DAY,), (DAY, "video_id"), mode=mode)
-    return stored, spark.read.schema(tags.schema).parquet(tags_path)
+    save_table(stored.select("video_tags", "video_id", DAY), tags_path, (DAY,), (DAY, "video_id"), mode=mode, finish=explode_tags)
+    return stored, spark.read.schema(explode_tags(stored).schema).parquet(tags_path)
