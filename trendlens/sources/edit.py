@@ -2,7 +2,8 @@
 
 An update or delete finds the files that hold hits, and rewrites those only
 (``rewrite_files``); where more than half of the files do, the table is written
-anew in its layout. An insert appends.
+anew in its layout: file by file, without a shuffle, where the files are in that
+layout and the edit leaves its columns alone. An insert appends.
 
 The tag table follows by a change set: the tags of the rows that leave count -1,
 those of the rows that come +1. Additions are appended. Where tags go, the
@@ -20,6 +21,7 @@ from pyspark.sql import functions as F
 
 from trendlens.operators import filters as flt
 from trendlens.operators.tags import changed_tags, repeated, tag_changes
+from trendlens.session import file_by_file
 from trendlens.sources.rewrite import files_with, open_table, read_files, rewrite_files
 from trendlens.sources.tables import append_rows, replace_table
 
@@ -49,7 +51,8 @@ class Saved:
         if self.tags and (columns is None or columns & {flt.TAGS, *TAG_KEYS}):
             old = read_files(self.spark, self.clean, list(files)).where(hit)
             changes = self._written(tag_changes(old, None if columns is None else edited(old)))
-        rewrite(self.spark, self.clean, list(files), edited, tuple(c for c in (flt.DAY, flt.VIDEO) if c in table.columns))
+        keys = tuple(c for c in (flt.DAY, flt.VIDEO) if c in table.columns)
+        rewrite(self.spark, self.clean, list(files), edited, keys, in_place=columns is None or not columns & set(keys))
         if changes is not None:
             follow_tags(self.spark, self.tags, changes)
         return hits
@@ -63,14 +66,31 @@ class Saved:
         return rows.count()
 
 
+def in_layout(table: DataFrame, day: str) -> bool:
+    """Whether the files are ranges of days, one behind the other (NULL first): one row per file reaches the driver."""
+    c = F.col(f"`{day}`")
+    found = table.groupBy(F.col("_metadata.file_path")).agg(
+        F.min(c).alias("low"), F.max(c).alias("high"), F.count(F.when(c.isNull(), 1)).alias("no_day")).collect()
+    place = lambda d: (d is not None, d)
+    ranges = sorted((place(None if r["no_day"] else r["low"]), place(r["high"])) for r in found)
+    return all(before[1] <= after[0] for before, after in zip(ranges, ranges[1:]))
+
+
 def rewrite(spark: SparkSession, table: str, files: list[str], edited: Callable[[DataFrame], DataFrame],
-            sort_by: tuple[str, ...] = ()) -> None:
-    """Replace the rows of ``files`` by ``edited`` of them; the whole table where they are most of it."""
+            sort_by: tuple[str, ...] = (), in_place: bool = False) -> None:
+    """Replace the rows of ``files`` by ``edited`` of them; the whole table where they are most of it.
+
+    ``in_place``: each edited row is made of one row and has its ``sort_by``, so a table in its layout stays in it.
+    """
     whole = spark.table(table)
     if len(files) <= MOST_SHARE * len(whole.inputFiles()) \
             and rewrite_files(spark, table, files, edited(read_files(spark, table, files))):
         return
-    replace_table(spark, edited(whole), table, sort_by=sort_by)
+    if in_place and sort_by and in_layout(whole, sort_by[0]):
+        with file_by_file(spark):
+            replace_table(spark, edited(whole), table, sort_by=None)
+    else:
+        replace_table(spark, edited(whole), table, sort_by=sort_by)
 
 
 def follow_tags(spark: SparkSession, tags: str, changes: DataFrame) -> None:
