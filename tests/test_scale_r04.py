@@ -182,6 +182,14 @@ def test_an_edit_lays_out_anew_what_is_out_of_place(spark):
     assert seen == [(both, both)] and rows_of(spark.table(mixed)) == want
 
 
+def test_layout_of_days_that_python_has_not(spark):
+    name = f"days_{uuid.uuid4().hex}"
+    (spark.sql("select explode(array(date'0000-02-01', date'2024-01-01', date'+12024-01-01', null)) as video_trending_date")
+     .repartitionByRange(4, "video_trending_date").write.saveAsTable(name))
+    assert in_layout(spark.table(name), "video_trending_date")
+    assert in_layout(spark.table(name).select(F.col("video_trending_date").cast("string").alias("d"), "_metadata"), "d")
+
+
 def test_a_table_written_file_by_file(spark):
     from trendlens.session import file_by_file
     name, copy = saved(spark), f"copy_{uuid.uuid4().hex}"

@@ -69,6 +69,7 @@ class Saved:
 def in_layout(table: DataFrame, day: str) -> bool:
     """Whether the files are ranges of days, one behind the other (NULL first): one row per file reaches the driver."""
     c = F.col(f"`{day}`")
+    c = F.unix_date(c) if table.schema[day].dataType.simpleString() == "date" else c  # Python's dates end with the year 9999
     found = table.groupBy(F.col("_metadata.file_path")).agg(
         F.min(c).alias("low"), F.max(c).alias("high"), F.count(F.when(c.isNull(), 1)).alias("no_day")).collect()
     place = lambda d: (d is not None, d)
